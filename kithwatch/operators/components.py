@@ -17,22 +17,21 @@ from kithwatch.operators.scratch import Scratch
 from kithwatch.operators.skew import dense_ids, lookup
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, rows: int) -> DataFrame:
     smallest = (
         both_directions(edges)
         .groupBy("node")
         .agg(F.min("neighbor").alias("seen"))
         .select(F.col("node").alias("src"), F.least("node", "seen").alias("root"))
     )
-    return lookup(edges, smallest, "src", ["dst"]).select(F.col("root").alias("src"), "dst")
+    return lookup(edges, smallest, "src", ["dst"], rows=rows).select(F.col("root").alias("src"), "dst")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, rows: int) -> DataFrame:
     smallest = edges.groupBy("dst").agg(F.min("src").alias("root"))
-    linked = lookup(edges, smallest, "dst", ["src"])
-    targets = F.array("src", "dst")
+    linked = lookup(edges, smallest, "dst", ["src"], rows=rows)
     return (
-        linked.select("root", F.explode(targets).alias("node"))
+        linked.select("root", F.explode(F.array("src", "dst")).alias("node"))
         .where(F.col("root") != F.col("node"))
         .select(F.col("root").alias("src"), F.col("node").alias("dst"))
         .distinct()
@@ -44,31 +43,45 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(ends)).first())
 
 
+def _numbered_edges(edges: DataFrame, numbers: DataFrame, scratch: Scratch) -> DataFrame:
+    """Edges between numbered nodes: 8 bytes an end, and minima that hash aggregation can take."""
+    plain = edges.select("src", "dst").where(F.col("src") != F.col("dst"))
+    start = numbers.select(F.col("id").alias("src"), F.col("number").alias("a"))
+    end = numbers.select(F.col("id").alias("dst"), F.col("number").alias("b"))
+    rows = plain.count()
+    numbered = lookup(lookup(plain, start, "src", ["dst"], rows=rows), end, "dst", ["src"], rows=rows)
+    return scratch.save(
+        numbered.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")), "round-0"
+    )
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """``(id, component)``, the component being named after its smallest node.
 
     A node without edges is a component of its own. Raises when the rounds do not settle.
     """
     scratch = Scratch(edges.sparkSession, "components")
-    current = scratch.save(edges.select("src", "dst").where(F.col("src") != F.col("dst")), "round-0")
+    numbers = scratch.save(dense_ids(nodes.select("id").distinct(), "id", "number", scratch, "ids"), "numbers")
+    current = _numbered_edges(edges, numbers, scratch)
     before = _fingerprint(current)
-    settled = before[0] == 0
     done = 0
-    while not settled:
+    while before[0]:
         done += 1
         if done > max_rounds:
             raise RuntimeError(f"components not settled after {max_rounds} rounds")
-        current = scratch.save(_small_star(_large_star(current)), f"round-{done}")
+        # A small star has at most two rows for each row of the large star.
+        rows = before[0]
+        current = scratch.save(_small_star(_large_star(current, rows), rows), f"round-{done}")
         after = _fingerprint(current)
         scratch.drop(f"round-{done - 1}")
-        settled = after == before
+        if after == before:
+            break
         before = after
-    stars = current.select(F.col("dst").alias("id"), F.col("src").alias("component"))
-    return (
-        nodes.select("id")
-        .join(stars, "id", "left")
-        .select("id", F.coalesce("component", "id").alias("component"))
-    )
+    stars = current.select(F.col("dst").alias("number"), F.col("src").alias("root"))
+    rooted = numbers.join(stars, "number", "left").select("id", F.coalesce("root", "number").alias("number"))
+    names = numbers.select("number", F.col("id").alias("component"))
+    # Numbers follow the order of the nodes, so the smallest number is the smallest node.
+    return lookup(rooted, names, "number", ["id"], rows=before[0] or None).select("id", "component")
 
 
 def address_users(components: DataFrame) -> DataFrame:

@@ -61,7 +61,7 @@ def within_community_anomalies(
     members = _member_links(edges, communities).select("node", "community", "inner")
     moments = members.groupBy("community").agg(*_moments("inner"))
     found = (
-        lookup(members, moments, "community", ["node"])
+        lookup(members, moments, "community", ["node"], rows=communities.count())
         .where(_deviates("inner", threshold, *(F.col(name) for name in _MOMENTS)))
         .select("community", "node")
     )

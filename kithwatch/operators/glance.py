@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kithwatch.operators.scratch import Scratch
-from kithwatch.operators.skew import largest_group, lookup, running_total
+from kithwatch.operators.skew import lookup, running_total
 
 CELL = ["community", "attr", "idx"]
 
@@ -25,6 +25,13 @@ def _distinct_values(features: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(compressed, "values")
 
 
+def _sizes(values: DataFrame) -> tuple[int, int]:
+    """Most values of one community and feature, and the feature rows in all."""
+    cells = values.groupBy(*CELL).agg(F.count(F.lit(1)).alias("values"), F.sum("nodes").alias("nodes"))
+    row = cells.agg(F.max("values"), F.sum("nodes")).first()
+    return row[0] or 0, row[1] or 0
+
+
 def _exact(value: Column, digits: int) -> Column:
     return value.cast(f"decimal({digits},0)")
 
@@ -78,16 +85,16 @@ def mean_differences(features: DataFrame) -> DataFrame:
     """
     scratch = Scratch(features.sparkSession, "differences")
     values = _distinct_values(features, scratch)
-    return _differences(values, largest_group(values, CELL), scratch).drop("reach")
+    return _differences(values, _sizes(values)[0], scratch).drop("reach")
 
 
 def far_shares(features: DataFrame) -> DataFrame:
     """``(node, attr, idx, share)``: part of the community farther than the mean difference."""
     scratch = Scratch(features.sparkSession, "glance")
     values = _distinct_values(features, scratch)
-    largest = largest_group(values, CELL)
+    largest, rows = _sizes(values)
     cells = scratch.save(_differences(values, largest, scratch), "cells").select(*CELL, "n", "reach")
-    placed = lookup(values, cells, CELL, ["value"])
+    placed = lookup(values, cells, CELL, ["value"], rows=rows)
     # Each value marks its own place and the two ends of its reach. The running total at an
     # end counts the nodes before it, ties being settled by the kind of the mark.
     marks = placed.select(
@@ -116,7 +123,8 @@ def far_shares(features: DataFrame) -> DataFrame:
         "value",
         F.when(F.isnan("reach"), 0.0).otherwise(F.col("outside") / F.col("n")).alias("share"),
     )
-    return lookup(features.drop("whole"), shares, [*CELL, "value"], ["node"]).select("node", "attr", "idx", "share")
+    found = lookup(features.drop("whole"), shares, [*CELL, "value"], ["node"], rows=rows)
+    return found.select("node", "attr", "idx", "share")
 
 
 def glance_scores(features: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Blondel, Guillaume, Lambiotte, Lefebvre: "Fast unfolding of communities in large networks"
 (2008). Nodes cannot move one after the other on a cluster, and letting all of them move at
-once makes neighbours swap places for ever. So a seeded hash lets a part of the nodes move
+once makes neighbours swap places for ever. So a seeded hash holds a part of the nodes back
 in each round, and the best labelling seen is kept.
 """
 
@@ -17,8 +17,10 @@ from kithwatch.operators.modularity import weighted
 from kithwatch.operators.scratch import Scratch
 from kithwatch.operators.skew import dense_ids, hot_keys, hot_rows, lookup
 
-# Fixed value: an improvement of the modularity below this ends the search.
+# Fixed value: an improvement of the modularity below this is none.
 LEAST_GAIN = 1e-7
+# Rounds over which the modularity must grow for a level to go on.
+PATIENCE = 4
 
 
 @dataclass
@@ -28,6 +30,8 @@ class _Level:
     links: DataFrame  # u, v, w
     nodes: DataFrame  # u, loop, k, fan
     hubs: DataFrame  # u, _pieces
+    rows: int  # number of links
+    members: int  # number of nodes
     double_m: float
 
 
@@ -45,11 +49,12 @@ def _level(scratch: Scratch, name: str, links: DataFrame, loops: DataFrame) -> _
         f"{name}-nodes",
     )
     hubs = scratch.save(hot_keys(nodes, ["u"], F.col("fan")), f"{name}-hubs")
-    return _Level(links, nodes, hubs, nodes.agg(F.sum("k")).first()[0] or 0.0)
+    sums = nodes.agg(F.sum("fan").alias("rows"), F.count(F.lit(1)).alias("members"), F.sum("k").alias("double_m")).first()
+    return _Level(links, nodes, hubs, sums.rows or 0, sums.members, sums.double_m or 0.0)
 
 
-def _round(level: _Level, labels: DataFrame, seed: int, number: int, share: int) -> DataFrame:
-    """Move a part of the nodes; ``was`` and ``inner`` describe the labelling before."""
+def _round(level: _Level, labels: DataFrame, seed: int, number: int, share: float) -> DataFrame:
+    """Move a part of the nodes; ``was``, ``inner`` and ``own_tot`` describe the labelling before."""
     limit = hot_rows(labels.sparkSession)
     totals = labels.groupBy("c").agg(
         F.sum("k").alias("tot"), F.sum("fan").alias("fans"), F.count(F.lit(1)).alias("members")
@@ -60,19 +65,26 @@ def _round(level: _Level, labels: DataFrame, seed: int, number: int, share: int)
 
     ends = labels.select(F.col("u").alias("v"), "c")
     near = (
-        lookup(level.links, ends, "v", ["u"], hot=level.hubs.withColumnRenamed("u", "v"))
+        lookup(level.links, ends, "v", ["u"], rows=level.rows, hot=level.hubs.withColumnRenamed("u", "v"))
         .groupBy("u", "c")
         .agg(F.sum("w").alias("w"))
     )
     # A community is near at most as many nodes as its members have links.
-    options = lookup(near, totals.select("c", "tot"), "c", ["u"], hot=busy("fans"))
-    own = lookup(labels.select("u", "c", "k", "loop", "fan"), totals.select("c", "tot"), "c", ["u"], hot=busy("members"))
+    options = lookup(near, totals.select("c", "tot"), "c", ["u"], rows=level.rows, hot=busy("fans"))
+    own = lookup(
+        labels.select("u", "c", "k", "loop", "fan"),
+        totals.select("c", "tot"),
+        "c",
+        ["u"],
+        rows=level.members,
+        hot=busy("members"),
+    )
     own = own.select("u", F.col("c").alias("was"), "k", "loop", "fan", F.col("tot").alias("own_tot"))
     stays = F.col("c") == F.col("was")
     others = F.col("tot") - F.when(stays, F.col("k")).otherwise(0.0)
     gain = F.col("w") - F.col("k") * others / level.double_m
     best = (
-        lookup(options, own.select("u", "was", "k"), "u", ["c"], hot=level.hubs)
+        lookup(options, own.select("u", "was", "k"), "u", ["c"], rows=level.rows, hot=level.hubs)
         .select("u", "c", "w", stays.alias("stays"), gain.alias("gain"))
         .groupBy("u")
         .agg(
@@ -82,7 +94,7 @@ def _round(level: _Level, labels: DataFrame, seed: int, number: int, share: int)
     )
     inner = F.coalesce("inner", F.lit(0.0))
     staying = inner - F.col("k") * (F.col("own_tot") - F.col("k")) / level.double_m
-    active = F.pmod(F.xxhash64("u", F.lit(seed), F.lit(number)), F.lit(share)) == 0
+    active = F.pmod(F.xxhash64("u", F.lit(seed), F.lit(number)), F.lit(1000)) < int(1000 * share)
     moves = active & (F.col("best.gain") > staying + LEAST_GAIN)
     return own.join(best, "u", "left").select(
         "u",
@@ -91,47 +103,48 @@ def _round(level: _Level, labels: DataFrame, seed: int, number: int, share: int)
         "loop",
         "fan",
         "was",
+        "own_tot",
         inner.alias("inner"),
     )
 
 
 def _quality(level: _Level, labels: DataFrame) -> tuple[float, int]:
-    """Modularity of the labelling before the round, and how many nodes it moved."""
-    row = (
-        labels.groupBy("was")
-        .agg(
-            F.sum("k").alias("tot"),
-            F.sum(F.col("inner") + 2 * F.col("loop")).alias("inside"),
-            F.count_if(F.col("c") != F.col("was")).alias("moved"),
-        )
-        .agg(
-            F.sum("inside").alias("inside"),
-            F.sum(F.col("tot") * F.col("tot")).alias("squares"),
-            F.sum("moved").alias("moved"),
-        )
-        .first()
-    )
+    """Modularity of the labelling before the round, and how many nodes it moved.
+
+    The squares of the community totals are summed node by node, each adding its strength
+    times the total of its community, so nothing is grouped.
+    """
+    row = labels.agg(
+        F.sum(F.col("inner") + 2 * F.col("loop")).alias("inside"),
+        F.sum(F.col("k") * F.col("own_tot")).alias("squares"),
+        F.count_if(F.col("c") != F.col("was")).alias("moved"),
+    ).first()
     return row.inside / level.double_m - row.squares / level.double_m**2, row.moved
 
 
-def _settle(level: _Level, scratch: Scratch, name: str, seed: int, share: int, max_rounds: int):
+def _settle(
+    level: _Level, scratch: Scratch, name: str, seed: int, share: float, tolerance: float, max_rounds: int
+) -> tuple[DataFrame, float]:
     """Best labelling ``(u, c)`` of a level and its modularity."""
     labels = scratch.save(level.nodes.select("u", F.col("u").alias("c"), "k", "loop", "fan"), f"{name}-start")
-    best, best_quality, best_round = None, float("-inf"), 0
-    quiet = 0
+    best_round, tops, quiet = 0, [], 0
+    best = labels.select("u", "c")
     for number in range(1, max_rounds + 1):
         labels = scratch.save(_round(level, labels, seed, number, share), f"{name}-{number}")
         quality, moved = _quality(level, labels)
-        if quality > best_quality + LEAST_GAIN:
-            if best_round and best_round != number - 1:
+        if not tops or quality > tops[-1] + LEAST_GAIN:
+            if best_round not in (0, number - 1):
                 scratch.drop(f"{name}-{best_round}")
-            best, best_quality, best_round = labels.select("u", F.col("was").alias("c")), quality, number
+            best, best_round = labels.select("u", F.col("was").alias("c")), number
+        tops.append(max(quality, tops[-1]) if tops else quality)
+        if number - 1 not in (0, best_round):
+            scratch.drop(f"{name}-{number - 1}")
+        # A round in which nobody moved may only have held back those who would.
         quiet = quiet + 1 if moved == 0 else 0
-        if quiet >= share or number - best_round >= 2 * share:
+        stalled = len(tops) > PATIENCE and tops[-1] - tops[-1 - PATIENCE] <= tolerance * abs(tops[-1])
+        if quiet == 2 or stalled:
             break
-        if number > 1 and number - 1 != best_round:
-            scratch.drop(f"{name}-{number - 1}")
-    return best, best_quality
+    return best, tops[-1]
 
 
 def louvain_communities(
@@ -139,21 +152,25 @@ def louvain_communities(
     edges: DataFrame,
     weight: str | None = None,
     seed: int = 7,
-    share: int = 2,
-    max_rounds: int = 100,
+    share: float = 0.75,
+    tolerance: float = 0.01,
+    max_rounds: int = 200,
     max_levels: int = 20,
 ) -> DataFrame:
     """``(node, community)`` of every node; isolated nodes are alone.
 
     ``weight`` names the edge column to use, by default ``weight`` where there is one. In
-    each round one node in ``share`` may move. Communities are numbered by their smallest
-    node. The same input and seed give the same result.
+    each round this ``share`` of the nodes may move. A level ends when the modularity has
+    grown by less than the ``tolerance``, relative to itself, in four rounds. Communities
+    are numbered by their smallest node. The same input and seed give the same result.
     """
     scratch = Scratch(edges.sparkSession, "louvain")
     ids = scratch.save(dense_ids(nodes.select("id").distinct(), "id", "u", scratch, "ids"), "numbered")
     start = ids.select(F.col("id").alias("src"), "u")
     end = ids.select(F.col("id").alias("dst"), F.col("u").alias("v"))
-    numbered = lookup(lookup(weighted(edges, weight), start, "src", ["dst"]), end, "dst", ["src"])
+    rows = edges.count()
+    numbered = lookup(weighted(edges, weight), start, "src", ["dst"], rows=rows)
+    numbered = lookup(numbered, end, "dst", ["src"], rows=rows)
     numbered = scratch.save(numbered.groupBy("u", "v").agg(F.sum("weight").alias("w")), "edges")
     level = _level(
         scratch,
@@ -164,21 +181,24 @@ def louvain_communities(
         ).select("u", F.coalesce("own", F.lit(0.0)).alias("loop")),
     )
     placed = ids.select("id", F.col("u").alias("c"))
+    everyone = level.members
     quality = float("-inf")
     for depth in range(max_levels if level.double_m else 0):
-        labels, reached = _settle(level, scratch, f"level-{depth}-round", seed + depth, share, max_rounds)
-        if labels is None or reached <= quality + LEAST_GAIN:
+        labels, reached = _settle(
+            level, scratch, f"level-{depth}-round", seed + depth, share, tolerance, max_rounds
+        )
+        if reached <= quality + LEAST_GAIN:
             break
         quality = reached
         merged = labels.select(F.col("u").alias("c"), F.col("c").alias("into"))
         placed = scratch.save(
-            lookup(placed, merged, "c", ["id"]).select("id", F.col("into").alias("c")), f"placed-{depth}"
+            lookup(placed, merged, "c", ["id"], rows=everyone).select("id", F.col("into").alias("c")), f"placed-{depth}"
         )
         level = _contract(level, labels, scratch, f"level-{depth + 1}")
     smallest = placed.groupBy("c").agg(F.min("id").alias("first"))
     numbers = dense_ids(smallest.select("first"), "first", "community", scratch, "communities")
     names = scratch.save(smallest.join(numbers, "first").select("c", "community"), "names")
-    return lookup(placed, names, "c", ["id"]).select(F.col("id").alias("node"), "community")
+    return lookup(placed, names, "c", ["id"], rows=everyone).select(F.col("id").alias("node"), "community")
 
 
 def _both_ways(pairs: DataFrame) -> DataFrame:
@@ -193,8 +213,8 @@ def _contract(level: _Level, labels: DataFrame, scratch: Scratch, name: str) ->
     start = labels.select("u", F.col("c").alias("cu"))
     end = labels.select(F.col("u").alias("v"), F.col("c").alias("cv"))
     hubs = level.hubs
-    joined = lookup(level.links, start, "u", ["v"], hot=hubs)
-    joined = lookup(joined, end, "v", ["u"], hot=hubs.withColumnRenamed("u", "v"))
+    joined = lookup(level.links, start, "u", ["v"], rows=level.rows, hot=hubs)
+    joined = lookup(joined, end, "v", ["u"], rows=level.rows, hot=hubs.withColumnRenamed("u", "v"))
     between = scratch.save(joined.groupBy("cu", "cv").agg(F.sum("w").alias("w")), f"{name}-between")
     inside = between.where(F.col("cu") == F.col("cv")).select(F.col("cu").alias("u"), (F.col("w") / 2).alias("loop"))
     kept = level.nodes.join(start, "u").select(F.col("cu").alias("u"), "loop")

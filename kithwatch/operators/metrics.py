@@ -35,7 +35,7 @@ def neighbor_communities(edges: DataFrame, communities: DataFrame) -> DataFrame:
     """
     labels = communities.select(F.col("node").alias("neighbor"), "community")
     return (
-        lookup(both_directions(edges), labels, "neighbor", ["node"])
+        lookup(both_directions(edges), labels, "neighbor", ["node"], rows=2 * edges.count())
         .groupBy("node", "community")
         .agg(F.count(F.lit(1)).alias("count"))
     )
@@ -49,8 +49,9 @@ def community_links(edges: DataFrame, communities: DataFrame) -> DataFrame:
     """
     own = communities.select("node", F.col("community").alias("own"))
     same = F.col("community").eqNullSafe(F.col("own"))
+    near = neighbor_communities(edges, communities)
     return (
-        lookup(neighbor_communities(edges, communities), own, "node", ["community"], how="left")
+        lookup(near, own, "node", ["community"], how="left", rows=2 * edges.count())
         .groupBy("node")
         .agg(
             F.sum(F.when(same, F.col("count")).otherwise(0)).alias("inner"),
@@ -75,8 +76,10 @@ def community_vectors(edges: DataFrame, communities: DataFrame, width: int | Non
     )
     if width is None:
         return sparse
-    cell = lambda community: F.coalesce(F.try_element_at("vector", community), F.lit(0).cast("long"))
-    return sparse.withColumn("vector", F.transform(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long")), cell))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))
+    none = F.lit(0).cast("long")
+    dense = F.transform(every, lambda community: F.coalesce(F.try_element_at("vector", community), none))
+    return sparse.withColumn("vector", dense)
 
 
 def missing_metrics(nodes: DataFrame, wanted: Iterable[str] | None) -> list[str]:
@@ -85,9 +88,16 @@ def missing_metrics(nodes: DataFrame, wanted: Iterable[str] | None) -> list[str]
 
 
 def with_metrics(
-    nodes: DataFrame, edges: DataFrame, communities: DataFrame, wanted: Iterable[str] | None
+    nodes: DataFrame,
+    edges: DataFrame,
+    communities: DataFrame,
+    wanted: Iterable[str] | None,
+    vector_width: int | None = None,
 ) -> DataFrame:
-    """Add the wanted metric columns to the nodes, leaving those they already have."""
+    """Add the wanted metric columns to the nodes, leaving those they already have.
+
+    The neighbour vector is a map, or an array of ``vector_width`` counts.
+    """
     todo = missing_metrics(nodes, wanted)
     result = nodes
     if DEGREE in todo:
@@ -99,8 +109,12 @@ def with_metrics(
         columns = [name for name in (INNER, OUTER) if name in todo]
         result = result.join(links.select("id", *columns), "id", "left").fillna(0, subset=columns)
     if VECTOR in todo:
-        vectors = community_vectors(edges, communities).select(F.col("node").alias("id"), F.col("vector").alias(VECTOR))
-        empty = F.create_map().cast("map<bigint,bigint>")
+        vectors = community_vectors(edges, communities, vector_width)
+        vectors = vectors.select(F.col("node").alias("id"), F.col("vector").alias(VECTOR))
+        if vector_width is None:
+            empty = F.create_map().cast("map<bigint,bigint>")
+        else:
+            empty = F.array_repeat(F.lit(0).cast("long"), vector_width)
         result = result.join(vectors, "id", "left").withColumn(VECTOR, F.coalesce(VECTOR, empty))
     if COMMUNITY in todo:
         labels = communities.select(F.col("node").alias("id"), F.col("community").alias(COMMUNITY))

@@ -23,7 +23,9 @@ def modularity(edges: DataFrame, communities: DataFrame, weight: str | None = No
     """
     start = communities.select(F.col("node").alias("src"), F.col("community").alias("from"))
     end = communities.select(F.col("node").alias("dst"), F.col("community").alias("to"))
-    labelled = lookup(lookup(weighted(edges, weight), start, "src", ["dst"]), end, "dst", ["src"])
+    rows = edges.count()
+    labelled = lookup(weighted(edges, weight), start, "src", ["dst"], rows=rows)
+    labelled = lookup(labelled, end, "dst", ["src"], rows=rows)
     # Links between the same two communities are added up before anything is regrouped.
     between = labelled.groupBy("from", "to").agg(F.sum("weight").alias("weight"))
     ends = between.select(

@@ -66,16 +66,20 @@ def with_users(payments: DataFrame, address_user: DataFrame, on_missing: str = "
     """
     if on_missing not in ("error", "drop"):
         raise ValueError(f"on_missing must be 'error' or 'drop', not {on_missing!r}")
-    sent = payments.where(is_usable("sender")).withColumn("receiver", F.expr("nullif(receiver, '')"))
+    scratch = Scratch(payments.sparkSession, "payments")
+    sent = scratch.save(
+        payments.where(is_usable("sender")).withColumn("receiver", F.expr("nullif(receiver, '')")), "sent"
+    )
+    rows = sent.count()
     if on_missing == "error":
         missing = missing_addresses(sent, address_user).take(1)
         if missing:
             raise MissingAddressError(f"no user for address {missing[0].address!r}")
     senders = address_user.select(F.col("address").alias("sender"), F.col("user_id").alias("from_user"))
     receivers = address_user.select(F.col("address").alias("receiver"), F.col("user_id").alias("to_user"))
-    known = lookup(sent, senders, "sender", ["receiver"])
+    known = lookup(sent, senders, "sender", ["receiver"], rows=rows)
     nobody = known.where(F.col("receiver").isNull()).select("from_user")
-    reached = lookup(known.where(F.col("receiver").isNotNull()), receivers, "receiver", ["sender"])
+    reached = lookup(known.where(F.col("receiver").isNotNull()), receivers, "receiver", ["sender"], rows=rows)
     return reached.select("from_user", "to_user", "value", "count").unionByName(nobody, allowMissingColumns=True)
 
 

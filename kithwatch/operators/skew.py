@@ -49,15 +49,22 @@ def lookup(
     on: str | Sequence[str],
     spread_by: Sequence[str],
     how: str = "inner",
+    rows: int | None = None,
     hot: DataFrame | None = None,
 ) -> DataFrame:
-    """Join ``facts`` to a table with one row per key, splitting hot keys.
+    """Join ``facts`` to a table by key, splitting hot keys of ``facts``.
 
     Rows of a hot key go to one of its pieces by a hash of ``spread_by`` (columns that tell
-    the rows of a key apart), and the key's single dimension row is copied to each piece.
-    A hash, unlike a random salt, gives the same piece when a lost task is run again.
+    the rows of a key apart), and what the dimension holds of the key is copied to each
+    piece. A hash, unlike a random salt, gives the same piece when a lost task is run again.
+
+    ``rows`` is an upper bound of the rows of ``facts``, where the caller knows one: few
+    rows cannot hold a hot key, and need no search for any. ``hot`` gives the hot keys, if
+    the caller has them from :func:`hot_keys`.
     """
     keys = [on] if isinstance(on, str) else list(on)
+    if rows is not None and rows <= hot_rows(facts.sparkSession):
+        return facts.join(dimension, keys, how)
     if hot is None:
         hot = hot_keys(facts, keys)
     piece = F.coalesce(F.pmod(F.xxhash64(*spread_by), F.col("_pieces")).cast("int"), F.lit(0))

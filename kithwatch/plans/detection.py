@@ -6,13 +6,14 @@ from collections.abc import Iterable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from kithwatch.graph import Graph
 from kithwatch.operators import detectors
 from kithwatch.operators.communities import detect_communities
 from kithwatch.operators.features import attribute_columns, feature_table, top_features, with_community
 from kithwatch.operators.laplacian import laplacian_scores, rank_features
-from kithwatch.operators.metrics import METRICS, with_metrics
+from kithwatch.operators.metrics import VECTOR, with_metrics
 from kithwatch.operators.spectral import spec_scores
 from kithwatch.sources import store
 
@@ -84,7 +85,11 @@ def detect_anomalies(
             spark, community_cache_path, comm_method, lambda: detect_communities(graph, comm_method)
         )
     wanted = None if attributes is None else list(attributes)
-    nodes = with_metrics(graph.nodes, graph.edges, communities, wanted)
+    width = None
+    if VECTOR in (wanted or ()):
+        # As attribute the vector needs a position for every community.
+        width = (communities.agg(F.max("community")).first()[0] or 0) + 1
+    nodes = with_metrics(graph.nodes, graph.edges, communities, wanted, width)
     graph = replace(graph, nodes=nodes)
     selected = None
     if feature_selection is not None:
@@ -114,4 +119,4 @@ def refresh_communities(graph: Graph, community_cache_path: str | None, comm_met
     return store.store_communities(detect_communities(graph, comm_method), community_cache_path, comm_method)
 
 
-__all__ = ["ANOMALY_METHODS", "METRICS", "Detection", "detect_anomalies", "refresh_communities", "select_features"]
+__all__ = ["ANOMALY_METHODS", "Detection", "detect_anomalies", "refresh_communities", "select_features"]

@@ -23,11 +23,11 @@ _KEY = "_id string, `_attr.name` string, `_attr.type` string, _for string, defau
 
 
 def read_graphml(spark: SparkSession, path: str, name_by: str = "name") -> Graph:
-    """Read an undirected graph.
+    """Read an undirected graph from a file, a folder or a pattern.
 
     Attributes become columns of their declared type, named by ``attr.name`` or, with
-    ``name_by="id"``, by the key that the data refer to. A file may be split over tasks.
-    Declared defaults fill missing values.
+    ``name_by="id"``, by the key that the data refer to. Declared defaults fill missing
+    values.
     """
     if name_by not in ("name", "id"):
         raise ValueError(f"name_by must be 'name' or 'id', not {name_by!r}")
