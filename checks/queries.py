@@ -228,16 +228,22 @@ def glance_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def louvain_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What any partition found must satisfy, whatever it is."""
-    graph = t.part_graph(spark, sf_dir)
-    edges = Scratch(spark, "louvain-check").save(graph.edges, "edges")
-    found = Scratch(spark, "louvain-check").save(louvain_communities(graph.nodes, edges), "found")
-    reached = modularity(edges, found).select("modularity").scalar()
-    given = modularity(edges, t.brands(spark, sf_dir)).select("modularity").scalar()
+    """What any good partition of the address network must satisfy, whatever it is."""
+    graph = t.address_graph(spark, sf_dir)
+    scratch = Scratch(spark, "louvain-check")
+    nodes = scratch.save(graph.nodes, "nodes")
+    found = scratch.save(louvain_communities(nodes, graph.edges), "found")
+    reached = modularity(graph.edges, found).select("modularity").scalar()
+    start = found.select(F.col("node").alias("src"), F.col("community").alias("from"))
+    end = found.select(F.col("node").alias("dst"), F.col("community").alias("to"))
+    inside = graph.edges.join(start, "src").join(end, "dst").where(F.col("from") == F.col("to"))
+    joined = connected_components(nodes, inside.select("src", "dst"))
+    parts = joined.select("component").distinct().select(F.count(F.lit(1))).scalar()
     return found.agg(
         F.count(F.lit(1)).alias("nodes"),
         (F.count_distinct("node") == F.count(F.lit(1))).alias("one_each"),
-    ).select("nodes", "one_each", ((reached > 0.05) & (reached > given)).alias("better_than_brands"))
+        (F.count_distinct("community") == parts).alias("connected"),
+    ).withColumn("modular", reached > 0.9)
 
 
 def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kithwatch.operators.modularity import weighted
@@ -20,14 +20,14 @@ from kithwatch.operators.skew import dense_ids, hot_keys, hot_rows, lookup
 # Fixed value: an improvement of the modularity below this is none.
 LEAST_GAIN = 1e-7
 # Rounds over which the modularity must grow for a level to go on.
-PATIENCE = 4
+PATIENCE = 3
 
 
 @dataclass
 class _Level:
     """A (contracted) graph: links in both directions, and per node its loop and strength."""
 
-    links: DataFrame  # u, v, w
+    links: DataFrame  # u, v, w, and the strength k of u
     nodes: DataFrame  # u, loop, k, fan
     hubs: DataFrame  # u, _pieces
     rows: int  # number of links
@@ -37,7 +37,7 @@ class _Level:
 
 def _level(scratch: Scratch, name: str, links: DataFrame, loops: DataFrame) -> _Level:
     """``links`` lists both directions; ``loops`` has one row ``(u, loop)`` per node."""
-    links = scratch.save(links, f"{name}-links")
+    links = scratch.save(links, f"{name}-raw")
     strength = links.groupBy("u").agg(F.sum("w").alias("out"), F.count(F.lit(1)).alias("fan"))
     nodes = scratch.save(
         loops.join(strength, "u", "left").select(
@@ -49,54 +49,67 @@ def _level(scratch: Scratch, name: str, links: DataFrame, loops: DataFrame) -> _
         f"{name}-nodes",
     )
     hubs = scratch.save(hot_keys(nodes, ["u"], F.col("fan")), f"{name}-hubs")
-    sums = nodes.agg(F.sum("fan").alias("rows"), F.count(F.lit(1)).alias("members"), F.sum("k").alias("double_m")).first()
-    return _Level(links, nodes, hubs, sums.rows or 0, sums.members, sums.double_m or 0.0)
+    sums = nodes.agg(
+        F.sum("fan").alias("rows"), F.count(F.lit(1)).alias("members"), F.sum("k").alias("double_m")
+    ).first()
+    rows = sums.rows or 0
+    strong = lookup(links, nodes.select("u", "k"), "u", ["v"], rows=rows, hot=hubs)
+    links = scratch.save(strong.select("u", "v", "w", "k"), f"{name}-links")
+    scratch.drop(f"{name}-raw")
+    return _Level(links, nodes, hubs, rows, sums.members, sums.double_m or 0.0)
 
 
 def _round(level: _Level, labels: DataFrame, seed: int, number: int, share: float) -> DataFrame:
-    """Move a part of the nodes; ``was``, ``inner`` and ``own_tot`` describe the labelling before."""
+    """Move a part of the nodes; ``was``, ``inner`` and ``own_tot`` describe the labelling before.
+
+    Every node lists the communities of its neighbours, and its own in any case. The gain of
+    each is known once the totals of the communities are, and one aggregate per node then
+    finds the best and what staying is worth.
+    """
     limit = hot_rows(labels.sparkSession)
     totals = labels.groupBy("c").agg(
-        F.sum("k").alias("tot"), F.sum("fan").alias("fans"), F.count(F.lit(1)).alias("members")
+        F.sum("k").alias("tot"), F.sum(F.col("fan") + 1).alias("listed")
     )
-
-    def busy(rows: str) -> DataFrame:
-        return totals.where(F.col(rows) > limit).select("c", F.ceil(F.col(rows) / limit).cast("int").alias("_pieces"))
-
-    ends = labels.select(F.col("u").alias("v"), "c")
-    near = (
-        lookup(level.links, ends, "v", ["u"], rows=level.rows, hot=level.hubs.withColumnRenamed("u", "v"))
-        .groupBy("u", "c")
-        .agg(F.sum("w").alias("w"))
+    # A community is listed at most once for each link of its members, and by each of them.
+    busy = totals.where(F.col("listed") > limit).select(
+        "c", F.ceil(F.col("listed") / limit).cast("int").alias("_pieces")
     )
-    # A community is near at most as many nodes as its members have links.
-    options = lookup(near, totals.select("c", "tot"), "c", ["u"], rows=level.rows, hot=busy("fans"))
-    own = lookup(
-        labels.select("u", "c", "k", "loop", "fan"),
-        totals.select("c", "tot"),
-        "c",
+    nobody = F.lit(None)
+    near = lookup(
+        level.links,
+        labels.select(F.col("u").alias("v"), "c"),
+        "v",
         ["u"],
-        rows=level.members,
-        hot=busy("members"),
+        rows=level.rows,
+        hot=level.hubs.withColumnRenamed("u", "v"),
+    ).select("u", "c", "w", "k", nobody.cast("double").alias("loop"), nobody.cast("bigint").alias("fan"))
+    listed = (
+        near.unionByName(labels.select("u", "c", F.lit(0.0).alias("w"), "k", "loop", "fan"))
+        .groupBy("u", "c")
+        .agg(F.sum("w").alias("w"), F.max("k").alias("k"), F.max("loop").alias("loop"), F.max("fan").alias("fan"))
     )
-    own = own.select("u", F.col("c").alias("was"), "k", "loop", "fan", F.col("tot").alias("own_tot"))
-    stays = F.col("c") == F.col("was")
-    others = F.col("tot") - F.when(stays, F.col("k")).otherwise(0.0)
+    options = lookup(
+        listed, totals.select("c", "tot"), "c", ["u"], rows=level.rows + level.members, hot=busy
+    ).withColumn("own", F.col("loop").isNotNull())
+    others = F.col("tot") - F.when(F.col("own"), F.col("k")).otherwise(0.0)
     gain = F.col("w") - F.col("k") * others / level.double_m
-    best = (
-        lookup(options, own.select("u", "was", "k"), "u", ["c"], rows=level.rows, hot=level.hubs)
-        .select("u", "c", "w", stays.alias("stays"), gain.alias("gain"))
-        .groupBy("u")
-        .agg(
-            F.max(F.struct("gain", (-F.col("c")).alias("place"))).alias("best"),
-            F.max(F.when(F.col("stays"), F.col("w"))).alias("inner"),
-        )
+
+    def of_own(value) -> Column:
+        return F.max(F.when(F.col("own"), value))
+
+    best = options.groupBy("u").agg(
+        F.max(F.struct(gain.alias("gain"), (-F.col("c")).alias("place"))).alias("best"),
+        of_own(gain).alias("staying"),
+        of_own(F.col("c")).alias("was"),
+        of_own(F.col("w")).alias("inner"),
+        of_own(F.col("tot")).alias("own_tot"),
+        F.max("k").alias("k"),
+        F.max("loop").alias("loop"),
+        F.max("fan").alias("fan"),
     )
-    inner = F.coalesce("inner", F.lit(0.0))
-    staying = inner - F.col("k") * (F.col("own_tot") - F.col("k")) / level.double_m
     active = F.pmod(F.xxhash64("u", F.lit(seed), F.lit(number)), F.lit(1000)) < int(1000 * share)
-    moves = active & (F.col("best.gain") > staying + LEAST_GAIN)
-    return own.join(best, "u", "left").select(
+    moves = active & (F.col("best.gain") > F.col("staying") + LEAST_GAIN)
+    return best.select(
         "u",
         F.when(moves, -F.col("best.place")).otherwise(F.col("was")).alias("c"),
         "k",
@@ -104,7 +117,7 @@ def _round(level: _Level, labels: DataFrame, seed: int, number: int, share: floa
         "fan",
         "was",
         "own_tot",
-        inner.alias("inner"),
+        "inner",
     )
 
 
@@ -161,7 +174,7 @@ def louvain_communities(
 
     ``weight`` names the edge column to use, by default ``weight`` where there is one. In
     each round this ``share`` of the nodes may move. A level ends when the modularity has
-    grown by less than the ``tolerance``, relative to itself, in four rounds. Communities
+    grown by less than the ``tolerance``, relative to itself, in three rounds. Communities
     are numbered by their smallest node. The same input and seed give the same result.
     """
     scratch = Scratch(edges.sparkSession, "louvain")
@@ -213,7 +226,7 @@ def _contract(level: _Level, labels: DataFrame, scratch: Scratch, name: str) ->
     start = labels.select("u", F.col("c").alias("cu"))
     end = labels.select(F.col("u").alias("v"), F.col("c").alias("cv"))
     hubs = level.hubs
-    joined = lookup(level.links, start, "u", ["v"], rows=level.rows, hot=hubs)
+    joined = lookup(level.links.drop("k"), start, "u", ["v"], rows=level.rows, hot=hubs)
     joined = lookup(joined, end, "v", ["u"], rows=level.rows, hot=hubs.withColumnRenamed("u", "v"))
     between = scratch.save(joined.groupBy("cu", "cv").agg(F.sum("w").alias("w")), f"{name}-between")
     inside = between.where(F.col("cu") == F.col("cv")).select(F.col("cu").alias("u"), (F.col("w") / 2).alias("loop"))
