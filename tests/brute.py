@@ -92,6 +92,14 @@ def spec(values, gamma=1.0):
     return scores
 
 
+def spec_by_pairs(values, gamma=1.0):
+    x = np.asarray(values, float)
+    w = np.exp(-gamma * ((x[:, None] - x[None]) ** 2).sum(axis=2))
+    d = w.sum(axis=1)
+    cut = [(w * (f[:, None] - f[None]) ** 2).sum() / 2 for f in x.T]
+    return [c / ((d * f * f).sum() - (d @ f) ** 2 / d.sum()) for c, f in zip(cut, x.T, strict=True)]
+
+
 def glance(groups):
     """``groups`` maps a community to ``{node: [values]}``."""
     scores = {}
