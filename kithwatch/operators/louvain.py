@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from kithwatch.operators.modularity import weighted
 from kithwatch.operators.scratch import Scratch
-from kithwatch.operators.skew import dense_ids, hot_keys, hot_rows, lookup
+from kithwatch.operators.skew import dense_ids, lookup, pieces_of
 
 # Fixed value: an improvement of the modularity below this is none.
 LEAST_GAIN = 1e-7
@@ -37,7 +37,6 @@ class _Level:
 
 def _level(scratch: Scratch, name: str, links: DataFrame, loops: DataFrame) -> _Level:
     """``links`` lists both directions; ``loops`` has one row ``(u, loop)`` per node."""
-    links = scratch.save(links, f"{name}-raw")
     strength = links.groupBy("u").agg(F.sum("w").alias("out"), F.count(F.lit(1)).alias("fan"))
     nodes = scratch.save(
         loops.join(strength, "u", "left").select(
@@ -48,14 +47,13 @@ def _level(scratch: Scratch, name: str, links: DataFrame, loops: DataFrame) -> _
         ),
         f"{name}-nodes",
     )
-    hubs = scratch.save(hot_keys(nodes, ["u"], F.col("fan")), f"{name}-hubs")
+    hubs = pieces_of(nodes, "u", "fan")
     sums = nodes.agg(
         F.sum("fan").alias("rows"), F.count(F.lit(1)).alias("members"), F.sum("k").alias("double_m")
     ).first()
     rows = sums.rows or 0
     strong = lookup(links, nodes.select("u", "k"), "u", ["v"], rows=rows, hot=hubs)
     links = scratch.save(strong.select("u", "v", "w", "k"), f"{name}-links")
-    scratch.drop(f"{name}-raw")
     return _Level(links, nodes, hubs, rows, sums.members, sums.double_m or 0.0)
 
 
@@ -64,17 +62,15 @@ def _round(level: _Level, labels: DataFrame, seed: int, number: int, share: floa
 
     Every node lists the communities of its neighbours, and its own in any case. The gain of
     each is known once the totals of the communities are, and one aggregate per node then
-    finds the best and what staying is worth.
+    finds the best and what staying is worth. Of two nodes that are alone only the larger
+    may join the other, or they would swap places.
     """
-    limit = hot_rows(labels.sparkSession)
     totals = labels.groupBy("c").agg(
-        F.sum("k").alias("tot"), F.sum(F.col("fan") + 1).alias("listed")
+        F.sum("k").alias("tot"), F.count(F.lit(1)).alias("members"), F.sum(F.col("fan") + 1).alias("listed")
     )
     # A community is listed at most once for each link of its members, and by each of them.
-    busy = totals.where(F.col("listed") > limit).select(
-        "c", F.ceil(F.col("listed") / limit).cast("int").alias("_pieces")
-    )
-    nobody = F.lit(None)
+    busy = pieces_of(totals, "c", "listed")
+    nothing = F.lit(None)
     near = lookup(
         level.links,
         labels.select(F.col("u").alias("v"), "c"),
@@ -82,36 +78,47 @@ def _round(level: _Level, labels: DataFrame, seed: int, number: int, share: floa
         ["u"],
         rows=level.rows,
         hot=level.hubs.withColumnRenamed("u", "v"),
-    ).select("u", "c", "w", "k", nobody.cast("double").alias("loop"), nobody.cast("bigint").alias("fan"))
+    ).select("u", "c", "w", "k", "v", nothing.cast("double").alias("loop"), nothing.cast("bigint").alias("fan"))
+    own_rows = labels.select("u", "c", F.lit(0.0).alias("w"), "k", nothing.cast("bigint").alias("v"), "loop", "fan")
     listed = (
-        near.unionByName(labels.select("u", "c", F.lit(0.0).alias("w"), "k", "loop", "fan"))
+        near.unionByName(own_rows)
         .groupBy("u", "c")
-        .agg(F.sum("w").alias("w"), F.max("k").alias("k"), F.max("loop").alias("loop"), F.max("fan").alias("fan"))
+        .agg(F.sum("w").alias("w"), *(F.max(name).alias(name) for name in ("k", "v", "loop", "fan")))
     )
     options = lookup(
-        listed, totals.select("c", "tot"), "c", ["u"], rows=level.rows + level.members, hot=busy
+        listed,
+        totals.select("c", "tot", "members"),
+        "c",
+        ["u"],
+        rows=level.rows + level.members,
+        hot=busy,
     ).withColumn("own", F.col("loop").isNotNull())
     others = F.col("tot") - F.when(F.col("own"), F.col("k")).otherwise(0.0)
     gain = F.col("w") - F.col("k") * others / level.double_m
+    option = F.struct(gain.alias("gain"), (-F.col("c")).alias("place"))
+    upward = ~F.col("own") & (F.col("members") == 1) & (F.col("v") > F.col("u"))
 
     def of_own(value) -> Column:
         return F.max(F.when(F.col("own"), value))
 
-    best = options.groupBy("u").agg(
-        F.max(F.struct(gain.alias("gain"), (-F.col("c")).alias("place"))).alias("best"),
+    judged = options.groupBy("u").agg(
+        F.max(option).alias("any"),
+        F.max(F.when(~upward, option)).alias("downward"),
         of_own(gain).alias("staying"),
         of_own(F.col("c")).alias("was"),
         of_own(F.col("w")).alias("inner"),
         of_own(F.col("tot")).alias("own_tot"),
+        of_own(F.col("members")).alias("members"),
         F.max("k").alias("k"),
         F.max("loop").alias("loop"),
         F.max("fan").alias("fan"),
     )
+    best = F.when(F.col("members") == 1, F.col("downward")).otherwise(F.col("any"))
     active = F.pmod(F.xxhash64("u", F.lit(seed), F.lit(number)), F.lit(1000)) < int(1000 * share)
-    moves = active & (F.col("best.gain") > F.col("staying") + LEAST_GAIN)
-    return best.select(
+    moves = active & (best["gain"] > F.col("staying") + LEAST_GAIN)
+    return judged.select(
         "u",
-        F.when(moves, -F.col("best.place")).otherwise(F.col("was")).alias("c"),
+        F.when(moves, -best["place"]).otherwise(F.col("was")).alias("c"),
         "k",
         "loop",
         "fan",
@@ -139,7 +146,7 @@ def _settle(
     level: _Level, scratch: Scratch, name: str, seed: int, share: float, tolerance: float, max_rounds: int
 ) -> tuple[DataFrame, float]:
     """Best labelling ``(u, c)`` of a level and its modularity."""
-    labels = scratch.save(level.nodes.select("u", F.col("u").alias("c"), "k", "loop", "fan"), f"{name}-start")
+    labels = level.nodes.select("u", F.col("u").alias("c"), "k", "loop", "fan")
     best_round, tops, quiet = 0, [], 0
     best = labels.select("u", "c")
     for number in range(1, max_rounds + 1):

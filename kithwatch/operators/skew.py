@@ -43,6 +43,13 @@ def hot_keys(facts: DataFrame, keys: Sequence[str], weight: Column | None = None
     )
 
 
+def pieces_of(counts: DataFrame, key: str, rows: str) -> DataFrame:
+    """The same from a table that has the ``rows`` of each key already."""
+    limit = hot_rows(counts.sparkSession)
+    busy = counts.where(F.col(rows) > limit)
+    return busy.select(key, F.ceil(F.col(rows) / limit).cast("int").alias("_pieces"))
+
+
 def lookup(
     facts: DataFrame,
     dimension: DataFrame,
