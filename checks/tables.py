@@ -14,6 +14,7 @@ from kithwatch.operators.address_network import (
 )
 from kithwatch.operators.payment_network import payments_of_rows
 from kithwatch.operators.scratch import Scratch
+from kithwatch.operators.skew import lookup
 
 # The lines of an order in the order they were spent or paid.
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
@@ -39,13 +40,13 @@ def whole_window(spark: SparkSession, sf_dir: str):
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A line is an input of its order, or an output if it was returned."""
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("tx"),
-        *LINE_ORDER,
-        (F.col("l_returnflag") == "R").alias("is_output"),
-        F.concat_ws("-", "l_partkey", "l_suppkey").alias("address"),
-        F.col("l_extendedprice").cast("decimal(18,2)").alias("value"),
+    """A line is an input of its order, or an output if it was returned; copies are counted."""
+    return (
+        table(spark, sf_dir, "lineitem")
+        .groupBy(F.col("l_orderkey").alias("tx"), *LINE_ORDER, (F.col("l_returnflag") == "R").alias("is_output"))
+        .agg(F.count(F.lit(1)).alias("count"))
+        .withColumn("address", F.concat_ws("-", "l_partkey", "l_suppkey"))
+        .withColumn("value", F.col("l_extendedprice").cast("decimal(18,2)") * F.col("count"))
     )
 
 
@@ -54,15 +55,18 @@ def inputs_and_outputs(spark: SparkSession, sf_dir: str, closed: str, kept=None)
     chosen = eligible(orders_as_transactions(spark, sf_dir), *whole_window(spark, sf_dir), closed)
     if kept is not None:
         chosen = chosen.where(kept)
-    lines = _lines(spark, sf_dir).join(chosen.select("tx"), "tx")
     # Copies of a line follow each other and would only link an address to itself.
-    inputs = lines.where(~F.col("is_output")).select("tx", *LINE_ORDER, "address").distinct()
-    return inputs, lines.where("is_output").select("tx", "address", "value")
+    lines = lookup(_lines(spark, sf_dir), chosen.select("tx"), "tx", LINE_ORDER, rows=_size(spark, sf_dir))
+    inputs = lines.where(~F.col("is_output")).select("tx", *LINE_ORDER, "address")
+    return inputs, lines.where("is_output").select("tx", "address", "value", "count")
+
+
+def _size(spark: SparkSession, sf_dir: str) -> int:
+    return table(spark, sf_dir, "lineitem").count()
 
 
 def address_graph(spark: SparkSession, sf_dir: str) -> Graph:
     inputs, outputs = inputs_and_outputs(spark, sf_dir, "both")
-    inputs = Scratch(spark, "inputs").save(inputs, "rows")
     return Graph(
         address_nodes(inputs.select("address"), outputs.select("address")),
         Scratch(spark, "address-edges").save(address_edges(co_input_pairs_of_rows(inputs, LINE_ORDER)), "edges"),
@@ -78,11 +82,11 @@ def part_graph(spark: SparkSession, sf_dir: str) -> Graph:
     confirmed = table(spark, sf_dir, "orders").where(F.col("o_orderstatus") != "P")
     lines = (
         table(spark, sf_dir, "lineitem")
-        .join(confirmed, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
         .select(F.col("l_orderkey").alias("tx"), *LINE_ORDER, F.col("l_partkey").cast("string").alias("address"))
         .distinct()
     )
-    lines = Scratch(spark, "part-lines").save(lines, "rows")
+    orders = confirmed.select(F.col("o_orderkey").alias("tx"))
+    lines = lookup(lines, orders, "tx", LINE_ORDER, rows=_size(spark, sf_dir))
     nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), "p_size", "p_retailprice")
     edges = address_edges(co_input_pairs_of_rows(lines, LINE_ORDER))
     return Graph(nodes, Scratch(spark, "part-edges").save(edges, "edges"))

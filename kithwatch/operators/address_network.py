@@ -43,7 +43,8 @@ def co_input_pairs(transactions: DataFrame) -> DataFrame:
 def co_input_pairs_of_rows(inputs: DataFrame, order: Sequence[str], transaction: str = "tx") -> DataFrame:
     """The same pairs when every input is a row of its own, listed by ``order``."""
     scratch = Scratch(inputs.sparkSession, "co-input")
-    followed = next_value(inputs, [transaction], list(order), "address", "next_address", scratch, "chunks")
+    listed = scratch.save(inputs.select(transaction, *order, "address"), "inputs")
+    followed = next_value(listed, [transaction], list(order), "address", "next_address", scratch, "chunks")
     return followed.select("address", "next_address").where(is_usable("address") & is_usable("next_address"))
 
 

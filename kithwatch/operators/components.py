@@ -91,4 +91,5 @@ def address_users(components: DataFrame) -> DataFrame:
     # The smallest node of a component names it, so the distinct names need no shuffle.
     names = placed.where(F.col("id") == F.col("component")).select("component")
     ids = dense_ids(names, "component", "user_id", scratch, "names")
-    return lookup(placed, ids, "component", ["id"]).select(F.col("id").alias("address"), "user_id")
+    found = lookup(placed, ids, "component", ["id"], rows=placed.count())
+    return found.select(F.col("id").alias("address"), "user_id")

@@ -24,7 +24,8 @@ def edge_betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ends = both_directions(edges.where(F.col("src") != F.col("dst")))
     fans = ends.groupBy("node").agg(F.count(F.lit(1)).alias("fan"))
     links = scratch.save(
-        lookup(ends, fans.withColumnRenamed("node", "neighbor"), "neighbor", ["node"]), "links"
+        lookup(ends, fans.withColumnRenamed("node", "neighbor"), "neighbor", ["node"], rows=2 * edges.count()),
+        "links",
     )
     levels = [
         scratch.save(
@@ -34,9 +35,11 @@ def edge_betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             "level-0",
         )
     ]
-    while not levels[-1].isEmpty():
+    # Rows that a level gives at the neighbours of its nodes; none once all is reached.
+    spreads = [_fan_out(levels[0])]
+    while spreads[-1]:
         reached = (
-            _spread(levels[-1], links)
+            _spread(levels[-1], links, spreads[-1])
             .groupBy("source", F.col("neighbor").alias("node"))
             .agg(F.sum("paths").alias("paths"), F.max("next_fan").alias("fan"))
         )
@@ -44,6 +47,7 @@ def edge_betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         for seen in levels[-2:]:
             reached = reached.join(seen.select("source", "node"), ["source", "node"], "left_anti")
         levels.append(scratch.save(reached, f"level-{len(levels)}"))
+        spreads.append(_fan_out(levels[-1]))
 
     shares = None
     flows = []
@@ -54,7 +58,9 @@ def edge_betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         else:
             level = level.withColumn("share", F.lit(0.0))
         handed = _spread(
-            level.select("source", "node", ((1 + F.col("share")) / F.col("paths")).alias("paths"), "fan"), links
+            level.select("source", "node", ((1 + F.col("share")) / F.col("paths")).alias("paths"), "fan"),
+            links,
+            spreads[depth],
         )
         before = levels[depth - 1].select("source", F.col("node").alias("neighbor"), F.col("paths").alias("ways"))
         flow = scratch.save(
@@ -75,11 +81,15 @@ def edge_betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return total.groupBy("src", "dst").agg((F.sum("flow") / 2).alias("betweenness"))
 
 
-def _spread(level: DataFrame, links: DataFrame) -> DataFrame:
+def _fan_out(level: DataFrame) -> int:
+    return level.agg(F.sum("fan")).first()[0] or 0
+
+
+def _spread(level: DataFrame, links: DataFrame, rows: int) -> DataFrame:
     """Each row of a level at every neighbour of its node, the rows of a hub split up."""
     hot = hot_keys(level, ["node"], F.col("fan"))
     onward = links.select("node", "neighbor", F.col("fan").alias("next_fan"))
-    return lookup(level.select("source", "node", "paths"), onward, "node", ["source"], hot=hot)
+    return lookup(level.select("source", "node", "paths"), onward, "node", ["source"], rows=rows, hot=hot)
 
 
 def girvan_newman_communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -105,7 +115,8 @@ def girvan_newman_communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     placed = scratch.save(parts, "parts")
     names = placed.where(F.col("id") == F.col("component")).select("component")
     ids = dense_ids(names, "component", "community", scratch, "names")
-    return lookup(placed, ids, "component", ["id"]).select(F.col("id").alias("node"), "community")
+    found = lookup(placed, ids, "component", ["id"], rows=placed.count())
+    return found.select(F.col("id").alias("node"), "community")
 
 
 def _count(parts: DataFrame) -> int:

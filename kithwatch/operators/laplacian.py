@@ -66,9 +66,10 @@ def laplacian_scores_with(features: DataFrame, affinity: DataFrame) -> DataFrame
     vectors = centred.groupBy("node").agg(
         F.map_from_entries(F.collect_list(F.struct(F.struct(*FEATURE), "value"))).alias("f")
     )
+    rows = affinity.count()
     # A node's features travel as one bounded map, so an edge is joined once per end.
-    left = lookup(affinity, vectors.select(F.col("node").alias("i"), F.col("f").alias("fi")), "i", ["j"])
-    both = lookup(left, vectors.select(F.col("node").alias("j"), F.col("f").alias("fj")), "j", ["i"])
+    left = lookup(affinity, vectors.select(F.col("node").alias("i"), F.col("f").alias("fi")), "i", ["j"], rows=rows)
+    both = lookup(left, vectors.select(F.col("node").alias("j"), F.col("f").alias("fj")), "j", ["i"], rows=rows)
     within = (
         both.select("weight", "fj", F.explode("fi").alias("feature", "value"))
         .groupBy("feature.attr", "feature.idx")

@@ -69,9 +69,11 @@ def nearest_affinity(nodes: DataFrame, attributes=None, widths=None, k: int = 5)
     )
     place = Window.partitionBy("i").orderBy(F.desc(F.round("similarity", 12)), "j")
     chosen = candidates.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k).select("i", "j")
-    return (
+    links = (
         chosen.unionByName(chosen.select(F.col("j").alias("i"), F.col("i").alias("j")))
         .unionByName(vectors.select(F.col("node").alias("i"), F.col("node").alias("j")))
         .distinct()
         .withColumn("weight", F.lit(1.0))
     )
+    # Written, so that whoever joins the links does not compare all nodes again.
+    return scratch.save(links, "links")

@@ -43,14 +43,18 @@ def payments_of(transactions: DataFrame) -> DataFrame:
 def payments_of_rows(
     inputs: DataFrame, outputs: DataFrame, order: Sequence[str], transaction: str = "tx"
 ) -> DataFrame:
-    """The same table when every input and output is a row of its own."""
+    """The same table when every input and output is a row of its own.
+
+    A column ``count`` of the outputs says how many payments a row stands for.
+    """
+    number = F.col("count") if "count" in outputs.columns else F.lit(1)
     first = inputs.groupBy(transaction).agg(F.min_by("address", F.struct(*order)).alias("sender"))
     received = _totals(
-        outputs.select(transaction, F.col("address").alias("receiver"), "value", F.lit(1).alias("count")),
+        outputs.select(transaction, F.col("address").alias("receiver"), "value", number.alias("count")),
         transaction,
     )
     sent = lookup(received, first, transaction, ["receiver"]).drop(transaction)
-    silent = first.join(outputs.select(transaction), transaction, "left_anti").select("sender")
+    silent = first.join(outputs.select(transaction).distinct(), transaction, "left_anti").select("sender")
     return _totals(sent.unionByName(silent, allowMissingColumns=True), "sender")
 
 
