@@ -107,19 +107,23 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
+def ranges(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each maximal run of marked bytes begins and ends; a run ends with its text."""
+    padded = np.zeros(len(inside) + 2, bool)
+    padded[1:-1] = inside
+    opens = inside & ~padded[:-2]
+    closes = inside & ~padded[2:]
+    edges = offsets[(offsets > 0) & (offsets < len(inside))]
+    opens[edges] = inside[edges]
+    closes[edges - 1] = inside[edges - 1]
+    return np.flatnonzero(opens), np.flatnonzero(closes) + 1
+
+
 def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, lower: bool = True) -> Words:
-    """Maximal runs of bytes that are no separators; a run ends with its text."""
+    """Maximal runs of bytes that are no separators."""
     if lower:
         data = LOWER[data]
-    inside = np.zeros(len(data) + 2, bool)
-    np.logical_not(separators[data], out=inside[1:-1])
-    opens = inside[1:-1] & ~inside[:-2]
-    closes = inside[1:-1] & ~inside[2:]
-    edges = offsets[(offsets > 0) & (offsets < len(data))]
-    opens[edges] = inside[1:-1][edges]
-    closes[edges - 1] = inside[1:-1][edges - 1]
-    start = np.flatnonzero(opens)
-    stop = np.flatnonzero(closes) + 1
+    start, stop = ranges(~separators[data], offsets)
     return Words(start, stop, Rolling(data).of(start, stop), np.searchsorted(start, offsets))
 
 

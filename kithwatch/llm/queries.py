@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kithwatch.llm.fingerprints import compare_with_next
 from kithwatch.llm.language import identify_language, learn_prototypes
+from kithwatch.llm.licenses import scan_licenses
+from kithwatch.llm.packing import pack_best_fit, tokenized_pieces
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -16,6 +19,18 @@ def _fold(folds: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
 
 
+def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    # The vocabulary files are installed with the tokenizers, on executors too.
+    import public_tokenizers
+
+    pieces = tokenized_pieces(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack_best_fit(pieces)
+
+
+def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_licenses(_table(spark, folder, "documents"))
+
+
 def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents")
     prototypes = learn_prototypes(documents.where(_fold(5) != 0))
@@ -23,5 +38,14 @@ def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", (_fold(5) == 0).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op6_language_id": op6_language_id}
+def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return compare_with_next(_table(spark, folder, "documents"))
+
+
+QUERIES = {
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_license_scan": op4_license_scan,
+    "op6_language_id": op6_language_id,
+    "op9_fingerprints": op9_fingerprints,
+}
 ORACLE: dict[str, str] = {}
