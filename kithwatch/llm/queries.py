@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kithwatch.llm.fingerprints import compare_with_next
+from kithwatch.llm.jaccard import jaccard_components
 from kithwatch.llm.language import identify_language, learn_prototypes
 from kithwatch.llm.licenses import scan_licenses
 from kithwatch.llm.packing import pack_best_fit, tokenized_pieces
@@ -19,6 +20,10 @@ def _fold(folds: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
 
 
+def op1_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_components(_table(spark, folder, "documents"), size=3, least=90, of=100)
+
+
 def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     # The vocabulary files are installed with the tokenizers, on executors too.
     import public_tokenizers
@@ -43,6 +48,7 @@ def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_license_scan": op4_license_scan,
     "op6_language_id": op6_language_id,
