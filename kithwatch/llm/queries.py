@@ -10,6 +10,7 @@ from kithwatch.llm.jaccard import jaccard_components
 from kithwatch.llm.language import identify_language, learn_prototypes
 from kithwatch.llm.licenses import scan_licenses
 from kithwatch.llm.packing import pack_best_fit, tokenized_pieces
+from kithwatch.llm.repeats import remove_repeats
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -47,11 +48,16 @@ def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return compare_with_next(_table(spark, folder, "documents"))
 
 
+def op10_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(_table(spark, folder, "documents")).drop("kept")
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_license_scan": op4_license_scan,
     "op6_language_id": op6_language_id,
     "op9_fingerprints": op9_fingerprints,
+    "op10_repeated_strings": op10_repeated_strings,
 }
 ORACLE: dict[str, str] = {}
