@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kithwatch.llm.fingerprints import compare_with_next
 from kithwatch.llm.jaccard import jaccard_components
+from kithwatch.llm.kneser_ney import score_texts, train
 from kithwatch.llm.language import identify_language, learn_prototypes
 from kithwatch.llm.licenses import scan_licenses
 from kithwatch.llm.packing import pack_best_fit, tokenized_pieces
@@ -41,7 +42,14 @@ def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents")
     prototypes = learn_prototypes(documents.where(_fold(5) != 0))
     found = identify_language(documents.select("doc_id", "text"), prototypes)
-    return found.select("doc_id", (_fold(5) == 0).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op7_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents")
+    scored = score_texts(documents, train(documents.where(_fold(7) != 2)))
+    held_out = F.coalesce(_fold(7) == 2, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
 
 def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,6 +65,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_license_scan": op4_license_scan,
     "op6_language_id": op6_language_id,
+    "op7_kneser_ney": op7_kneser_ney,
     "op9_fingerprints": op9_fingerprints,
     "op10_repeated_strings": op10_repeated_strings,
 }
