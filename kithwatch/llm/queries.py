@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kithwatch.llm.decontamination import contamination
 from kithwatch.llm.fingerprints import compare_with_next
 from kithwatch.llm.jaccard import jaccard_components
 from kithwatch.llm.kneser_ney import score_texts, train
@@ -12,6 +13,7 @@ from kithwatch.llm.language import identify_language, learn_prototypes
 from kithwatch.llm.licenses import scan_licenses
 from kithwatch.llm.packing import pack_best_fit, tokenized_pieces
 from kithwatch.llm.repeats import remove_repeats
+from kithwatch.llm.urls import judge_urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,6 +40,10 @@ def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return scan_licenses(_table(spark, folder, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents")
     prototypes = learn_prototypes(documents.where(_fold(5) != 0))
@@ -52,6 +58,10 @@ def op7_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
 
+def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return judge_urls(_table(spark, folder, "pages"))
+
+
 def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return compare_with_next(_table(spark, folder, "documents"))
 
@@ -64,8 +74,10 @@ QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_license_scan": op4_license_scan,
+    "op5_decontamination": op5_decontamination,
     "op6_language_id": op6_language_id,
     "op7_kneser_ney": op7_kneser_ney,
+    "op8_url_filter": op8_url_filter,
     "op9_fingerprints": op9_fingerprints,
     "op10_repeated_strings": op10_repeated_strings,
 }
