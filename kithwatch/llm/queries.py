@@ -12,6 +12,7 @@ from kithwatch.llm.kneser_ney import score_texts, train
 from kithwatch.llm.language import identify_language, learn_prototypes
 from kithwatch.llm.licenses import scan_licenses
 from kithwatch.llm.packing import pack_best_fit, tokenized_pieces
+from kithwatch.llm.pii import find_personal_data
 from kithwatch.llm.repeats import remove_repeats
 from kithwatch.llm.urls import judge_urls
 
@@ -36,6 +37,10 @@ def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_best_fit(pieces)
 
 
+def op3_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return find_personal_data(_table(spark, folder, "documents"))
+
+
 def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return scan_licenses(_table(spark, folder, "documents"))
 
@@ -73,6 +78,7 @@ def op10_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_personal_data": op3_personal_data,
     "op4_license_scan": op4_license_scan,
     "op5_decontamination": op5_decontamination,
     "op6_language_id": op6_language_id,
