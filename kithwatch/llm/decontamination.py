@@ -125,6 +125,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 def without_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Rows without a hit, with all their columns."""
     hits = benchmark_hits(documents, benchmark, window).select("_id", "_text").distinct()
-    named = documents.withColumn("__text", F.xxhash64("text"))
-    match = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("__text") == F.col("_text"))
-    return named.join(hits, match, "left_anti").drop("__text")
+    # The row travels as one column, so that none of its names can clash.
+    rows = documents.select(F.struct("*").alias("row"), F.col("doc_id").alias("key"), F.xxhash64("text").alias("key_text"))
+    match = F.col("key").eqNullSafe(F.col("_id")) & (F.col("key_text") == F.col("_text"))
+    return rows.join(hits, match, "left_anti").select("row.*")

@@ -218,11 +218,11 @@ def _said(spans: str) -> Column:
 
 
 def _with_spans(documents: DataFrame, sample: int) -> DataFrame:
-    """All rows and columns with ``__base`` and ``__spans``."""
-    found = personal_spans(documents, sample).withColumnsRenamed({"base": "__base", "spans": "__spans", "_id": "__id", "_text": "__key"})
-    named = documents.withColumn("__text", F.xxhash64("text"))
-    match = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key"))
-    return named.join(found, match, "left").drop("__text", "__id", "__key")
+    """``(row, base, spans)`` for all rows; ``row`` holds all their columns, so that no name can clash."""
+    found = personal_spans(documents, sample)
+    rows = documents.select(F.struct("*").alias("row"), F.col("doc_id").alias("key"), F.xxhash64("text").alias("key_text"))
+    match = F.col("key").eqNullSafe(F.col("_id")) & (F.col("key_text") == F.col("_text"))
+    return rows.join(found, match, "left").select("row", "base", "spans")
 
 
 def find_personal_data(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -230,10 +230,10 @@ def find_personal_data(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
     rows = _with_spans(documents.select("doc_id", "text"), sample)
 
     def number_of(nth: int) -> Column:
-        return F.coalesce(F.size(F.filter("__base", lambda s: s["nth"] == nth)), F.lit(0)).cast("long")
+        return F.coalesce(F.size(F.filter("base", lambda s: s["nth"] == nth)), F.lit(0)).cast("long")
 
     counts = [number_of(nth).alias(f"n_{kind}") for nth, kind in enumerate(KINDS, 1)]
-    return rows.select("doc_id", *counts, F.sha2(_said("__base"), 256).alias("base_sha256"), _said("__spans").alias("spans"))
+    return rows.select("row.doc_id", *counts, F.sha2(_said("base"), 256).alias("base_sha256"), _said("spans").alias("spans"))
 
 
 def redact(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -241,19 +241,18 @@ def redact(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     Overlapping spans are replaced as one, named after the first. A null text stays null.
     """
-    columns = documents.columns
-    rows = _with_spans(documents, sample)
+    text = F.col("row.text")
     kind = F.array(*(F.lit(f"<{name.upper()}>") for name in KINDS))
     start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).cast("long").alias("at"))
 
     def step(state: Column, span: Column) -> Column:
-        kept = F.substr("text", (state["at"] + 1).cast("int"), (span["start"] - state["at"]).cast("int"))
+        kept = F.substr(text, (state["at"] + 1).cast("int"), (span["start"] - state["at"]).cast("int"))
         added = F.array_append(F.array_append(state["parts"], kept), F.element_at(kind, span["nth"]))
         further = F.struct(state["parts"].alias("parts"), F.greatest(state["at"], span["end"]).alias("at"))
         return F.when(span["start"] < state["at"], further).otherwise(F.struct(added.alias("parts"), span["end"].alias("at")))
 
-    folded = F.aggregate("__spans", start, step)
-    rows = rows.withColumn("__folded", F.when(F.size("__spans") > 0, folded))
-    tail = F.substr("text", (F.col("__folded.at") + 1).cast("int"), F.length("text"))
-    text = F.when(F.col("__folded").isNotNull(), F.concat(F.array_join("__folded.parts", ""), tail)).otherwise(F.col("text"))
-    return rows.withColumn("text", text).select(*columns)
+    rows = _with_spans(documents, sample)
+    rows = rows.withColumn("folded", F.when(F.size("spans") > 0, F.aggregate("spans", start, step)))
+    tail = F.substr(text, (F.col("folded.at") + 1).cast("int"), F.length(text))
+    cleaned = F.when(F.col("folded").isNotNull(), F.concat(F.array_join("folded.parts", ""), tail)).otherwise(text)
+    return rows.select(*(cleaned.alias("text") if name == "text" else F.col(f"row.`{name}`") for name in documents.columns))
