@@ -16,12 +16,14 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from kithwatch import detect_anomalies  # noqa: E402
+from kithwatch.shipping import ship  # noqa: E402
 from kithwatch.sources.graphml import read_graphml  # noqa: E402
 
 
 def main(graphml: str, output: str, cache: str | None = None) -> None:
     begun = time.perf_counter()
     spark = SparkSession.builder.appName("detect").getOrCreate()
+    ship(spark)
     found = detect_anomalies(
         read_graphml(spark, graphml),
         comm_method="louvain",

@@ -61,7 +61,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
     A node without edges is a component of its own. Raises when the rounds do not settle.
     """
     scratch = Scratch(edges.sparkSession, "components")
-    numbers = scratch.save(dense_ids(nodes.select("id").distinct(), "id", "number", scratch, "ids"), "numbers")
+    distinct = scratch.save(nodes.select("id").distinct(), "nodes")
+    numbers = scratch.save(dense_ids(distinct, "id", "number", scratch, "ids", distinct.count()), "numbers")
     current = _numbered_edges(edges, numbers, scratch)
     before = _fingerprint(current)
     done = 0

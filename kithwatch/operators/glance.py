@@ -14,6 +14,8 @@ from kithwatch.operators.scratch import Scratch
 from kithwatch.operators.skew import lookup, running_total
 
 CELL = ["community", "attr", "idx"]
+# Fixed value: the largest double that is a 64-bit whole number.
+LARGEST = 9223372036854774784.0
 
 # Places of a row among equal keys: what lies below a value, the value, what it reaches.
 _BELOW, _VALUE, _REACH = 0, 1, 2
@@ -48,9 +50,11 @@ def _differences(values: DataFrame, largest: int, scratch: Scratch) -> DataFrame
     ranked = running_total(values, CELL, ["value"], "nodes", "upto", "n", scratch, "ranked", largest)
     infinite = F.isnan("value") | (F.abs("value") == float("inf"))
     balance = 2 * F.col("upto") - F.col("nodes") - F.col("n")
+    # By way of a long, as the cast of a large double to decimal goes by its shortest text.
+    whole = F.least(F.col("value"), F.lit(LARGEST)).cast("long")
     whole_term = F.when(
         F.col("whole") & ~infinite,
-        _exact(F.col("value"), 17) * (_exact(F.col("nodes"), 19) * _exact(balance, 19)),
+        _exact(whole, 19) * (_exact(F.col("nodes"), 19) * _exact(balance, 19)),
     )
     term = F.col("value") * F.col("nodes") * balance
     return (

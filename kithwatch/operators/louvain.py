@@ -161,10 +161,10 @@ def _settle(
             scratch.drop(f"{name}-{number - 1}")
         # A round in which nobody moved may only have held back those who would.
         quiet = quiet + 1 if moved == 0 else 0
-        stalled = len(tops) > PATIENCE and tops[-1] - tops[-1 - PATIENCE] <= tolerance * abs(tops[-1])
+        stalled = len(tops) > PATIENCE and tops[-1] - tops[-1 - PATIENCE] <= max(LEAST_GAIN, tolerance * abs(tops[-1]))
         if quiet == 2 or stalled:
-            break
-    return best, tops[-1]
+            return best, tops[-1]
+    raise RuntimeError(f"communities not settled after {max_rounds} rounds")
 
 
 def louvain_communities(
@@ -173,15 +173,16 @@ def louvain_communities(
     weight: str | None = None,
     seed: int = 7,
     share: float = 0.75,
-    tolerance: float = 0.01,
-    max_rounds: int = 200,
-    max_levels: int = 20,
+    tolerance: float = 0.0,
+    max_rounds: int = 1000,
+    max_levels: int = 100,
 ) -> DataFrame:
     """``(node, community)`` of every node; isolated nodes are alone.
 
     ``weight`` names the edge column to use, by default ``weight`` where there is one. In
-    each round this ``share`` of the nodes may move. A level ends when the modularity has
-    grown by less than the ``tolerance``, relative to itself, in three rounds. Communities
+    each round this ``share`` of the nodes may move. A level ends when nobody moves, or when the
+    modularity has not grown in three rounds; a ``tolerance`` above 0 ends it when it has grown by
+    less than that, relative to itself. Raises when rounds or levels do not settle. Communities
     are numbered by their smallest node. The same input and seed give the same result.
     """
     scratch = Scratch(edges.sparkSession, "louvain")
@@ -203,7 +204,11 @@ def louvain_communities(
     placed = ids.select("id", F.col("u").alias("c"))
     everyone = level.members
     quality = float("-inf")
-    for depth in range(max_levels if level.double_m else 0):
+    depth = -1
+    while level.double_m:
+        depth += 1
+        if depth == max_levels:
+            raise RuntimeError(f"communities not settled after {max_levels} levels")
         labels, reached = _settle(
             level, scratch, f"level-{depth}-round", seed + depth, share, tolerance, max_rounds
         )

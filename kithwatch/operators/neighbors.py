@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -15,6 +16,8 @@ from kithwatch.operators.scratch import Scratch
 
 # Fixed value: vectors shorter than this are not stretched to length 1.
 LEAST_LENGTH = 1e-12
+#: Similarities that agree to so many digits are equal.
+DIGITS = 12
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -22,17 +25,22 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 
 def _closest(k: int, width: int, node_type: pa.DataType):
-    """Candidates of both blocks of a pair: the k best rows of the other block, ties kept."""
+    """Candidates of both blocks of a pair: the k best rows of the other block.
+
+    Similarities are rounded first and equal ones go to the smaller node, as in the end, so a
+    block hands on k rows for each node and never drops one that belongs to its best.
+    """
     schema = pa.schema([("i", node_type), ("j", node_type), ("similarity", pa.float64())])
 
     def best(similarity: np.ndarray, own: pa.Array, other: pa.Array) -> pa.RecordBatch:
-        if similarity.shape[1] > k:
-            limit = -np.partition(-similarity, k - 1, axis=1)[:, k - 1]
-        else:
-            limit = np.full(len(similarity), -np.inf)
-        rows, columns = np.nonzero((similarity >= limit[:, None]) & (similarity > -np.inf))
+        by_node = pc.sort_indices(other).to_numpy()
+        similarity = np.round(similarity[:, by_node], DIGITS)
+        chosen = np.argsort(-similarity, axis=1, kind="stable")[:, :k]
+        rows, places = np.nonzero(np.take_along_axis(similarity, chosen, axis=1) > -np.inf)
+        places = chosen[rows, places]
+        columns = by_node[places]
         return pa.RecordBatch.from_arrays(
-            [own.take(pa.array(rows)), other.take(pa.array(columns)), pa.array(similarity[rows, columns])],
+            [own.take(pa.array(rows)), other.take(pa.array(columns)), pa.array(similarity[rows, places])],
             schema=schema,
         )
 
@@ -67,7 +75,7 @@ def nearest_affinity(nodes: DataFrame, attributes=None, widths=None, k: int = 5)
         _closest(k, len(features), to_arrow_type(node_type)),
         f"i {node_type.simpleString()}, j {node_type.simpleString()}, similarity double",
     )
-    place = Window.partitionBy("i").orderBy(F.desc(F.round("similarity", 12)), "j")
+    place = Window.partitionBy("i").orderBy(F.desc("similarity"), "j")
     chosen = candidates.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k).select("i", "j")
     links = (
         chosen.unionByName(chosen.select(F.col("j").alias("i"), F.col("i").alias("j")))

@@ -85,12 +85,18 @@ def largest_group(table: DataFrame, group: Sequence[str]) -> int:
     return table.groupBy(*group).count().agg(F.max("count").alias("n")).first().n or 0
 
 
-def _by_range(table: DataFrame, group: Sequence[str], order: Sequence[str], scratch: Scratch, name: str) -> DataFrame:
+def _by_range(
+    table: DataFrame, group: Sequence[str], order: Sequence[str], scratch: Scratch, name: str, rows: int = 0
+) -> DataFrame:
     """The table cut into key ranges, ``_chunk`` numbering them in key order.
 
-    Written out, so that the chunk of a row stays the same however often it is read.
+    There are as many ranges as shuffle partitions, and more where ``rows`` need them to stay
+    below the window limit; a given number is not merged at run time. Written out, so that the
+    chunk of a row stays the same however often it is read.
     """
-    ranged = table.repartitionByRange(*group, *order).withColumn("_chunk", F.spark_partition_id())
+    spark = table.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // window_rows(spark)))
+    ranged = table.repartitionByRange(parts, *group, *order).withColumn("_chunk", F.spark_partition_id())
     return scratch.save(ranged, name)
 
 
@@ -118,7 +124,7 @@ def running_total(
         whole = Window.partitionBy(*group)
         so_far = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return table.withColumn(into, F.sum(weight).over(so_far)).withColumn(total, F.sum(weight).over(whole))
-    chunks = _by_range(table, group, order, scratch, name)
+    chunks = _by_range(table, group, order, scratch, name, table.count())
     before = Window.partitionBy(*group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         chunks.groupBy(*group, "_chunk")
@@ -147,7 +153,7 @@ def next_value(
     """The ``value`` of the following row of the group, null at its end."""
     if largest_group(table, group) <= window_rows(table.sparkSession):
         return table.withColumn(into, F.lead(value).over(Window.partitionBy(*group).orderBy(*order)))
-    chunks = _by_range(table, group, order, scratch, name)
+    chunks = _by_range(table, group, order, scratch, name, table.count())
     following = Window.partitionBy(*group).orderBy("_chunk")
     # The value is wrapped so that a following null is told apart from no following row.
     heads = (
@@ -165,9 +171,12 @@ def next_value(
     )
 
 
-def dense_ids(keys: DataFrame, key: str, into: str, scratch: Scratch, name: str) -> DataFrame:
-    """Number distinct keys 0, 1, 2, ... in key order without a global window."""
-    chunks = _by_range(keys.select(key), [], [key], scratch, name)
+def dense_ids(keys: DataFrame, key: str, into: str, scratch: Scratch, name: str, rows: int = 0) -> DataFrame:
+    """Number distinct keys 0, 1, 2, ... in key order without a global window.
+
+    ``rows``, where the caller knows them, keep the ranges below the window limit.
+    """
+    chunks = _by_range(keys.select(key), [], [key], scratch, name, rows)
     before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     # One row per range, so this window is as small as the number of partitions.
     offsets = (

@@ -21,8 +21,8 @@ from kithwatch.operators.laplacian import FEATURE
 from kithwatch.operators.row_blocks import block_pairs, feature_vectors, matrices
 from kithwatch.operators.scratch import Scratch
 
-# Fixed value: two nodes farther apart than this have a similarity below 1e-16.
-NEGLIGIBLE = 36.85
+# Fixed value: exp of less than minus this is exactly 0 in double precision.
+UNDERFLOW = 746.0
 # Below this part of its own square sum a feature counts as constant.
 CONSTANT = 1e-12
 
@@ -70,14 +70,14 @@ def _pair_sums(gamma: float, width: int):
 def spec_scores(nodes: DataFrame, attributes=None, widths=None, gamma: float = 1.0) -> DataFrame:
     """``(attr, idx, score)`` of the attributes; null for a feature that does not vary.
 
-    Every pair of nodes whose similarity is above 1e-16 is weighed, block by block: a task
-    gets two blocks of rows and hands on sums per feature, never pairs.
+    Every pair of nodes whose similarity is not exactly 0 in double precision is weighed, block
+    by block: a task gets two blocks of rows and hands on sums per feature, never pairs.
     """
     scratch = Scratch(nodes.sparkSession, "spec")
     vectors, features = feature_vectors(nodes, attributes, widths)
     if not features:
         return nodes.sparkSession.createDataFrame([], "attr string, idx int, score double")
-    pairs = block_pairs(vectors, len(features), scratch, radius=float(np.sqrt(NEGLIGIBLE / gamma)), centred=True)
+    pairs = block_pairs(vectors, len(features), scratch, radius=float(np.sqrt(UNDERFLOW / gamma)), centred=True)
     parts = pairs.mapInArrow(_pair_sums(gamma, len(features)), _SUMS)
     names = F.array(*(F.struct(F.lit(attr).alias("attr"), F.lit(idx).alias("idx")) for attr, idx in features))
     sums = (

@@ -15,6 +15,11 @@ BLOCK_SCHEMA = (
 )
 
 
+def _options(reader, one_per_line: bool):
+    """Batch and stream read alike; a malformed file fails the run, it is never left out."""
+    return reader.schema(BLOCK_SCHEMA).option("multiLine", not one_per_line).option("mode", "FAILFAST")
+
+
 def transactions_of(blocks: DataFrame, lenient_time: bool = False) -> DataFrame:
     """One row per transaction of a table of blocks, its time as timestamp."""
     return (
@@ -31,18 +36,16 @@ def read_transactions(
 
     The schema is given, so no pass over the files is spent on guessing it.
     """
-    blocks = spark.read.schema(BLOCK_SCHEMA).option("multiLine", not one_per_line).option("mode", "FAILFAST").json(path)
-    return transactions_of(blocks, lenient_time)
+    return transactions_of(_options(spark.read, one_per_line).json(path), lenient_time)
 
 
 def stream_transactions(
-    spark: SparkSession, path: str, one_per_line: bool = False, files_per_batch: int = 1000
+    spark: SparkSession,
+    path: str,
+    one_per_line: bool = False,
+    files_per_batch: int = 1000,
+    lenient_time: bool = False,
 ) -> DataFrame:
     """The same as a stream of the files that arrive in the folder."""
-    blocks = (
-        spark.readStream.schema(BLOCK_SCHEMA)
-        .option("multiLine", not one_per_line)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .json(path)
-    )
-    return transactions_of(blocks)
+    reader = _options(spark.readStream, one_per_line).option("maxFilesPerTrigger", files_per_batch)
+    return transactions_of(reader.json(path), lenient_time)

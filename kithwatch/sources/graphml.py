@@ -22,13 +22,17 @@ _DATA = "data array<struct<_VALUE string, _key string>>"
 _KEY = "_id string, `_attr.name` string, `_attr.type` string, _for string, default string"
 
 
-def read_graphml(spark: SparkSession, path: str, name_by: str = "name") -> Graph:
+def read_graphml(spark: SparkSession, path: str, name_by: str = "name", directed: str = "error") -> Graph:
     """Read an undirected graph from a file, a folder or a pattern.
 
     Attributes become columns of their declared type, named by ``attr.name`` or, with
     ``name_by="id"``, by the key that the data refer to. Declared defaults fill missing
-    values.
+    values. Ends of edges that are not declared become nodes with default attributes. Of
+    several edges between two nodes one stays, that with the smallest attributes. A graph that
+    says its edges are directed raises, unless ``directed="ignore"`` takes them as undirected.
     """
+    if directed not in ("error", "ignore"):
+        raise ValueError(f"directed must be 'error' or 'ignore', not {directed!r}")
     if name_by not in ("name", "id"):
         raise ValueError(f"name_by must be 'name' or 'id', not {name_by!r}")
 
@@ -49,8 +53,19 @@ def read_graphml(spark: SparkSession, path: str, name_by: str = "name") -> Graph
             name = (key["_attr.name"] if name_by == "name" else None) or key["_id"]
             yield (text if kind == "string" else F.trim(text).try_cast(kind)).alias(name)
 
-    nodes = rows("node", f"_id string, {_DATA}").select(F.col("_id").alias("id"), *attributes("node"))
-    edges = rows("edge", f"_source string, _target string, {_DATA}").select(
+    # One row for each graph element that says so.
+    if directed == "error" and not rows("graph", "_edgedefault string").where("_edgedefault = 'directed'").isEmpty():
+        raise ValueError("the edges are directed; directed='ignore' reads them as undirected")
+    linked = rows("edge", f"_source string, _target string, {_DATA}")
+    declared = rows("node", f"_id string, {_DATA}")
+    ends = linked.select(F.explode(F.array("_source", "_target")).alias("_id")).distinct()
+    missing = ends.join(declared, "_id", "left_anti").withColumn("data", F.lit(None).cast(declared.schema["data"].dataType))
+    nodes = declared.unionByName(missing).select(F.col("_id").alias("id"), *attributes("node"))
+    edges = linked.select(
         low_end("_source", "_target").alias("src"), high_end("_source", "_target").alias("dst"), *attributes("edge")
     )
-    return Graph(nodes, edges)
+    extra = [name for name in edges.columns if name not in ("src", "dst")]
+    if not extra:
+        return Graph(nodes, edges.distinct())
+    one = edges.groupBy("src", "dst").agg(F.min(F.struct(*(F.col(f"`{name}`") for name in extra))).alias("kept"))
+    return Graph(nodes, one.select("src", "dst", "kept.*"))

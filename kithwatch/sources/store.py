@@ -27,9 +27,17 @@ def load_address_users(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _exists(spark: SparkSession, path: str, delete: bool = False) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.delete(target, True) if delete else system.exists(target)
+
+
 def _load_if_there(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        return spark.read.parquet(path)
+        found = spark.read.parquet(path)
+        # A folder without the mark of a finished write may hold half a result.
+        return found if _exists(spark, f"{path}/_SUCCESS") else None
     except AnalysisException as missing:
         if missing.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
@@ -64,8 +72,10 @@ def save_anomalies(anomalies: DataFrame, path: str, mode: str = "overwrite") ->
 def save_anomalies_json(anomalies: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One JSON object per anomaly; an infinite score is the text ``Infinity``.
 
-    Raises when there is no anomaly to write.
+    Raises when there is no anomaly to write. What was written is looked at, so the plan runs
+    once.
     """
-    if anomalies.isEmpty():
-        raise ValueError("no anomalies to write")
     anomalies.write.mode(mode).json(path)
+    if mode != "append" and anomalies.sparkSession.read.text(path).isEmpty():
+        _exists(anomalies.sparkSession, path, delete=True)
+        raise ValueError("no anomalies to write")
