@@ -81,23 +81,25 @@ _RANGE = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})$"
 
 def _proposals(text: Column, kind: str, pattern: str, wider: bool) -> Column:
     """Array of matches, each with the length of the text since the match before and its context."""
+    # All arrays are arguments, not parts of a lambda, which would split the text again for each match.
     between, found = F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(found, F.sequence(F.lit(0), F.size(found)), lambda match, k: F.struct(match.alias("match"), k.alias("k")))
+    pairs = F.zip_with(between, found, lambda before, match: F.struct(before.alias("before"), match.alias("match")))
+    triples = F.zip_with(pairs, F.slice(between, 2, 1 << 30), lambda pair, after: F.struct(pair.alias("pair"), after.alias("after")))
 
-    def with_context(pair: Column) -> Column:
-        before = F.element_at(between, pair["k"] + 1)
+    def with_context(triple: Column, k: Column) -> Column:
+        before = triple["pair"]["before"]
         return F.struct(
             F.lit(kind).alias("kind"),
             F.lit(wider).alias("wider"),
-            pair["k"].alias("k"),
-            pair["match"].alias("match"),
+            k.alias("k"),
+            triple["pair"]["match"].alias("match"),
             F.length(before).alias("gap"),
             F.right(before, F.lit(_CONTEXT)).alias("before"),
-            F.left(F.element_at(between, pair["k"] + 2), F.lit(2)).alias("after"),
+            F.left(triple["after"], F.lit(2)).alias("after"),
         )
 
-    # The sequence has one entry more than there are matches.
-    made = F.transform(F.filter(pairs, lambda pair: pair["match"].isNotNull()), with_context)
+    # There is one piece of text more than there are matches.
+    made = F.transform(F.filter(triples, lambda triple: triple["pair"]["match"].isNotNull()), with_context)
     none = F.expr(
         "cast(array() as array<struct<kind:string,wider:boolean,k:int,match:string,gap:int,before:string,after:string>>)"
     )
@@ -187,12 +189,18 @@ def train_trees(found: DataFrame, sample: int = SAMPLE) -> Boosted:
 
 
 def personal_spans(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """``(_id, _text, base, spans)`` of rows with any: arrays of ``(start, nth kind, end)`` in order."""
+    """``(_id, _text, base, spans)`` of rows with any: arrays of ``(start, nth kind, end, reach)`` in order.
+
+    ``reach`` is the largest end of base spans before, or less where a span before ends later.
+    """
     scratch = Scratch(documents.sparkSession, "pii")
     found = scratch.save(candidates(documents), "candidates")
     model = train_trees(found, sample)
     rated = found.withColumn("chance", model.probability())
-    span = F.struct("start", F.col("kind_number").cast("int").alias("nth"), "end")
+    # How far base spans before this one reach, as those of different kinds may overlap.
+    earlier = Window.partitionBy("_id", "_text").orderBy("start", "kind_number", "end").rowsBetween(Window.unboundedPreceding, -1)
+    rated = rated.withColumn("reach", F.coalesce(F.max(F.when(F.col("valid"), F.col("end"))).over(earlier), F.lit(0).cast("long")))
+    span = F.struct("start", F.col("kind_number").cast("int").alias("nth"), "end", "reach")
     chosen = F.col("wider") & (F.col("chance") > model.threshold)
     rows = (
         rated.where(F.col("valid") | chosen)
@@ -207,7 +215,7 @@ def personal_spans(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
     free = F.filter("more", lambda a: ~F.exists("base", lambda b: overlaps(a, b)))
     rows = rows.withColumn("free", free)
     best = F.filter("free", lambda a: ~F.exists("free", lambda b: overlaps(a, b) & better(a, b)))
-    added = F.transform(best, lambda a: F.struct(a["start"].alias("start"), a["nth"].alias("nth"), a["end"].alias("end")))
+    added = F.transform(best, lambda a: F.struct(a["start"].alias("start"), a["nth"].alias("nth"), a["end"].alias("end"), F.lit(0).cast("long").alias("reach")))
     return rows.select("_id", "_text", "base", F.array_sort(F.concat("base", added)).alias("spans"))
 
 
@@ -243,16 +251,18 @@ def redact(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """
     text = F.col("row.text")
     kind = F.array(*(F.lit(f"<{name.upper()}>") for name in KINDS))
-    start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).cast("long").alias("at"))
 
-    def step(state: Column, span: Column) -> Column:
-        kept = F.substr(text, (state["at"] + 1).cast("int"), (span["start"] - state["at"]).cast("int"))
-        added = F.array_append(F.array_append(state["parts"], kept), F.element_at(kind, span["nth"]))
-        further = F.struct(state["parts"].alias("parts"), F.greatest(state["at"], span["end"]).alias("at"))
-        return F.when(span["start"] < state["at"], further).otherwise(F.struct(added.alias("parts"), span["end"].alias("at")))
+    def end_before(k: Column) -> Column:
+        """Where the text goes on after the first k spans."""
+        last = F.element_at("spans", F.greatest(k, F.lit(1)))
+        return F.when(k > 0, F.greatest(last["end"], last["reach"])).otherwise(F.lit(0).cast("long"))
+
+    def replaced(span: Column, k: Column) -> Column:
+        at = end_before(k)
+        kept = F.substr(text, (at + 1).cast("int"), (span["start"] - at).cast("int"))
+        return F.when(span["start"] < at, F.lit("")).otherwise(F.concat(kept, F.element_at(kind, span["nth"])))
 
     rows = _with_spans(documents, sample)
-    rows = rows.withColumn("folded", F.when(F.size("spans") > 0, F.aggregate("spans", start, step)))
-    tail = F.substr(text, (F.col("folded.at") + 1).cast("int"), F.length(text))
-    cleaned = F.when(F.col("folded").isNotNull(), F.concat(F.array_join("folded.parts", ""), tail)).otherwise(text)
+    tail = F.substr(text, (end_before(F.size("spans")) + 1).cast("int"), F.length(text))
+    cleaned = F.when(F.size("spans") > 0, F.concat(F.array_join(F.transform("spans", replaced), ""), tail)).otherwise(text)
     return rows.select(*(cleaned.alias("text") if name == "text" else F.col(f"row.`{name}`") for name in documents.columns))
