@@ -364,5 +364,41 @@ shares AS (
   GROUP BY ALL
 )
 SELECT node, round(max(share), 6) AS score FROM shares GROUP BY node HAVING max(share) > 0.6""",
+    "graphml_edges": """WITH links AS (
+  SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst, min(c_acctbal) AS balance FROM customer GROUP BY ALL
+),
+sizes AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM links UNION ALL SELECT dst FROM links) GROUP BY id)
+SELECT id, degree, dst, round(balance, 6) AS balance FROM sizes LEFT JOIN links ON src = id""",
+    "louvain_stars": """SELECT s_suppkey AS node, dense_rank() OVER (ORDER BY first) - 1 AS community
+FROM (SELECT s_suppkey, min(s_suppkey) OVER (PARTITION BY s_nationkey) AS first FROM supplier)""",
+    "nearest_ties": """WITH v AS (
+  SELECT s_suppkey AS id, [(s_nationkey + 1)::DOUBLE * (s_suppkey + 1), (s_suppkey + 1)::DOUBLE] AS v FROM supplier
+),
+near AS (
+  SELECT a.id AS i, b.id AS j, row_number() OVER (
+    PARTITION BY a.id ORDER BY round(list_cosine_similarity(a.v, b.v), 12) DESC, b.id) AS place
+  FROM v a JOIN v b ON a.id <> b.id
+)
+SELECT DISTINCT i, j, 1::DOUBLE AS weight FROM (
+  SELECT i, j FROM near WHERE place <= 5 UNION ALL SELECT j, i FROM near WHERE place <= 5
+  UNION ALL SELECT id, id FROM v)""",
+    "spec_scores_sparse": """WITH v AS (SELECT p_partkey AS id, p_retailprice / 10 AS price, p_size * 3.0::DOUBLE AS size FROM part),
+alike AS (
+  SELECT a.id AS i, a.price AS ap, b.price AS bp, a.size AS az, b.size AS bz,
+         exp(greatest(-(pow(a.price - b.price, 2) + pow(a.size - b.size, 2)), -800)) AS w
+  FROM v a, v b
+),
+strength AS (SELECT i AS id, sum(w) AS d FROM alike GROUP BY i),
+cuts AS (SELECT sum(w * pow(ap - bp, 2)) / 2 AS price, sum(w * pow(az - bz, 2)) / 2 AS size FROM alike),
+spreads AS (
+  SELECT sum(d * pow(price - (SELECT avg(price) FROM v), 2)) - pow(sum(d * (price - (SELECT avg(price) FROM v))), 2) / sum(d) AS price,
+         sum(d * pow(size - (SELECT avg(size) FROM v), 2)) - pow(sum(d * (size - (SELECT avg(size) FROM v))), 2) / sum(d) AS size
+  FROM v JOIN strength USING (id)
+)
+SELECT 'price' AS attr, -1 AS idx, round(c.price / s.price, 6) AS score FROM cuts c, spreads s
+UNION ALL SELECT 'size', -1, round(c.size / s.size, 6) FROM cuts c, spreads s""",
+    "glance_large_whole": """WITH v AS (SELECT p_partkey::VARCHAR AS node, p_brand, (p_size + 100)::HUGEINT * 9007199254740992 AS x FROM part),
+means AS (SELECT a.p_brand, sum(abs(a.x - b.x)) AS total, count(*) AS pairs FROM v a JOIN v b USING (p_brand) GROUP BY a.p_brand)
+SELECT a.node, round(count(*) FILTER (abs(a.x - b.x) * pairs > total)::DOUBLE / count(*), 6) AS score
+FROM v a JOIN v b USING (p_brand) JOIN means USING (p_brand) GROUP BY a.node""",
 }
-ORACLE["stored_anomalies"] = ORACLE["pseudo_cada"]

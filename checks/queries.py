@@ -327,6 +327,57 @@ def run_glance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(found.anomalies, "score")
 
 
+# Where ties, large numbers, distances and links decide
+
+
+def graphml_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers linked to their nations, in both directions and without node elements."""
+    folder = f"{Scratch(spark, 'graphml').base}/customers"
+    person = F.concat(F.lit("c"), F.col("c_custkey").cast("string"))
+    nation = F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))
+    data = lambda value: F.array(F.struct(F.lit("w").alias("_key"), value.cast("string").alias("_VALUE"))).alias("data")
+    customers = t.table(spark, sf_dir, "customer")
+    there = customers.select(person.alias("_source"), nation.alias("_target"), data(F.col("c_acctbal")))
+    back = customers.select(nation.alias("_source"), person.alias("_target"), data(F.col("c_acctbal") + 1))
+    key = spark.createDataFrame([("w", "balance", "double", "edge")], "_id string, `_attr.name` string, `_attr.type` string, _for string")
+    for tag, table in (("key", key), ("edge", there.union(back))):
+        table.write.format("xml").option("rootTag", "graphml").option("rowTag", tag).save(f"{folder}/{tag}")
+    graph = read_graphml(spark, f"{folder}/*")
+    sizes = graph.edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    joined = graph.nodes.join(sizes, "id").join(graph.edges, F.col("id") == F.col("src"), "left")
+    return _rounded(joined.select("id", "degree", "dst", "balance"), "balance")
+
+
+def louvain_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers linked to the first of their nation: one community for each nation, no other."""
+    suppliers = t.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), "s_nationkey")
+    first = suppliers.groupBy("s_nationkey").agg(F.min("id").alias("src"))
+    edges = suppliers.join(first, "s_nationkey").where("id != src").select("src", F.col("id").alias("dst"))
+    return louvain_communities(suppliers.select("id"), edges)
+
+
+def nearest_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers of a nation have equal directions, so the smallest ids win."""
+    vector = F.array((F.col("s_nationkey") + 1).cast("double") * (F.col("s_suppkey") + 1), (F.col("s_suppkey") + 1).cast("double"))
+    return nearest_affinity(t.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), vector.alias("v")))
+
+
+def spec_scores_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts so far apart that most similarities are next to 0."""
+    nodes = t.table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"), (F.col("p_retailprice") / 10).alias("price"), (F.col("p_size") * 3.0).alias("size")
+    )
+    return _rounded(spec_scores(nodes), "score")
+
+
+def glance_large_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole numbers of nineteen digits."""
+    large = (F.col("p_size").cast("long") + 100) * F.lit(1 << 53)
+    nodes = t.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), large.alias("large"))
+    labelled = feature_table(with_community(nodes, t.brands(spark, sf_dir)))
+    return _rounded(glance.glance_scores(labelled), "score")
+
+
 QUERIES = {
     "co_input_edges": co_input_edges,
     "address_nodes": address_nodes,
@@ -365,4 +416,9 @@ QUERIES = {
     "laplacian_nearest": laplacian_of_nearest,
     "spec_scores": spec,
     "run_glance": run_glance,
+    "graphml_edges": graphml_edges,
+    "louvain_stars": louvain_stars,
+    "nearest_ties": nearest_ties,
+    "spec_scores_sparse": spec_scores_sparse,
+    "glance_large_whole": glance_large_whole,
 }
