@@ -6,7 +6,8 @@ merging the transforms of small shards (Holt, McMillan: "Merging of multi-string
 applications", 2014): from the plain concatenation of the shards, each pass moves every
 suffix to its predecessor and refines the interleave by one more character, and a block
 keeps those that agree so far. After ``length`` passes the blocks with two members or more
-are the repeated intervals. Suffixes alone in their block are left out of later passes.
+are the repeated intervals. Passes begin where windows end, ``length`` steps before they
+would be complete, and leave out suffixes that are alone in their block.
 
 To merge only what can repeat, texts are first cut into contexts by content:
 
@@ -108,7 +109,6 @@ class _Shard:
         before[heads] = ends
         symbol = np.where(body, text - 1, 0)[before]
         self.symbols = symbol[order].astype(np.uint8)
-        self.marks = ~body[before[order]]  # the suffix is a whole string
         self.previous = place[before][order]  # suffix order of the suffix one byte longer
         number = np.repeat(np.arange(len(strings)), sizes)
         self.string, self.offset = number[order], (np.arange(len(text)) - heads[number])[order]
@@ -117,7 +117,7 @@ class _Shard:
     @staticmethod
     def _ranked(key: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Order of the keys and their ranks; equal keys marked ``alone`` are told apart by place."""
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ranked = key[order]
         new = np.zeros(len(key), np.int64)
         new[1:] = (ranked[1:] != ranked[:-1]) | alone[order[1:]]
@@ -132,13 +132,12 @@ def repeated_windows(strings: list[bytes], length: int, shards: int = SHARDS) ->
     parts = [_Shard(strings[k : k + step], length) for k in range(0, len(strings), step)]
     shifts = np.cumsum([0, *(len(part.symbols) for part in parts)])
     symbols = np.concatenate([part.symbols for part in parts])
-    marks = np.concatenate([part.marks for part in parts])
-    previous = np.concatenate([part.previous + shift for part, shift in zip(parts, shifts, strict=False)])
-    order = np.arange(len(symbols))  # shard after shard: nothing compared yet
-    block = np.zeros(len(symbols), np.int32)
+    previous = np.concatenate([part.previous + shift for part, shift in zip(parts, shifts, strict=False)]).astype(np.int32)
+    offsets = np.concatenate([part.offset for part in parts])
+    # Shard after shard, nothing compared yet: the places where a window ends.
+    order = np.flatnonzero(offsets >= length).astype(np.int32)
+    block = np.zeros(len(order), np.int32)
     for _ in range(length):
-        going = ~marks[order]  # before a whole string there is only its mark, alone in its block
-        order, block = order[going], block[going]
         symbol = symbols[order]
         moved = np.argsort(symbol, kind="stable")
         symbol, block = symbol[moved], block[moved]
@@ -151,7 +150,7 @@ def repeated_windows(strings: list[bytes], length: int, shards: int = SHARDS) ->
         if not len(order):
             break
     string = np.concatenate([part.string + k * step for k, part in enumerate(parts)])[order]
-    return string, np.concatenate([part.offset for part in parts])[order]
+    return string, offsets[order]
 
 
 def _signed(hashes: np.ndarray) -> pa.Array:
