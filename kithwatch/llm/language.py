@@ -51,7 +51,7 @@ def _letter_vectors(points: np.ndarray, dimensions: int) -> np.ndarray:
 class Profiles:
     """Turns slices of texts into vectors; remembers the n-grams it has seen."""
 
-    def __init__(self, dimensions: int, size: int = 3, most: int = 1 << 14):
+    def __init__(self, dimensions: int, size: int = 3, most: int = 1 << 13):
         self.dimensions, self.size, self.most = dimensions, size, most
         self.keys = np.zeros(0, np.uint64)
         self.vectors = np.zeros((0, dimensions), np.float32)
@@ -105,7 +105,7 @@ class Profiles:
         if len(known):
             used = self.vectors[np.searchsorted(self.keys, known)]
             # Dense counts for some texts at a time: as much as a few megabytes.
-            step = max(1, (1 << 21) // len(known))
+            step = max(1, (1 << 20) // len(known))
             bounds = np.searchsorted(owner, np.arange(0, rows + step, step))
             for k, (low, high) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
                 if low < high:
@@ -152,7 +152,7 @@ def identify_language(documents: DataFrame, prototypes: dict[str, list[float]],
     """The ``keep`` columns with ``lang_pred`` and ``score``, the cosine cut off at 0."""
     keep = ["doc_id"] if keep is None else keep
     names = sorted(prototypes)
-    matrix = np.array([prototypes[name] for name in names], np.float64).reshape(len(names), -1)
+    matrix = np.array([prototypes[name] for name in names], np.float64).reshape(len(names), -1) if names else np.zeros((0, DIMENSIONS))
     dimensions = matrix.shape[1] if names else DIMENSIONS
     if names:
         matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-30)

@@ -181,7 +181,7 @@ def train_trees(found: DataFrame, sample: int = SAMPLE) -> Boosted:
     # About ``sample`` rows, whatever the size of the table.
     rows = base.where(drawn < min(1.0, sample / max(number, 1))).select(order, F.col("valid").cast("int").alias("label"), *_features()).collect()
     rows.sort(key=lambda row: (row["at"], row["label"]))
-    matrix = np.array([[row[name] for name in _features()] for row in rows], float).reshape(len(rows), -1)
+    matrix = np.array([[row[name] for name in _features()] for row in rows], float).reshape(len(rows), len(_features()))
     labels = np.array([row["label"] for row in rows])
     if not len(rows) or labels.min() == labels.max():
         return Boosted(_features(), start=-10.0)

@@ -118,7 +118,7 @@ def judge_urls(pages: DataFrame, rules: dict[str, str] | None = None, sample: in
         # About ``sample`` rows, whatever the size of the table.
         rows = chosen.select("label", *FEATURES, F.xxhash64("url", "page_id").alias("_at")).collect()
         rows.sort(key=lambda row: (row["_at"], row["label"]))
-        matrix = np.array([[row[name] for name in FEATURES] for row in rows], float).reshape(len(rows), -1)
+        matrix = np.array([[row[name] for name in FEATURES] for row in rows], float).reshape(len(rows), len(FEATURES))
         model = fit(FEATURES, matrix, np.array([row["label"] for row in rows]))
     else:
         prior, model = 0.0, Boosted(list(FEATURES), start=-10.0)
