@@ -14,9 +14,10 @@
 
 A tile of n documents is not turned into its n^2 pairs. First everyone is compared with the
 smallest and the largest id of the tile; components are drawn from the links found. Then
-only documents outside the main component of a tile are compared with those in other
-components, after more rounds of single partners where that would be many pairs. A link
-between two components is thus never missed, one inside a component need not be found.
+tiles that hold several components are compared in blocks, bitmap by bitmap, and only pairs
+of different components that the bound allows become rows; more rounds of single partners come first where there
+are many to compare. A link between two components is thus never missed, one inside a
+component need not be found.
 
 Defined results: null texts and texts without words have the empty set and link to nothing;
 a text with fewer words than an n-gram is one n-gram. Rows with the same ``doc_id`` are one
@@ -139,7 +140,7 @@ class _Links:
 
     def __init__(self, scratch: Scratch, documents: DataFrame, sets: DataFrame, size: int, least: int, of: int):
         self.scratch, self.documents, self.size, self.least, self.of = scratch, documents, size, least, of
-        self.traits = sets.groupBy("doc_id").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+        self.traits = sets.select("doc_id", "n", "bits")
         self.tested: DataFrame | None = None
         self.links: DataFrame | None = None
         self.rounds = 0
@@ -207,41 +208,112 @@ class _Links:
         return self.scratch.save(found, f"components-{self.rounds}")
 
 
-#: Pairs for each row of the tiles beyond which another round of single partners comes first.
+#: Comparisons for each row of the tiles beyond which another round of single partners comes first.
 PATIENCE = 4
+#: Members of a tile that one task compares with as many others.
+BLOCK = 1024
+
+
+def _allowed(bits: np.ndarray, count: np.ndarray, other_bits: np.ndarray, other_count: np.ndarray, least: int, of: int) -> np.ndarray:
+    """Which pairs of two groups of sets can be links, by sizes and bitmaps."""
+    differing = np.bitwise_count(bits[:, None, :] ^ other_bits[None, :, :]).sum(axis=2, dtype=np.int64)
+    both = count[:, None] + other_count[None, :]
+    sized = np.minimum(count[:, None], other_count[None, :]) * of >= np.maximum(count[:, None], other_count[None, :]) * least
+    return sized & ((both - differing) // 2 * (of + least) >= both * least)
+
+
+def _tile_pairs(placed: DataFrame, traits: DataFrame, least: int, of: int) -> DataFrame:
+    """Pairs in the same tile, but in different components, that sizes and bitmaps allow.
+
+    ``placed`` has ``(tile, low, size, rep, component)``. A large tile is cut into blocks by a hash,
+    and a task gets two of them, so no task holds more than two blocks at a time. Tiles with the
+    same smallest id ``low`` mostly hold the same documents; they go to the same task, which hands
+    on a pair that they share once.
+    """
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    rows = placed.join(traits.select(F.col("doc_id").alias("rep"), "n", "bits"), "rep").withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    rows = rows.select("tile", "low", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"), "rep", "component", "n", "bits")
+    parts = max(1, int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.repartition(parts, "low", "i", "j").sortWithinPartitions("low", "i", "j", "tile", "rep")
+
+    def compared(group: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        column = {name: group[name].to_numpy() for name in ("rep", "component", "n")}
+        bits = group["bits"].combine_chunks() if isinstance(group, pa.Table) else group["bits"]
+        bits = bits.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, LANES)
+        left = group["left"].to_numpy() if isinstance(group, pa.Table) else group["left"].to_numpy(zero_copy_only=False)
+        same = group["i"][0].as_py() == group["j"][0].as_py()
+        rows = np.arange(len(left)) if same else np.flatnonzero(left)
+        others = rows if same else np.flatnonzero(~left)
+        a, b = [], []
+        for low in range(0, len(rows), 64):
+            some = rows[low : low + 64]
+            good = _allowed(bits[some], column["n"][some], bits[others], column["n"][others], least, of)
+            good &= column["component"][some][:, None] != column["component"][others][None, :]
+            x, y = np.nonzero(good)
+            a.append(column["rep"][some[x]])
+            b.append(column["rep"][others[y]])
+        a, b = np.concatenate(a), np.concatenate(b)
+        return np.minimum(a, b), np.maximum(a, b)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in _with_end(batches):
+            table = None if batch is None else pa.Table.from_batches([batch])
+            if held is not None and table is not None:
+                table = pa.concat_tables([held, table])
+            elif table is None:
+                table = held
+            if table is None or not table.num_rows:
+                continue
+            keys = np.stack([table[name].to_numpy() for name in ("tile", "i", "j")], axis=1)
+            ends = np.append(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, table.num_rows)
+            if batch is not None:
+                ends = ends[:-1]
+            found, begin = [], 0
+            for end in ends.tolist():
+                if end - begin > 1:
+                    found.append(compared(table.slice(begin, end - begin)))
+                begin = end
+            held = table.slice(begin) if batch is not None else None
+            if found:
+                a, b = np.unique(np.stack([np.concatenate(side) for side in zip(*found, strict=True)]), axis=1)
+                yield pa.RecordBatch.from_pydict({"a": a, "b": b})
+
+    return dealt.mapInArrow(made, "a long, b long").distinct()
+
+
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
 
 
 def _settle(links: _Links, members: DataFrame, rows: int) -> DataFrame | None:
     """Compare everything in the tiles that is not in one component yet."""
-    placed_before, turn = None, 0
+    before, turn = None, 0
     while True:
         found = links.components()
         turn += 1
         placed = members if found is None else members.join(found, "rep", "left")
         label = F.col("rep") if found is None else F.coalesce("component", "rep")
         placed = placed.select("tile", "rep", label.alias("component"))
-        # Two documents more than the compared ends leave a tile with untested pairs.
+        # A tile of three has no pair that has not been compared with one of its ends.
         open_tiles = (
             placed.groupBy("tile")
-            .agg(F.min("component").alias("one"), F.max("component").alias("other"), F.count(F.lit(1)).alias("size"))
+            .agg(F.min("component").alias("one"), F.max("component").alias("other"), F.min("rep").alias("low"), F.count(F.lit(1)).alias("size"))
             .where("one != other and size > 3")
-            .select("tile", "size")
+            .select("tile", "low", "size")
         )
         placed = links.scratch.save(placed.join(open_tiles, "tile"), f"open-{turn}")
-        sizes = placed.groupBy("tile", "component").agg(F.count(F.lit(1)).alias("n"))
-        main = sizes.groupBy("tile").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-        marked = placed.join(main, "tile")
-        outside = marked.where("component != main")
-        work = outside.agg(F.sum("size").alias("pairs")).first()["pairs"] or 0
+        groups = placed.groupBy("tile", "component", "size").agg(F.count(F.lit(1)).alias("n"))
+        # Pairs of members in different components.
+        work = groups.agg(F.sum(F.col("n") * (F.col("size") - F.col("n"))).alias("pairs")).first()["pairs"] or 0
         if not work:
             return found
-        if work <= PATIENCE * rows or (placed_before is not None and work > 0.8 * placed_before):
-            partner = marked.select("tile", F.col("rep").alias("b"), F.col("component").alias("other"), "main")
-            alone = outside.select("tile", F.col("rep").alias("a"), "component")
-            crossed = alone.join(partner, "tile").where("component != other and (other = main or a < b)")
-            links.test(crossed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        if work <= PATIENCE * rows or (before is not None and work > 0.8 * before):
+            links.test(_tile_pairs(placed, links.traits, links.least, links.of))
             return links.components()
-        placed_before = work
+        before = work
         chosen = placed.groupBy("tile").agg(F.min_by("rep", F.xxhash64("rep", F.lit(turn))).alias("partner"))
         single = placed.join(chosen, "tile")
         links.test(single.select(F.least("rep", "partner").alias("a"), F.greatest("rep", "partner").alias("b")))
@@ -260,6 +332,7 @@ def jaccard_components(documents: DataFrame, size: int = 5, least: int = 80, of:
     classes = sets.where("n > 0 and doc_id is not null").groupBy(*name).agg(F.min("doc_id").alias("rep"))
     classes = scratch.save(classes, "classes")
     chosen = sets.join(classes.select(*name, F.col("rep").alias("doc_id")), [*name, "doc_id"], "left_semi").dropDuplicates(["doc_id"])
+    chosen = scratch.save(chosen, "chosen")
     tiles = chosen.select(F.col("doc_id").alias("rep"), F.explode("tiles").alias("tile"))
     ends = tiles.groupBy("tile").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("size > 1")
     members = scratch.save(tiles.join(ends, "tile"), "members")
