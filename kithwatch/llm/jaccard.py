@@ -39,6 +39,8 @@ from kithwatch.operators.scratch import Scratch
 
 CLASSES = 1 << 16
 LANES = 16
+#: Ids that may be broadcast: a few megabytes.
+BROADCAST_IDS = 500_000
 _LOW = np.uint64((1 << 48) - 1)
 _UP = np.uint64(48)
 
@@ -160,7 +162,10 @@ class _Links:
     def _exact(self, pairs: DataFrame) -> DataFrame:
         """Pairs that are links, by merging their sorted arrays."""
         size, least, of = self.size, self.least, self.of
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        ends = self.scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"ends-{self.rounds}")
+        # Few ids go to where the texts are read; more are joined by a shuffle.
+        if ends.count() <= BROADCAST_IDS:
+            ends = F.broadcast(ends)
         texts = self.documents.select("doc_id", "text").join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"])
         texts = self.scratch.save(texts, f"texts-{self.rounds}")
         # The end that more pairs share comes last, so that its text travels least.
