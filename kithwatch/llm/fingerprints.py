@@ -6,10 +6,13 @@ powers of two: the order of passages does not matter, and a passage or a whole d
 put in or taken out by adding or subtracting (Bellare, Micciancio 1997; Clarke et al. 2003).
 
 The vector has two parts. Four lanes modulo 2^64 are filled by every passage and decide
-equality. Three levels of 64 lanes modulo 2^16 are filled in one lane each, by all passages,
-by one in 16 and by one in 256: a lane that is equal and not 0 in two fingerprints holds
-passages that both share, so the share of such lanes tells how alike two documents are (as twice what is
-shared over the sum of both). The level is the finest that is not too full, so long documents are compared as well as short.
+equality. Levels of 64 lanes modulo 2^16 are filled in one lane each, by all passages, by one
+in two, by one in four and so on. How many lanes are used, and how many differ, tells how many
+passages two documents have and how many only one of them has, even where some passages meet in
+a lane; how alike they are is twice what is shared over the sum of both. The level is the
+finest that is not too full, so about 24 to 48 lanes are compared whatever the size (a deviation
+of about 0.06); there are levels for more passages than a text of 2^31 bytes can have. As base64 the
+levels after the last used one are left out.
 
 Defined results: null is the empty text, whose fingerprint is all zeros and which is alike
 only to another empty one. Rows with equal doc_id are ordered by text, a null doc_id comes
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 
 from kithwatch.llm.arrays import Rolling, mixed, ranges, slices, utf8
 
-DENSE, LEVELS, LANES, THINNING = 4, 3, 64, 4
+DENSE, LEVELS, LANES = 4, 25, 64
 #: A level with more used lanes than this is too full to tell lanes apart.
 FULL = 48
 WIDTH = DENSE * 8 + LEVELS * LANES * 2
@@ -58,10 +61,13 @@ def vectors_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     wide = np.zeros((rows, LEVELS, LANES), np.uint16)
     drawn = mixed(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5))
     for level in range(LEVELS):
-        taken = (drawn & np.uint64((1 << (THINNING * level)) - 1)) == 0
-        value = ((drawn[taken] >> np.uint64(32)) & np.uint64(0xFFFF)) | np.uint64(1)
-        lane = (drawn[taken] >> np.uint64(56)) % np.uint64(LANES)
-        cell = owner[taken] * LANES + lane.astype(np.int64)
+        taken = (drawn & np.uint64((1 << level) - 1)) == 0
+        drawn, owner = drawn[taken], owner[taken]
+        if not len(drawn):
+            break
+        value = ((drawn >> np.uint64(32)) & np.uint64(0xFFFF)) | np.uint64(1)
+        lane = (drawn >> np.uint64(56)) % np.uint64(LANES)
+        cell = owner * LANES + lane.astype(np.int64)
         sums = np.bincount(cell, weights=value.astype(float), minlength=rows * LANES)
         wide[:, level] = (sums.astype(np.int64) & 0xFFFF).astype(np.uint16).reshape(rows, LANES)
     return np.concatenate([dense.view(np.uint8).reshape(rows, -1), wide.reshape(rows, -1).view(np.uint8)], axis=1)
@@ -85,19 +91,27 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """From 0 (nothing shared) to 1 (equal), row by row."""
     (da, wa), (db, wb) = _parts(a), _parts(b)
     used = ((wa != 0) | (wb != 0)).sum(axis=2)
-    shared = ((wa == wb) & (wa != 0)).sum(axis=2)
+    differing = (wa != wb).sum(axis=2)
     fits = used <= FULL
     fits[:, -1] = True
-    level = fits.argmax(axis=1)
-    # A level that drew nothing says nothing: take the one before.
-    level = np.where(used[np.arange(len(a)), level] == 0, np.maximum(level - 1, 0), level)
-    row = np.arange(len(a))
-    found = 2 * shared[row, level] / np.maximum(used[row, level] + shared[row, level], 1)
-    return np.where((da == db).all(axis=1), 1.0, np.minimum(found, 1.0))
+    row, level = np.arange(len(a)), fits.argmax(axis=1)
+    # Passages from the lanes they fill, some together; never more than LANES - 1 lanes, as all tell no number.
+    either, one = (-np.log1p(-np.minimum(n[row, level], LANES - 1) / LANES) for n in (used, differing))
+    both = either - one
+    found = 2 * both / np.where(either == 0, 1, either + both)
+    return np.where((da == db).all(axis=1), 1.0, np.clip(found, 0.0, 1.0))
 
 
 def text_of(prints: np.ndarray) -> list[str]:
-    return [base64.b64encode(row.tobytes()).decode() for row in prints]
+    """Base64 of each, up to the last level in use."""
+    levels = _parts(prints)[1].any(axis=2)
+    used = np.where(levels.any(axis=1), LEVELS - levels[:, ::-1].argmax(axis=1), 0)
+    return [base64.b64encode(row[: DENSE * 8 + n * LANES * 2].tobytes()).decode() for row, n in zip(prints, used.tolist(), strict=True)]
+
+
+def prints_of(texts: list[str]) -> np.ndarray:
+    """The fingerprints that ``text_of`` wrote."""
+    return np.frombuffer(b"".join(base64.b64decode(text).ljust(WIDTH, b"\0") for text in texts), np.uint8).reshape(-1, WIDTH)
 
 
 def fingerprint_documents(documents: DataFrame) -> DataFrame:

@@ -369,6 +369,26 @@ def test_fingerprints_are_homomorphic():
     assert (fingerprints.combined(whole[0:1], whole[3:4], -1) == whole[2]).all()
 
 
+def test_likeness_is_as_exact_for_long_texts_as_for_short():
+    for size, trials in ((10, 60), (40, 60), (80, 60), (200, 60), (1_000, 60), (10_000, 40), (100_000, 12), (1_000_000, 4)):
+        errors = []
+        for trial in range(trials):
+            ids = np.random.default_rng(trial).permutation(2 * size)[: size + size // 4]
+            passages = np.char.add("p", np.char.mod("%d", ids + trial * 2_000_000))
+            texts = ["\n".join(passages[:size]), "\n".join(passages[size // 4 :])]
+            prints = fingerprints.vectors_of(*fingerprints.utf8(pa.array(texts)))
+            errors.append(fingerprints.likeness(prints[:1], prints[1:])[0] - (size - size // 4) / size)
+        assert abs(np.mean(errors)) < 0.02 + 0.2 / math.sqrt(trials), (size, errors)
+        assert np.abs(errors).max() < 0.35, (size, errors)
+
+
+def test_fingerprints_are_read_again():
+    texts = ["", "one", *("\n".join(f"passage {i}" for i in range(size)) for size in (5, 300, 70_000))]
+    prints = fingerprints.vectors_of(*fingerprints.utf8(pa.array(texts)))
+    said = fingerprints.text_of(prints)
+    assert (fingerprints.prints_of(said) == prints).all() and len(said[0]) < len(said[1]) < len(said[3]) < len(said[4])
+
+
 def test_fingerprints_of_repeated_and_no_rows(repeated, empty):
     assert fingerprints.compare_with_next(repeated).count() == repeated.count()
     assert fingerprints.compare_with_next(empty).collect() == []
