@@ -1,9 +1,13 @@
 """The stages one by one, each against what it was given."""
 
+import random
+
+import pytest
 from cases import TABLES, documents, empty, repeated, rows_of, texts_of  # noqa: F401
 from contracts import components, contamination, private_spans
 
 import corpus_pipeline
+from kithwatch.llm.language import calibrated_bounds
 
 
 def test_stages(spark, documents):
@@ -38,3 +42,28 @@ def test_stages_of_repeated_and_no_rows(spark, repeated, empty):
     near = dict(corpus_pipeline.STAGES)["near_duplicates"]
     ids = [key for (key,) in rows_of(near(spark, repeated, TABLES), "doc_id") if key is not None]
     assert len(ids) == len(set(ids)) and {6, 9} <= set(ids) and not {8, 10} & set(ids)
+
+
+@pytest.mark.parametrize("unlearned", ["de", "es", "fr"])
+def test_language_stage_drops_unlearned_languages_and_noise(spark, unlearned):
+    draw = random.Random(1)
+    noise = [" ".join("".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(2, 9))) for _ in range(200)) for _ in range(20)]
+    real = spark.read.parquet(f"{TABLES}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    labels = {row["doc_id"]: (row["lang"], len(set(row["text"].split()))) for row in real.collect()}
+    rows = [(10_000 + k, text, None, "noise", len(text)) for k, text in enumerate(noise)]
+    foreign = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. " + "Jokaisella on oikeus elämään, vapauteen ja henkilökohtaiseen turvallisuuteen. Ketään ei saa pitää orjana."
+    rows.append((20_000, foreign, None, "fi", len(foreign)))
+    hidden = real.selectExpr("doc_id", "text", f"nullif(lang, '{unlearned}') as lang", "source", "n_chars")
+    docs = hidden.union(spark.createDataFrame(rows, real.schema))
+    kept = {key for (key,) in rows_of(dict(corpus_pipeline.STAGES)["language"](spark, docs, TABLES), "doc_id")}
+    assert all(key in kept for key, (lang, _) in labels.items() if lang != unlearned)
+    assert not [key for key, (lang, n_words) in labels.items() if lang == unlearned and n_words > 40 and key in kept]
+    assert not [key for key in kept if key >= 10_000]
+
+
+def test_bounds_of_lengths():
+    assert calibrated_bounds({}) == [] and calibrated_bounds({(1, "en"): {40: 9}}) == [0, 0]
+    # Of 300 rows the three lowest do not count; few rows of a length are joined by shorter ones.
+    assert calibrated_bounds({(0, "en"): {4: 2, 8: 1, 80: 297}, (1, "en"): {160: 5}}) == [0.1, 0.1]
+    # A rare language of at least ten rows has its own bound.
+    assert calibrated_bounds({(0, "en"): {200: 9000}, (0, "fi"): {40: 10}}) == [0.05]
