@@ -52,6 +52,13 @@ def _is_letter() -> np.ndarray:
     return _letters["flags"]
 
 
+def _lower_case() -> np.ndarray:
+    """The lower case of each code point by itself: one code point, whatever stands beside it."""
+    if "lower" not in _letters:
+        _letters["lower"] = np.array([ord(chr(i).lower()[0]) for i in range(0x110000)], np.uint32)
+    return _letters["lower"]
+
+
 def _letter_vectors(points: np.ndarray, dimensions: int) -> np.ndarray:
     """The random vector of each code point, the same in every task."""
     blocks = np.arange(-(-dimensions // 64), dtype=np.uint64)
@@ -72,11 +79,11 @@ class Profiles:
 
     def _ngrams(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Key and text of every n-gram of letters, a word being set in blanks; texts with letters."""
-        texts = data.tobytes().decode("utf-8").lower() if (data >= 0x80).any() else LOWER[data].tobytes().decode()
-        points = np.frombuffer(texts.encode("utf-32-le"), np.uint32)
+        if (data >= 0x80).any():
+            points = _lower_case()[np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)]
+        else:
+            points = LOWER[data].astype(np.uint32)
         heads = (data & 0xC0) != 0x80
-        if len(points) != heads.sum():  # lower-casing made a text longer: keep its case
-            points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
         bounds = np.concatenate([[0], np.cumsum(heads)])[offsets]
         letter = _is_letter()[points]
         # Every text gets a blank on both sides, every run of other characters counts as one.

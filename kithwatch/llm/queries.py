@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kithwatch.llm.balance import pack_balanced
 from kithwatch.llm.decontamination import contamination
 from kithwatch.llm.fingerprints import compare_with_next
 from kithwatch.llm.jaccard import jaccard_components
 from kithwatch.llm.kneser_ney import score_texts, train
 from kithwatch.llm.language import identify_language, learn_prototypes
+from kithwatch.llm.lexical import search
 from kithwatch.llm.licenses import scan_licenses
+from kithwatch.llm.negatives import mine, quantized
 from kithwatch.llm.packing import pack_best_fit, tokenized_pieces
 from kithwatch.llm.pii import find_personal_data
 from kithwatch.llm.repeats import remove_repeats
@@ -75,6 +78,22 @@ def op10_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeats(_table(spark, folder, "documents")).drop("kept")
 
 
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), k=20)
+
+
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = quantized(_table(spark, folder, "embeddings"), scale=256)
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op13_balanced_packing(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack_balanced(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -86,5 +105,50 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_fingerprints": op9_fingerprints,
     "op10_repeated_strings": op10_repeated_strings,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_balanced_packing": op13_balanced_packing,
+}
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+ORACLE: dict[str, str] = {
+    # Every document is scored for every item.
+    "op11_ranked_search": f"""WITH texts AS (SELECT row_number() OVER () AS d, doc_id, {_TERMS} AS terms FROM documents WHERE text IS NOT NULL),
+sizes AS (SELECT d, doc_id, len(terms)::BIGINT AS n FROM texts WHERE len(terms) > 0),
+total AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM sizes),
+held AS (SELECT d, term, count(*)::BIGINT AS tf FROM (SELECT d, unnest(terms) AS term FROM texts) GROUP BY ALL),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM held, total GROUP BY term, docs
+),
+asked AS (
+  SELECT item_id, term, count(*)::BIGINT AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL
+),
+scores AS (
+  SELECT item_id, doc_id, d, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // total.terms))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN held USING (term) JOIN sizes USING (d), total GROUP BY ALL
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20""",
+    # Every anchor with every row.
+    "op12_hard_negatives": """WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM usable a JOIN usable b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+),
+positives AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)::INTEGER AS rank,
+       other AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) <= 5""",
 }
-ORACLE: dict[str, str] = {}
