@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 # Addresses and users
 
 _LINES = """
@@ -79,6 +81,19 @@ SELECT least(from_user, to_user) AS src, greatest(from_user, to_user) AS dst,
        round(sum(CAST(value AS DECIMAL(18, 2)))::DOUBLE, 6) AS value, count(*) AS count
 FROM user_paid WHERE from_user <> to_user GROUP BY 1, 2"""
 
+# The same orders within a window: the addresses of its ends count, the payments there do not
+
+_ENDS = ("TIMESTAMP '1996-03-01'", "TIMESTAMP '1999-10-01'")
+_BOUNDS = "AND o_orderdate BETWEEN (SELECT min(o_orderdate) FROM orders) AND (SELECT max(o_orderdate) FROM orders)"
+_INNER_USERS = _USERS.replace(_BOUNDS, f"AND o_orderdate BETWEEN {_ENDS[0]} AND {_ENDS[1]}")
+_INNER_PAID = _PAID.replace("(SELECT min(o_orderdate) FROM orders)", _ENDS[0]).replace("(SELECT max(o_orderdate) FROM orders)", _ENDS[1])
+_INNER_EDGES = f"""WITH RECURSIVE {_INNER_USERS},{_INNER_PAID}
+SELECT least(f.user_id, t.user_id) AS src, greatest(f.user_id, t.user_id) AS dst,
+       sum(round(r.value * 100)) AS value, count(*) AS count
+FROM senders s JOIN receivers r USING (tx)
+JOIN users f ON f.address = s.address JOIN users t ON t.address = r.address
+WHERE f.user_id <> t.user_id GROUP BY 1, 2"""
+
 # Customers, their orders' addresses and suppliers
 
 _PURCHASES = """
@@ -149,6 +164,34 @@ betweenness AS (
 )"""
 
 
+_TRADE = """
+ranked AS (
+  SELECT 'n' || lpad(n_nationkey::VARCHAR, 2, '0') AS name, n_regionkey AS region,
+         row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS place
+  FROM nation
+),
+edges_0 AS (
+  SELECT least(one, two) AS src, greatest(one, two) AS dst FROM (
+    SELECT a.name AS one, b.name AS two FROM ranked a JOIN ranked b ON a.region = b.region AND a.place < b.place
+    UNION SELECT a.name, b.name FROM ranked a JOIN ranked b ON a.region + 1 = b.region AND a.place = b.place
+    UNION SELECT 'n' || lpad(s_nationkey::VARCHAR, 2, '0'), 's' || s_suppkey FROM supplier)
+),
+places AS (SELECT src AS id FROM edges_0 UNION SELECT dst FROM edges_0)"""
+
+
+def _removals(count: int) -> str:
+    """Tables ``edges_1`` ... without the first, second, ... edge of highest betweenness."""
+    steps = []
+    for k in range(count):
+        paths = _shortest_paths(f"edges_{k}")
+        for name in ("ends", "walks", "betweenness"):
+            paths = re.sub(rf"\b{name}\b(?!\s*DESC)", f"{name}_{k}", paths)
+        paths = paths.replace(f"AS betweenness_{k}", "AS betweenness")
+        top = f"SELECT src, dst FROM betweenness_{k} QUALIFY row_number() OVER (ORDER BY round(betweenness, 6) DESC, src, dst) > 1"
+        steps.append(f"{paths},\nedges_{k + 1} AS ({top})")
+    return ",".join(steps)
+
+
 # Embeddings
 
 _FEATURES = """
@@ -251,6 +294,8 @@ FROM used JOIN users f ON f.address = customer JOIN users t ON t.address = suppl
     "streamed_payments": f"""WITH {_PURCHASES}
 SELECT customer AS src, supplier AS dst, sum(cents) AS value, count(*) AS count
 FROM purchases WHERE confirmed AND NOT coinbase GROUP BY 1, 2""",
+    "address_fold": _INNER_EDGES,
+    "grown_users": f"WITH RECURSIVE {_INNER_USERS} SELECT address, user_id FROM users",
     "graphml_nodes": """SELECT p_partkey::VARCHAR AS id, p_name, p_size::BIGINT AS p_size,
        round(p_retailprice, 6) AS p_retailprice FROM part""",
     "stored_graph": f"WITH {_PART_GRAPH} SELECT src, dst FROM edges",
@@ -317,6 +362,11 @@ rest AS (
 places AS (SELECT one AS id FROM region_links UNION SELECT two FROM region_links),
 {_components('places', 'rest', 'parts')}
 SELECT id AS node, dense_rank() OVER (ORDER BY component) - 1 AS community FROM parts""",
+    # The fifth removal splits; four leave one component.
+    "girvan_newman_removals": f"""WITH RECURSIVE {_TRADE},{_removals(5)},
+{_components('places', 'edges_4', 'before')},{_components('places', 'edges_5', 'parts')}
+SELECT id AS node, dense_rank() OVER (ORDER BY component) - 1 AS community FROM parts
+WHERE (SELECT count(DISTINCT component) FROM before) = 1""",
     "feature_table": f"""WITH {_FEATURES}
 SELECT node, attr, idx, round(value, 6) AS value FROM features
 UNION ALL SELECT vec_id, 'class', -1, label::DOUBLE FROM embeddings""",
@@ -402,4 +452,7 @@ means AS (SELECT a.p_brand, sum(abs(a.x - b.x)) AS total, count(*) AS pairs FROM
 SELECT a.node, round(count(*) FILTER (abs(a.x - b.x) * pairs > total)::DOUBLE / count(*), 6) AS score
 FROM v a JOIN v b USING (p_brand) JOIN means USING (p_brand) GROUP BY a.node""",
 }
+ORACLE["glance_next_to_2_53"] = ORACLE["glance_large_whole"].replace(
+    "(p_size + 100)::HUGEINT * 9007199254740992", "9007199254740992 + p_size::HUGEINT"
+)
 ORACLE["stored_anomalies"] = ORACLE["pseudo_cada"]

@@ -27,6 +27,7 @@ from kithwatch.operators.payment_network import (
 from kithwatch.operators.scratch import Scratch
 from kithwatch.operators.spectral import spec_scores
 from kithwatch.plans.detection import detect_anomalies
+from kithwatch.plans.growing import GrowingNetwork
 from kithwatch.plans.users import store_user_network, users_of
 from kithwatch.sources import store
 from kithwatch.sources.blocks import read_transactions, stream_transactions
@@ -138,6 +139,30 @@ def streamed_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streamed_network(spark, output).edges.withColumn("value", F.col("value").cast("double"))
 
 
+def address_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as transactions, added in loads by their month, users becoming one on the way.
+
+    The window lies inside the data, so that its ends differ between both networks.
+    """
+    scratch = Scratch(spark, "address-fold")
+    orders = scratch.save(t.orders_as_nested(spark, sf_dir), "orders")
+    grown = GrowingNetwork(spark, f"{scratch.base}/network", *t.INNER_WINDOW, fold_every=2)
+    for number, load in enumerate((2, 0, 1)):
+        grown.add(orders.where(F.month("time") % 3 == load), number)
+    return grown.network().users.edges.withColumn("value", F.col("value").cast("double"))
+
+
+def grown_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The address map of the same orders, added by priority."""
+    scratch = Scratch(spark, "grown-users")
+    orders = scratch.save(t.orders_as_nested(spark, sf_dir), "orders")
+    grown = GrowingNetwork(spark, f"{scratch.base}/network", *t.INNER_WINDOW)
+    first = F.col("priority") < "3"
+    for number, load in enumerate((~first, first)):
+        grown.add(orders.where(load), number)
+    return grown.network().address_user
+
+
 # Stored graphs and results
 
 
@@ -256,6 +281,12 @@ def girvan_newman_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return girvan_newman_communities(graph.nodes, graph.edges)
 
 
+def girvan_newman_removals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph that splits after five removals."""
+    graph = t.trade_regions(spark, sf_dir)
+    return girvan_newman_communities(graph.nodes, graph.edges)
+
+
 # Features of the embeddings, labels being the communities
 
 
@@ -378,6 +409,13 @@ def glance_large_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(glance.glance_scores(labelled), "score")
 
 
+def glance_next_to_2_53(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole numbers that doubles would merge: 2^53 and what the size of a part adds to it."""
+    large = F.lit(1 << 53) + F.col("p_size").cast("long")
+    nodes = t.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), large.alias("large"))
+    return _rounded(detectors.glance(nodes, t.brands(spark, sf_dir)), "score")
+
+
 QUERIES = {
     "co_input_edges": co_input_edges,
     "address_nodes": address_nodes,
@@ -390,6 +428,8 @@ QUERIES = {
     "block_scan": block_scan,
     "stored_user_network": stored_user_network,
     "streamed_payments": streamed_payments,
+    "address_fold": address_fold,
+    "grown_users": grown_users,
     "graphml_nodes": graphml_nodes,
     "stored_graph": stored_graph,
     "cached_communities": cached_communities,
@@ -405,6 +445,7 @@ QUERIES = {
     "louvain_invariants": louvain_invariants,
     "edge_betweenness": betweenness,
     "girvan_newman_split": girvan_newman_split,
+    "girvan_newman_removals": girvan_newman_removals,
     "feature_table": features,
     "avg_difference": average_differences,
     "glance_scores": glance_scores,
@@ -421,4 +462,5 @@ QUERIES = {
     "nearest_ties": nearest_ties,
     "spec_scores_sparse": spec_scores_sparse,
     "glance_large_whole": glance_large_whole,
+    "glance_next_to_2_53": glance_next_to_2_53,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kithwatch.graph import Graph
@@ -33,6 +33,45 @@ def orders_as_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: A window strictly inside the orders, both ends being days with orders.
+INNER_WINDOW = ("1996-03-01T00:00:00+0000", "1999-10-01T00:00:00+0000")
+
+
+def orders_as_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One transaction for each order with lines: what was kept is spent, what was returned is paid."""
+    cents = F.round(F.col("l_extendedprice") * 100).cast("decimal(38,0)")
+    lines = (
+        table(spark, sf_dir, "lineitem")
+        .groupBy(F.col("l_orderkey").alias("tx"))
+        .agg(
+            F.sort_array(
+                F.collect_list(
+                    F.struct(
+                        *LINE_ORDER,
+                        F.concat_ws("-", "l_partkey", "l_suppkey").alias("address"),
+                        cents.alias("value"),
+                        (F.col("l_returnflag") == "R").alias("is_output"),
+                    )
+                )
+            ).alias("lines")
+        )
+    )
+    chosen = lambda output: F.filter("lines", lambda line: line["is_output"] == output)
+    return (
+        orders_as_transactions(spark, sf_dir)
+        .join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("tx"), F.col("o_orderpriority").alias("priority")), "tx")
+        .join(lines, "tx")
+        .select(
+            "time",
+            F.col("confirmations").cast("long").alias("confirmations"),
+            "is_coinbase",
+            "priority",
+            F.transform(chosen(False), lambda line: F.struct(line["address"].alias("address"))).alias("inputs"),
+            F.transform(chosen(True), lambda line: F.struct(line["address"].alias("address"), line["value"].alias("value"))).alias("outputs"),
+        )
+    )
+
+
 def whole_window(spark: SparkSession, sf_dir: str):
     """First and last time of the orders, as bounds of a window."""
     times = orders_as_transactions(spark, sf_dir)
@@ -156,3 +195,23 @@ def purchases_as_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("outputs"),
     )
     return line.select(F.array(transaction).alias("data"))
+
+
+def trade_regions(spark: SparkSession, sf_dir: str) -> Graph:
+    """Nations linked within their region and to the one of equal rank in the next; suppliers hang on them.
+
+    A region is held to the next by five links, so that many have to go before anything splits.
+    """
+    rank = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey", F.row_number().over(rank).alias("place"))
+    name = F.concat(F.lit("n"), F.lpad("n_nationkey", 2, "0"))
+    one = nations.select(name.alias("one"), "n_regionkey", "place")
+    other = nations.select(name.alias("two"), F.col("n_regionkey").alias("region"), F.col("place").alias("rank"))
+    inside = one.join(other, (F.col("n_regionkey") == F.col("region")) & (F.col("place") < F.col("rank")))
+    across = one.join(other, (F.col("n_regionkey") + 1 == F.col("region")) & (F.col("place") == F.col("rank")))
+    hanging = table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("n"), F.lpad("s_nationkey", 2, "0")).alias("one"), F.concat(F.lit("s"), "s_suppkey").alias("two")
+    )
+    links = inside.select("one", "two").unionByName(across.select("one", "two")).unionByName(hanging)
+    edges = links.select(F.least("one", "two").alias("src"), F.greatest("one", "two").alias("dst")).distinct()
+    return Graph(edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), edges)

@@ -31,8 +31,9 @@ def main(graphml: str, output: str, cache: str | None = None) -> None:
         feature_selection="laplacian",
         community_cache_path=cache,
     )
-    found.save_json(output)
-    print(f"selected {found.selected}, {time.perf_counter() - begun:.1f} s")
+    with found:
+        found.save_json(output)
+        print(f"selected {found.selected}, {time.perf_counter() - begun:.1f} s")
     spark.stop()
 
 

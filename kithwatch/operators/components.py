@@ -9,7 +9,7 @@ data, also on long chains.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kithwatch.graph import both_directions
@@ -38,21 +38,22 @@ def _small_star(edges: DataFrame, rows: int) -> DataFrame:
     )
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
+def _stored(edges: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, tuple]:
+    """The edges of a round, and number and sum of hashes of what was written, by the same job."""
     ends = F.xxhash64("src", "dst").cast("decimal(20,0)")
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(ends)).first())
+    seen = Observation()
+    watched = edges.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum(ends).cast("string").alias("hashes"))
+    return scratch.save(watched, name), (seen.get["rows"], seen.get["hashes"])
 
 
-def _numbered_edges(edges: DataFrame, numbers: DataFrame, scratch: Scratch) -> DataFrame:
+def _numbered_edges(edges: DataFrame, numbers: DataFrame, scratch: Scratch) -> tuple[DataFrame, tuple]:
     """Edges between numbered nodes: 8 bytes an end, and minima that hash aggregation can take."""
     plain = edges.select("src", "dst").where(F.col("src") != F.col("dst"))
     start = numbers.select(F.col("id").alias("src"), F.col("number").alias("a"))
     end = numbers.select(F.col("id").alias("dst"), F.col("number").alias("b"))
     rows = plain.count()
     numbered = lookup(lookup(plain, start, "src", ["dst"], rows=rows), end, "dst", ["src"], rows=rows)
-    return scratch.save(
-        numbered.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")), "round-0"
-    )
+    return _stored(numbered.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")), scratch, "round-0")
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -63,8 +64,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
     scratch = Scratch(edges.sparkSession, "components")
     distinct = scratch.save(nodes.select("id").distinct(), "nodes")
     numbers = scratch.save(dense_ids(distinct, "id", "number", scratch, "ids", distinct.count()), "numbers")
-    current = _numbered_edges(edges, numbers, scratch)
-    before = _fingerprint(current)
+    current, before = _numbered_edges(edges, numbers, scratch)
     done = 0
     while before[0]:
         done += 1
@@ -72,8 +72,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
             raise RuntimeError(f"components not settled after {max_rounds} rounds")
         # A small star has at most two rows for each row of the large star.
         rows = before[0]
-        current = scratch.save(_small_star(_large_star(current, rows), rows), f"round-{done}")
-        after = _fingerprint(current)
+        current, after = _stored(_small_star(_large_star(current, rows), rows), scratch, f"round-{done}")
         scratch.drop(f"round-{done - 1}")
         if after == before:
             break

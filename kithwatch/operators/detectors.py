@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kithwatch.operators.features import attribute_columns, feature_table, keep_features, with_community
 from kithwatch.operators.glance import glance_scores
-from kithwatch.operators.metrics import community_links, degrees
+from kithwatch.operators.metrics import degrees, neighborhoods, with_metrics
 from kithwatch.operators.skew import lookup
 
 _MOMENTS = ("n", "total", "squares")
@@ -36,29 +36,36 @@ def _deviates(value: str, threshold: float, n: Column, total: Column, squares: C
     return distance > F.lit(float(threshold)) * spread
 
 
-def degree_anomalies(nodes: DataFrame, edges: DataFrame, threshold: float = 2.0) -> DataFrame:
+def degree_anomalies(
+    nodes: DataFrame, edges: DataFrame, threshold: float = 2.0, near: DataFrame | None = None
+) -> DataFrame:
     """``(node, degree)`` of nodes whose degree is far from the mean degree."""
-    counted = degrees(nodes, edges)
+    counted = degrees(nodes, edges) if near is None else with_metrics(nodes.select("id"), edges, near, ["degree"], near=near)
     moments = counted.agg(*_moments("degree")).select(F.struct(*_MOMENTS)).scalar()
     return counted.where(
         _deviates("degree", threshold, *(moments.getField(name) for name in _MOMENTS))
     ).select(F.col("id").alias("node"), "degree")
 
 
-def _member_links(edges: DataFrame, communities: DataFrame) -> DataFrame:
+def _member_links(edges: DataFrame, communities: DataFrame, near: DataFrame | None) -> DataFrame:
     """Link counts of every member of a community, 0 where it has no counted neighbour."""
-    counts = ["inner", "outer", "total", "largest"]
-    return communities.join(community_links(edges, communities), "node", "left").fillna(0, subset=counts)
+    return (neighborhoods(edges, communities) if near is None else near).where("member")
 
 
 def within_community_anomalies(
-    edges: DataFrame, communities: DataFrame, threshold: float = 2.0, keep_empty: bool = False
+    edges: DataFrame,
+    communities: DataFrame,
+    threshold: float = 2.0,
+    keep_empty: bool = False,
+    near: DataFrame | None = None,
 ) -> DataFrame:
     """``(community, node)`` of members with unusually few or many links inside.
 
-    With ``keep_empty`` a community without anomaly gives one row with a null node.
+    With ``keep_empty`` a community without anomaly gives one row with a null node. ``near``,
+    here and below, are the :func:`~kithwatch.operators.metrics.neighborhoods` of the graph,
+    where the caller has them.
     """
-    members = _member_links(edges, communities).select("node", "community", "inner")
+    members = _member_links(edges, communities, near).select("node", "community", "inner")
     moments = members.groupBy("community").agg(*_moments("inner"))
     found = (
         lookup(members, moments, "community", ["node"], rows=communities.count())
@@ -70,16 +77,16 @@ def within_community_anomalies(
     return found
 
 
-def cada_scores(edges: DataFrame, communities: DataFrame) -> DataFrame:
+def cada_scores(edges: DataFrame, communities: DataFrame, near: DataFrame | None = None) -> DataFrame:
     """``(node, score)``: counted neighbours over those in the best represented community."""
-    return _member_links(edges, communities).select(
+    return _member_links(edges, communities, near).select(
         "node", F.when(F.col("largest") > 0, F.col("total") / F.col("largest")).otherwise(0.0).alias("score")
     )
 
 
-def pseudo_cada_scores(edges: DataFrame, communities: DataFrame) -> DataFrame:
+def pseudo_cada_scores(edges: DataFrame, communities: DataFrame, near: DataFrame | None = None) -> DataFrame:
     """``(node, score)``: links out of the community over links inside, infinite without any."""
-    return _member_links(edges, communities).select(
+    return _member_links(edges, communities, near).select(
         "node", F.when(F.col("inner") > 0, F.col("outer") / F.col("inner")).otherwise(float("inf")).alias("score")
     )
 

@@ -49,10 +49,11 @@ def feature_table(
     attributes: Iterable[str] | None = None,
     widths: Mapping[str, int] | None = None,
 ) -> DataFrame:
-    """``(node, attr, idx, value, whole)``: one row per node and feature.
+    """``(node, attr, idx, value, whole, exact)``: one row per node and feature.
 
     A vector gives one feature per position, up to the longest vector of the attribute; a
-    missing number or position counts as 0. ``whole`` marks attributes of integer type.
+    missing number or position counts as 0. ``whole`` marks attributes of integer type, whose
+    value is also in ``exact``, as doubles hold no whole numbers beyond 2^53; it is 0 for all others.
     Columns ``community`` of ``nodes`` are carried along.
     """
     names = attribute_columns(nodes) if attributes is None else list(attributes)
@@ -69,6 +70,7 @@ def feature_table(
             F.lit(position).cast("int").alias("idx"),
             F.coalesce(value.cast("double"), F.lit(0.0)).alias("value"),
             F.lit(isinstance(element, _WHOLE)).alias("whole"),
+            (F.coalesce(value.cast("long"), F.lit(0)) if isinstance(element, _WHOLE) else F.lit(0).cast("long")).alias("exact"),
         )
 
     def elements(attribute: str):
@@ -84,7 +86,7 @@ def feature_table(
             parts.append(elements(name))
     carried = ["community"] if "community" in nodes.columns else []
     if not parts:
-        parts = [F.array().cast("array<struct<attr:string,idx:int,value:double,whole:boolean>>")]
+        parts = [F.array().cast("array<struct<attr:string,idx:int,value:double,whole:boolean,exact:bigint>>")]
     return nodes.select(
         F.col("id").alias("node"), *carried, F.explode(F.concat(*parts)).alias("feature")
     ).select("node", *carried, "feature.*")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kithwatch.graph import both_directions
@@ -10,15 +10,23 @@ from kithwatch.operators.components import connected_components
 from kithwatch.operators.scratch import Scratch
 from kithwatch.operators.skew import dense_ids, hot_keys, lookup
 
+#: Rows ``(source, node)`` that are searched for at once, at most about.
+BATCH_ROWS = 2_000_000_000
 
-def edge_betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+
+def edge_betweenness(nodes: DataFrame, edges: DataFrame, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """``(src, dst, betweenness)``: shortest paths over each edge, unweighted and exact.
 
-    Brandes (2001, 2008) for all sources at once: a breadth-first search whose rows are
+    Brandes (2001, 2008) for many sources at once: a breadth-first search whose rows are
     ``(source, node, paths)``, one table per distance, then a pass back that hands each
     node's share of the paths to the edges it was reached by. The work is nodes times
     edges, spread over the sources; a search from some of the sources would be cheaper but
     not exact.
+
+    Sources are taken in batches by a hash, so that no more than about ``batch_rows`` rows of
+    distances are on disk; they are dropped when what the batch sends over the edges has been
+    added to the one table of all batches. Every plan reads a few tables, however many
+    distances and batches there are.
     """
     scratch = Scratch(edges.sparkSession, "betweenness")
     ends = both_directions(edges.where(F.col("src") != F.col("dst")))
@@ -27,62 +35,82 @@ def edge_betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         lookup(ends, fans.withColumnRenamed("node", "neighbor"), "neighbor", ["node"], rows=2 * edges.count()),
         "links",
     )
-    levels = [
-        scratch.save(
-            nodes.select("id").distinct().join(fans.withColumnRenamed("node", "id"), "id").select(
-                F.col("id").alias("source"), F.col("id").alias("node"), F.lit(1.0).alias("paths"), "fan"
-            ),
-            "level-0",
-        )
-    ]
-    # Rows that a level gives at the neighbours of its nodes; none once all is reached.
-    spreads = [_fan_out(levels[0])]
+    # A node without links reaches nothing.
+    linked = nodes.select("id").distinct().join(fans.withColumnRenamed("node", "id"), "id").select("id", "fan")
+    sources = scratch.save(linked, "sources")
+    count = sources.count()
+    batches = max(1, min(count, -(-count * count // batch_rows)))
+    flows = scratch.add(edges.select("src", "dst", F.lit(0.0).alias("flow")), "flows")
+    for number in range(batches):
+        mine = sources.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == number) if batches > 1 else sources
+        spreads = _search(mine, links, scratch)
+        if len(spreads) > 2:
+            flows = scratch.add(_hand_back(links, scratch, spreads), "flows")
+        scratch.drop("batch")
+    scratch.drop("sources")
+    scratch.drop("links")
+    # Every path was followed from either end.
+    return flows.groupBy("src", "dst").agg((F.sum("flow") / 2).alias("betweenness"))
+
+
+def _search(sources: DataFrame, links: DataFrame, scratch: Scratch) -> list[int]:
+    """Write the nodes at each distance from the sources with the number of shortest paths.
+
+    Gives the rows that each distance makes at the neighbours of its nodes; the last is 0.
+    """
+    level = sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(1.0).alias("paths"), "fan")
+    spreads = [_store(level, scratch, 0)]
     while spreads[-1]:
-        reached = (
-            _spread(levels[-1], links, spreads[-1])
-            .groupBy("source", F.col("neighbor").alias("node"))
-            .agg(F.sum("paths").alias("paths"), F.max("next_fan").alias("fan"))
-        )
+        depth = len(spreads) - 1
+        level = scratch.table(f"batch/level-{depth}")
         # A neighbour of a level lies in it, just before it or just after it.
-        for seen in levels[-2:]:
-            reached = reached.join(seen.select("source", "node"), ["source", "node"], "left_anti")
-        levels.append(scratch.save(reached, f"level-{len(levels)}"))
-        spreads.append(_fan_out(levels[-1]))
+        near = level.unionByName(scratch.table(f"batch/level-{depth - 1}")) if depth else level
+        reached = _spread(level, links, spreads[-1]).select(
+            "source", F.col("neighbor").alias("node"), "paths", F.col("next_fan").alias("fan"), F.lit(False).alias("seen")
+        )
+        fresh = (
+            reached.unionByName(near.withColumn("seen", F.lit(True)))
+            .groupBy("source", "node")
+            .agg(F.sum("paths").alias("paths"), F.max("fan").alias("fan"), F.max("seen").alias("seen"))
+            .where(~F.col("seen"))
+            .drop("seen")
+        )
+        spreads.append(_store(fresh, scratch, depth + 1))
+    return spreads
+
+
+def _store(level: DataFrame, scratch: Scratch, depth: int) -> int:
+    seen = Observation()
+    scratch.save(level.observe(seen, F.sum("fan").alias("rows")), f"batch/level-{depth}")
+    return seen.get["rows"] or 0
 
+
+def _hand_back(links: DataFrame, scratch: Scratch, spreads: list[int]) -> DataFrame:
+    """``(src, dst, flow)`` of a batch, from the farthest nodes back to the sources."""
     shares = None
-    flows = []
-    for depth in range(len(levels) - 2, 0, -1):
-        level = levels[depth]
-        if shares is not None:
-            level = level.join(shares, ["source", "node"], "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
-        else:
+    for depth in range(len(spreads) - 2, 0, -1):
+        level = scratch.table(f"batch/level-{depth}")
+        if shares is None:
             level = level.withColumn("share", F.lit(0.0))
+        else:
+            level = level.join(shares, ["source", "node"], "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
         handed = _spread(
             level.select("source", "node", ((1 + F.col("share")) / F.col("paths")).alias("paths"), "fan"),
             links,
             spreads[depth],
         )
-        before = levels[depth - 1].select("source", F.col("node").alias("neighbor"), F.col("paths").alias("ways"))
-        flow = scratch.save(
-            handed.join(before, ["source", "neighbor"]).select(
-                "source", "node", "neighbor", (F.col("paths") * F.col("ways")).alias("flow")
-            ),
-            f"flow-{depth}",
+        before = scratch.table(f"batch/level-{depth - 1}")
+        before = before.select("source", F.col("node").alias("neighbor"), F.col("paths").alias("ways"))
+        flow = handed.join(before, ["source", "neighbor"]).select(
+            "source", "node", "neighbor", (F.col("paths") * F.col("ways")).alias("flow")
         )
+        flow = scratch.save(flow, f"batch/flow/{depth}")
         shares = flow.groupBy("source", F.col("neighbor").alias("node")).agg(F.sum("flow").alias("share"))
-        flows.append(flow.select("node", "neighbor", "flow"))
-
-    total = edges.select("src", "dst", F.lit(0.0).alias("flow"))
-    for flow in flows:
-        total = total.unionByName(
-            flow.select(F.least("node", "neighbor").alias("src"), F.greatest("node", "neighbor").alias("dst"), "flow")
-        )
-    # Every path was followed from either end.
-    return total.groupBy("src", "dst").agg((F.sum("flow") / 2).alias("betweenness"))
-
-
-def _fan_out(level: DataFrame) -> int:
-    return level.agg(F.sum("fan")).first()[0] or 0
+    return (
+        scratch.every("batch/flow")
+        .groupBy(F.least("node", "neighbor").alias("src"), F.greatest("node", "neighbor").alias("dst"))
+        .agg(F.sum("flow").alias("flow"))
+    )
 
 
 def _spread(level: DataFrame, links: DataFrame, rows: int) -> DataFrame:
@@ -97,25 +125,39 @@ def girvan_newman_communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     The edge of highest betweenness (the smallest pair among equals) is removed until there
     are more components than at the start. A graph without edges is left as it is.
+
+    Paths do not leave a component, so a removal changes nothing outside the component that
+    held the edge: only that one is searched again, the betweenness of all others is kept.
     """
     scratch = Scratch(edges.sparkSession, "girvan-newman")
-    rest = scratch.save(edges.select("src", "dst"), "edges-0")
-    parts = connected_components(nodes, rest)
-    count = _count(parts)
-    goal, removed = count, 0
-    while count <= goal:
-        top = edge_betweenness(nodes, rest).orderBy(F.desc(F.round("betweenness", 6)), "src", "dst").first()
+    parts = scratch.save(connected_components(nodes, edges), "parts")
+    named = parts.select(F.col("id").alias("src"), "component")
+    scores = lookup(edge_betweenness(nodes, edges), named, "src", ["dst"])
+    scores = scratch.save(scores.select("src", "dst", "betweenness", "component"), "scores-0")
+    removed = 0
+    while True:
+        top = scores.orderBy(F.desc(F.round("betweenness", 6)), "src", "dst").first()
         if top is None:
             break
         removed += 1
-        kept = rest.where((F.col("src") != F.lit(top.src)) | (F.col("dst") != F.lit(top.dst)))
-        rest = scratch.save(kept, f"edges-{removed}")
-        parts = connected_components(nodes, rest)
-        count = _count(parts)
-    placed = scratch.save(parts, "parts")
-    names = placed.where(F.col("id") == F.col("component")).select("component")
+        held = F.col("component") == F.lit(top.component)
+        taken = (F.col("src") == F.lit(top.src)) & (F.col("dst") == F.lit(top.dst))
+        rest = scratch.save(scores.where(held & ~taken).select("src", "dst"), f"rest-{removed}")
+        members = parts.where(held).select("id")
+        with Scratch(edges.sparkSession, "parts"):
+            split = scratch.save(connected_components(members, rest), f"split-{removed}")
+        if _count(split) > 1:
+            parts = scratch.save(parts.where(~held).unionByName(split), "placed")
+            break
+        with Scratch(edges.sparkSession, "again"):
+            again = edge_betweenness(members, rest).withColumn("component", F.lit(top.component))
+            scores = scratch.save(scores.where(~held).unionByName(again), f"scores-{removed}")
+        for name in ("rest", "split"):
+            scratch.drop(f"{name}-{removed}")
+        scratch.drop(f"scores-{removed - 1}")
+    names = parts.where(F.col("id") == F.col("component")).select("component")
     ids = dense_ids(names, "component", "community", scratch, "names")
-    found = lookup(placed, ids, "component", ["id"], rows=placed.count())
+    found = lookup(parts, ids, "component", ["id"], rows=parts.count())
     return found.select(F.col("id").alias("node"), "community")
 
 

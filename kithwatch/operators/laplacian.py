@@ -13,7 +13,7 @@ NO_SPREAD = 1e-12
 NO_SPREAD_VALUE = 10000.0
 
 
-def _score(within: Column, spread: Column) -> Column:
+def laplacian_score(within: Column, spread: Column) -> Column:
     """Score from the centred ``f'Wf`` and ``f'Df``; NaN where no pair is linked."""
     usable = F.when(spread < NO_SPREAD, F.lit(NO_SPREAD_VALUE)).otherwise(spread)
     return F.coalesce(1 - within / usable, F.lit(float("nan")))
@@ -45,7 +45,7 @@ def laplacian_scores(features: DataFrame) -> DataFrame:
             F.sum(links * shift * shift - squares).alias("within"),
             F.sum((F.col("n") - 1) * (squares + F.col("n") * shift * shift)).alias("spread"),
         )
-        .select(*FEATURE, _score(F.col("within"), F.col("spread")).alias("score"))
+        .select(*FEATURE, laplacian_score(F.col("within"), F.col("spread")).alias("score"))
     )
 
 
@@ -76,7 +76,7 @@ def laplacian_scores_with(features: DataFrame, affinity: DataFrame) -> DataFrame
         .agg(F.sum(F.col("weight") * F.col("value") * F.col("fj")[F.col("feature")]).alias("within"))
     )
     return spread.join(within, FEATURE, "left").select(
-        *FEATURE, _score(F.col("within"), F.col("spread")).alias("score")
+        *FEATURE, laplacian_score(F.col("within"), F.col("spread")).alias("score")
     )
 
 

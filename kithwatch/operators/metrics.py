@@ -41,22 +41,39 @@ def neighbor_communities(edges: DataFrame, communities: DataFrame) -> DataFrame:
     )
 
 
-def community_links(edges: DataFrame, communities: DataFrame) -> DataFrame:
-    """``(node, inner, outer, total, largest)`` of every node with a counted neighbour.
-
-    ``inner`` and ``outer`` split the counted neighbours by own and other community,
-    ``largest`` is the count of the best represented community.
+def neighborhoods(edges: DataFrame, communities: DataFrame, vector: bool = False) -> DataFrame:
+    """``(node, member, community, degree, inner, outer, total, largest)`` of all nodes with a link or a community.
+
+    One look-up of the neighbours' communities feeds all metrics. A node's own community comes
+    in as one more row of the count by community, so that links inside need no second join.
+    ``inner`` and ``outer`` split the neighbours that have a community by own and other,
+    ``total`` counts them all and ``largest`` those in the best represented one. ``member``
+    says whether the node is in the table of communities; ``vector`` adds its counts as a map.
     """
-    own = communities.select("node", F.col("community").alias("own"))
-    same = F.col("community").eqNullSafe(F.col("own"))
-    near = neighbor_communities(edges, communities)
+    loop = F.col("src") == F.col("dst")
+    forward = edges.select(F.col("src").alias("node"), F.col("dst").alias("neighbor"), F.when(loop, 2).otherwise(1).alias("ends"))
+    back = edges.where(~loop).select(F.col("dst").alias("node"), F.col("src").alias("neighbor"), F.lit(1).alias("ends"))
+    labels = communities.select(F.col("node").alias("neighbor"), "community")
+    seen = lookup(forward.unionByName(back), labels, "neighbor", ["node"], how="left", rows=2 * edges.count())
+    own = communities.select("node", "community", F.lit(0).alias("links"), F.lit(0).alias("ends"), F.lit(True).alias("own"))
+    near = (
+        seen.select("node", "community", F.lit(1).alias("links"), "ends", F.lit(False).alias("own"))
+        .unionByName(own)
+        .groupBy("node", "community")
+        .agg(F.sum("links").alias("links"), F.sum("ends").alias("ends"), F.max("own").alias("own"))
+    )
+    known = F.col("community").isNotNull()
+    counts = F.collect_list(F.when(known & (F.col("links") > 0), F.struct("community", F.col("links").alias("count"))))
     return (
-        lookup(near, own, "node", ["community"], how="left", rows=2 * edges.count())
-        .groupBy("node")
+        near.groupBy("node")
         .agg(
-            F.sum(F.when(same, F.col("count")).otherwise(0)).alias("inner"),
-            F.sum("count").alias("total"),
-            F.max("count").alias("largest"),
+            F.max("own").alias("member"),
+            F.max(F.when(F.col("own"), F.col("community"))).alias("community"),
+            F.sum("ends").alias("degree"),
+            F.sum(F.when(known & F.col("own"), F.col("links")).otherwise(0)).alias("inner"),
+            F.sum(F.when(known, F.col("links")).otherwise(0)).alias("total"),
+            F.max(F.when(known, F.col("links")).otherwise(0)).alias("largest"),
+            *([F.map_from_entries(counts).alias("vector")] if vector else []),
         )
         .withColumn("outer", F.col("total") - F.col("inner"))
     )
@@ -93,30 +110,39 @@ def with_metrics(
     communities: DataFrame,
     wanted: Iterable[str] | None,
     vector_width: int | None = None,
+    near: DataFrame | None = None,
 ) -> DataFrame:
     """Add the wanted metric columns to the nodes, leaving those they already have.
 
-    The neighbour vector is a map, or an array of ``vector_width`` counts.
+    The neighbour vector is a map, or an array of ``vector_width`` counts. ``near`` are the
+    :func:`neighborhoods` of the graph, with vectors if they are wanted, where the caller has them.
     """
     todo = missing_metrics(nodes, wanted)
-    result = nodes
-    if DEGREE in todo:
-        result = result.join(degrees(nodes, edges).withColumnRenamed("degree", DEGREE), "id", "left")
-    if INNER in todo or OUTER in todo:
-        links = community_links(edges, communities).select(
-            F.col("node").alias("id"), F.col("inner").alias(INNER), F.col("outer").alias(OUTER)
-        )
-        columns = [name for name in (INNER, OUTER) if name in todo]
-        result = result.join(links.select("id", *columns), "id", "left").fillna(0, subset=columns)
-    if VECTOR in todo:
-        vectors = community_vectors(edges, communities, vector_width)
-        vectors = vectors.select(F.col("node").alias("id"), F.col("vector").alias(VECTOR))
-        if vector_width is None:
-            empty = F.create_map().cast("map<bigint,bigint>")
+    if not todo:
+        return nodes
+    if near is None:
+        if todo == [COMMUNITY]:
+            near = communities.select("node", "community")
+        elif todo == [DEGREE]:
+            near = degrees(nodes, edges).withColumnRenamed("id", "node")
         else:
-            empty = F.array_repeat(F.lit(0).cast("long"), vector_width)
-        result = result.join(vectors, "id", "left").withColumn(VECTOR, F.coalesce(VECTOR, empty))
-    if COMMUNITY in todo:
-        labels = communities.select(F.col("node").alias("id"), F.col("community").alias(COMMUNITY))
-        result = result.join(labels, "id", "left")
-    return result.select(*nodes.columns, *todo)
+            near = neighborhoods(edges, communities, VECTOR in todo)
+    none = F.lit(0).cast("long")
+
+    sparse = F.coalesce("_near.vector", F.create_map().cast("map<bigint,bigint>")) if VECTOR in todo else none
+    counts = sparse
+    if VECTOR in todo and vector_width is not None:
+        every = F.sequence(none, F.lit(vector_width - 1).cast("long"))
+        counts = F.transform(every, lambda community: F.coalesce(F.try_element_at(sparse, community), none))
+    made = {
+        DEGREE: lambda: F.coalesce("_near.degree", none),
+        INNER: lambda: F.coalesce("_near.inner", none),
+        OUTER: lambda: F.coalesce("_near.outer", none),
+        VECTOR: lambda: counts,
+        COMMUNITY: lambda: F.col("_near.community"),
+    }
+    # One column to join, so that no name of the nodes can clash.
+    found = near.select(F.col("node").alias("id"), F.struct(*(c for c in near.columns if c != "node")).alias("_near"))
+    return nodes.join(found, "id", "left").select(
+        *(F.col(f"`{name}`") for name in nodes.columns), *(made[name]().alias(name) for name in todo)
+    )

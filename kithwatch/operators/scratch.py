@@ -9,8 +9,12 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -29,20 +33,63 @@ def scratch_root(spark: SparkSession) -> str:
     return own
 
 
+#: Folder that the tables of the running call belong to, if a caller owns them.
+_owner: ContextVar[str | None] = ContextVar("owner", default=None)
+
+
 class Scratch:
-    """Writes tables of one operator call under a folder of their own."""
+    """Writes tables of one operator call under a folder of their own.
+
+    As a context it owns all scratch tables that are made inside it, by whatever operator, and
+    deletes them at the end: results must have been written elsewhere by then.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.base = f"{scratch_root(spark)}/kithwatch/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+        root = _owner.get() or f"{scratch_root(spark)}/kithwatch/{spark.sparkContext.applicationId}"
+        self.base = f"{root}/{label}-{uuid.uuid4().hex}"
+        self.schemas: dict[str, StructType] = {}
+
+    @contextmanager
+    def owning(self) -> Iterator[Scratch]:
+        """Own what is made inside, and keep it."""
+        token = _owner.set(self.base)
+        try:
+            yield self
+        finally:
+            _owner.reset(token)
+
+    def __enter__(self) -> Scratch:
+        self._open = self.owning()
+        return self._open.__enter__()
+
+    def __exit__(self, *problem) -> None:
+        self._open.__exit__(None, None, None)
+        self.drop()
 
     def save(self, table: DataFrame, name: str) -> DataFrame:
-        path = f"{self.base}/{name}"
-        table.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(table.schema).parquet(path)
+        """Write a table in place of what has this name, and read it back."""
+        return self._write(table, name, "overwrite")
+
+    def add(self, table: DataFrame, name: str) -> DataFrame:
+        """The same beside what has this name already."""
+        return self._write(table, name, "append")
+
+    def _write(self, table: DataFrame, name: str, mode: str) -> DataFrame:
+        table.write.mode(mode).parquet(f"{self.base}/{name}")
+        self.schemas[name] = table.schema
+        return self.table(name)
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.schema(self.schemas[name]).parquet(f"{self.base}/{name}")
+
+    def every(self, folder: str) -> DataFrame:
+        """All tables saved below a folder, which have the same columns, as one."""
+        schema = next(kind for name, kind in self.schemas.items() if name.startswith(f"{folder}/"))
+        return self.spark.read.schema(schema).parquet(f"{self.base}/{folder}/*")
 
-    def drop(self, name: str) -> None:
-        """Delete a table that no live plan reads any more."""
+    def drop(self, name: str = "") -> None:
+        """Delete a table (or folder, or all) that no live plan reads any more."""
         _delete(self.spark, f"{self.base}/{name}")
 
 

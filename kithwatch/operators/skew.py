@@ -176,7 +176,12 @@ def dense_ids(keys: DataFrame, key: str, into: str, scratch: Scratch, name: str,
 
     ``rows``, where the caller knows them, keep the ranges below the window limit.
     """
-    chunks = _by_range(keys.select(key), [], [key], scratch, name, rows)
+    return numbered(keys.select(key), [key], into, scratch, name, rows)
+
+
+def numbered(table: DataFrame, order: Sequence[str], into: str, scratch: Scratch, name: str, rows: int = 0) -> DataFrame:
+    """Rows with their place, from 0, in an order that tells them apart."""
+    chunks = _by_range(table, [], order, scratch, name, rows)
     before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     # One row per range, so this window is as small as the number of partitions.
     offsets = (
@@ -185,7 +190,7 @@ def dense_ids(keys: DataFrame, key: str, into: str, scratch: Scratch, name: str,
         .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .drop("_n")
     )
-    inside = Window.partitionBy("_chunk").orderBy(key)
+    inside = Window.partitionBy("_chunk").orderBy(*order)
     return (
         chunks.join(F.broadcast(offsets), "_chunk")
         .withColumn(into, F.row_number().over(inside) - 1 + F.col("_offset"))

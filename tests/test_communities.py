@@ -117,6 +117,56 @@ def test_betweenness(spark, sizes):
     assert found == pytest.approx(expected)
 
 
+@pytest.mark.parametrize("rows_at_once", [1, 60])
+def test_betweenness_in_batches(spark, rows_at_once):
+    nodes = list(range(13))
+    g, pairs = graph(spark, nodes, [*random_edges(9, 12, 6), (10, 11), (11, 11)])
+    found = {(a, b): value for a, b, value in rows(edge_betweenness(g.nodes, g.edges, rows_at_once))}
+    assert found == pytest.approx(brute.betweenness(nodes, pairs))
+
+
+def test_betweenness_of_a_chain_keeps_plans_small(spark):
+    nodes = list(range(40))
+    g, pairs = graph(spark, nodes, list(zip(nodes, nodes[1:], strict=False)))
+    found = edge_betweenness(g.nodes, g.edges)
+    assert rows(found) == [(i, i + 1, float((i + 1) * (39 - i))) for i in range(39)]
+    assert found._jdf.queryExecution().executedPlan().toString().count("Scan parquet") == 1
+
+
+def split_by_hand(nodes, pairs):
+    """Sets of nodes after the first split, and the removals it took."""
+    start = len({c for _, c in brute.components(nodes, pairs)})
+    pairs, removed = list(pairs), 0
+    while pairs:
+        scores = brute.betweenness(nodes, pairs)
+        top = min(pairs, key=lambda e: (-round(scores[e], 6), e))
+        pairs.remove(top)
+        removed += 1
+        if len({c for _, c in brute.components(nodes, pairs)}) > start:
+            break
+    return dict(brute.components(nodes, pairs)), removed
+
+
+def test_girvan_newman_of_several_removals(spark, crossing=5):
+    """Two groups held together by several links, beside a third that is never searched again."""
+    groups = [(a, b) for base in (0, 6) for a in range(base, base + 6) for b in range(a + 1, base + 6)]
+    edges = groups + [(i, 6 + i) for i in range(crossing)] + [(20, 21), (21, 22), (20, 22)]
+    nodes = [*range(12), 20, 21, 22, 30]
+    g, pairs = graph(spark, nodes, edges)
+    wanted, removed = split_by_hand(nodes, pairs)
+    assert removed == crossing
+    names = {name: i for i, name in enumerate(sorted(set(wanted.values())))}
+    assert rows(girvan_newman_communities(g.nodes, g.edges)) == [(n, names[wanted[n]]) for n in nodes]
+
+
+def test_girvan_newman_of_a_random_graph(spark, seed=11):
+    nodes = list(range(16))
+    g, pairs = graph(spark, nodes, [*random_edges(9, 13, seed), (10, 11), (11, 12), (10, 12), (12, 13), (13, 14)])
+    wanted, _ = split_by_hand(nodes, pairs)
+    names = {name: i for i, name in enumerate(sorted(set(wanted.values())))}
+    assert rows(girvan_newman_communities(g.nodes, g.edges)) == [(n, names[wanted[n]]) for n in nodes]
+
+
 def test_girvan_newman(spark):
     bridge = [(0, 1), (1, 2), (0, 2), (3, 4), (4, 5), (3, 5), (2, 3)]
     g, _ = graph(spark, list(range(6)), bridge)

@@ -160,6 +160,25 @@ def test_large_whole_numbers_are_exact(spark):
     assert rows(detectors.glance(nodes, communities), "score") == [(0.5,)] * 4
 
 
+@pytest.mark.parametrize("base", [2**53, 2**62, -(2**63), 2**63 - 8])
+def test_whole_numbers_that_doubles_cannot_tell_apart(spark, base, sizes):
+    values = [base, base + 1, base + 1, base + 2, base + 4, base + 7]
+    nodes = spark.createDataFrame(list(enumerate(values)), "id long, x long")
+    communities = spark.createDataFrame([(i, 0) for i in range(6)], "node long, community long")
+    total = sum(abs(a - b) for a in values for b in values)
+    wanted = [(i, sum(abs(a - b) * 36 > total for b in values) / 6) for i, a in enumerate(values)]
+    assert rows(detectors.glance(nodes, communities)) == wanted and len({score for _, score in wanted}) > 1
+
+
+def test_whole_numbers_at_both_ends(spark):
+    values = [-(2**63), 2**63 - 1, 0, 5]
+    nodes = spark.createDataFrame(list(enumerate(values)), "id long, x long")
+    communities = spark.createDataFrame([(i, 0) for i in range(4)], "node long, community long")
+    total = sum(abs(a - b) for a in values for b in values)
+    wanted = [(i, sum(abs(a - b) * 16 > total for b in values) / 4) for i, a in enumerate(values)]
+    assert rows(detectors.glance(nodes, communities)) == wanted
+
+
 @pytest.mark.parametrize("bad", [float("nan"), float("inf")])
 def test_values_that_are_not_finite_score_nothing(spark, bad, sizes):
     nodes = spark.createDataFrame([(0, bad, 0), (1, 1.0, 9), (2, 2.0, 0)], "id long, x double, y int")
