@@ -113,15 +113,20 @@ class _Shard:
 
     def __init__(self, capacity: int):
         self.capacity, self.total = capacity, 0
-        #: Id (an Arrow array of one), all tokens of the document, first token here, token ids.
-        self.held: list[tuple[pa.Array, int, int, bytes]] = []
-
-    def add(self, key: pa.Array, ids: bytes) -> None:
-        self.held.append((key, len(ids) // 4, 0, ids))
-        self.total += len(ids) // 4
-
-    def take(self, last: bool) -> tuple[list[tuple[pa.Array, int, int, bytes]], np.ndarray]:
-        """Documents for whole sequences and the rooms of these; at the end all, with small rooms."""
+        #: Ids of the documents seen since the last shard, and how many these are.
+        self.keys: list[pa.Array] = []
+        self.seen = 0
+        #: Place among these ids, all tokens of the document, first token here, token ids.
+        self.held: list[tuple[int, int, int, bytes]] = []
+
+    def add(self, keys: pa.Array, found: list[bytes]) -> None:
+        self.keys.append(keys)
+        self.held.extend((place, len(ids) // 4, 0, ids) for place, ids in enumerate(found, self.seen))
+        self.seen += len(keys)
+        self.total += sum(map(len, found)) // 4
+
+    def take(self, last: bool) -> tuple[pa.Array, list[tuple[int, int, int, bytes]], np.ndarray]:
+        """Ids, documents for whole sequences and the rooms of these; at the end all, with small rooms."""
         rest = self.total % self.capacity
         rooms = [self.capacity] * (self.total // self.capacity)
         later = []
@@ -135,9 +140,12 @@ class _Shard:
                 if keep:
                     self.held.append((key, tokens, first, ids[: 4 * keep]))
                 later.append((key, tokens, first + keep, ids[4 * keep :]))
-        taken, self.held = self.held, later[::-1]
+        keys = pa.concat_arrays(self.keys) if self.keys else pa.nulls(0)
+        taken, later = self.held, later[::-1]
+        self.held = [(place, *rest) for place, (_, *rest) in enumerate(later)]
+        self.keys, self.seen = [keys.take(pa.array([place for place, *_ in later], pa.int64()))], len(later)
         self.total = sum(len(ids) // 4 for _, _, _, ids in self.held)
-        return taken, np.array(rooms, np.int64)
+        return keys, taken, np.array(rooms, np.int64)
 
 
 def pack_balanced(
@@ -160,22 +168,24 @@ def pack_balanced(
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
 
     def dealt(shard: _Shard, last: bool, number: int) -> tuple[pa.RecordBatch | None, int]:
-        taken, rooms = shard.take(last)
+        keys, taken, rooms = shard.take(last)
         if not taken:
             return None, number
-        sizes = np.array([len(ids) // 4 for _, _, _, ids in taken])
+        place, tokens, first, ids = zip(*taken, strict=True)
+        place, tokens, first = np.array(place), np.array(tokens), np.array(first)
+        sizes = np.array(list(map(len, ids))) // 4
         parts = -(-sizes // capacity)
         owner, low = np.repeat(np.arange(len(taken)), parts), runs(parts) * capacity
         piece, start, length, sequence, offset = pack_shard(np.minimum(capacity, sizes[owner] - low), rooms, linear, quadratic)
         owner, low = owner[piece], low[piece] + start
-        chunks = [taken[k][3][4 * a : 4 * (a + n)] for k, a, n in zip(owner.tolist(), low.tolist(), length.tolist(), strict=True)]
+        chunks = [ids[k][a:z] for k, a, z in zip(owner.tolist(), (4 * low).tolist(), (4 * (low + length)).tolist(), strict=True)]
         base = (TaskContext.get().partitionId() << 40) + number
         columns = {
-            "doc_id": pa.concat_arrays([key for key, _, _, _ in taken]).take(pa.array(owner)),
-            "start": pa.array(np.array([first for _, _, first, _ in taken])[owner] + low),
+            "doc_id": keys.take(pa.array(place[owner])),
+            "start": pa.array(first[owner] + low),
             "length": pa.array(length),
-            "ids_crc32": pa.array([zlib.crc32(chunk) for chunk in chunks], pa.int64()),
-            "doc_tokens": pa.array(np.array([tokens for _, tokens, _, _ in taken])[owner]),
+            "ids_crc32": pa.array(list(map(zlib.crc32, chunks)), pa.int64()),
+            "doc_tokens": pa.array(tokens[owner]),
             "sequence_id": pa.array(base + sequence),
             "offset": pa.array(offset),
         }
@@ -187,8 +197,7 @@ def pack_balanced(
         encoder, shard, number = Encoder(tokenizer), _Shard(capacity), 0
         for part in slices(batches):
             texts = [text or "" for text in part["text"].to_pylist()]
-            for row, found in enumerate(encoder.encode(texts)):
-                shard.add(part["doc_id"].slice(row, 1), found + end)
+            shard.add(part["doc_id"], [found + end for found in encoder.encode(texts)])
             if shard.total >= shard_tokens:
                 made, number = dealt(shard, False, number)
                 if made is not None:

@@ -63,11 +63,11 @@ class Encoder:
     def _learn(self, new: set[str]) -> None:
         letters, tailed, others = set(), [], set()
         for word in new:
-            if word.isalpha() and _plain(word):
+            if word.isalpha() and (word.isascii() or _plain(word)):
                 letters.add(word)
                 continue
             stem = word.rstrip(_TAIL)
-            if stem.isalpha() and _plain(stem):
+            if stem.isalpha() and (stem.isascii() or _plain(stem)):
                 tailed.append((word, stem, word[len(stem) :]))
                 letters.add(stem)
                 others.add(word[len(stem) :])
