@@ -147,8 +147,8 @@ def address_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "address-fold")
     orders = scratch.save(t.orders_as_nested(spark, sf_dir), "orders")
     grown = GrowingNetwork(spark, f"{scratch.base}/network", *t.INNER_WINDOW, fold_every=2)
-    for number, load in enumerate((2, 0, 1)):
-        grown.add(orders.where(F.month("time") % 3 == load), number)
+    for number, load in enumerate((1, 0)):
+        grown.add(orders.where(F.month("time") % 2 == load), number)
     return grown.network().users.edges.withColumn("value", F.col("value").cast("double"))
 
 

@@ -25,7 +25,8 @@ def transaction_time(text: ColumnOrName, lenient: bool = False) -> Column:
     return parse(_column(text), pattern)
 
 
-def _moment(value: Moment) -> Column:
+def moment(value: Moment) -> Column:
+    """A moment given as ISO text, time or column."""
     if isinstance(value, str):
         return transaction_time(F.lit(value))
     return F.lit(value)
@@ -41,9 +42,9 @@ def in_window(time: ColumnOrName, start: Moment = None, end: Moment = None, clos
     time = _column(time)
     keep = F.lit(True)
     if start is not None:
-        keep = keep & ((time >= _moment(start)) if closed == "both" else (time > _moment(start)))
+        keep = keep & ((time >= moment(start)) if closed == "both" else (time > moment(start)))
     if end is not None:
-        keep = keep & ((time <= _moment(end)) if closed == "both" else (time < _moment(end)))
+        keep = keep & ((time <= moment(end)) if closed == "both" else (time < moment(end)))
     return keep
 
 

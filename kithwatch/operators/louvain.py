@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kithwatch.operators.modularity import weighted
@@ -128,18 +128,22 @@ def _round(level: _Level, labels: DataFrame, seed: int, number: int, share: floa
     )
 
 
-def _quality(level: _Level, labels: DataFrame) -> tuple[float, int]:
-    """Modularity of the labelling before the round, and how many nodes it moved.
+def _stored(level: _Level, labels: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, float, int]:
+    """The labels of a round, the modularity of the labelling before it, and how many nodes it moved.
 
     The squares of the community totals are summed node by node, each adding its strength
-    times the total of its community, so nothing is grouped.
+    times the total of its community, so nothing is grouped; the sums are taken as the labels
+    are written.
     """
-    row = labels.agg(
+    seen = Observation()
+    watched = labels.observe(
+        seen,
         F.sum(F.col("inner") + 2 * F.col("loop")).alias("inside"),
         F.sum(F.col("k") * F.col("own_tot")).alias("squares"),
         F.count_if(F.col("c") != F.col("was")).alias("moved"),
-    ).first()
-    return row.inside / level.double_m - row.squares / level.double_m**2, row.moved
+    )
+    stored, sums = scratch.save(watched, name), seen.get
+    return stored, sums["inside"] / level.double_m - sums["squares"] / level.double_m**2, sums["moved"]
 
 
 def _settle(
@@ -150,8 +154,7 @@ def _settle(
     best_round, tops, quiet = 0, [], 0
     best = labels.select("u", "c")
     for number in range(1, max_rounds + 1):
-        labels = scratch.save(_round(level, labels, seed, number, share), f"{name}-{number}")
-        quality, moved = _quality(level, labels)
+        labels, quality, moved = _stored(level, _round(level, labels, seed, number, share), scratch, f"{name}-{number}")
         if not tops or quality > tops[-1] + LEAST_GAIN:
             if best_round not in (0, number - 1):
                 scratch.drop(f"{name}-{best_round}")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kithwatch.functions.expressions import Moment, high_end, is_usable, low_end
@@ -66,25 +66,33 @@ def with_users(payments: DataFrame, address_user: DataFrame, on_missing: str = "
     """``(from_user, to_user, value, count)``, ``to_user`` being null where nobody received.
 
     ``on_missing`` says what becomes of an address without user: ``"error"`` raises,
-    ``"drop"`` leaves the payment out.
+    ``"drop"`` leaves the payment out. The result is stored, and is looked up once: what has no
+    user is seen when it is written.
     """
     if on_missing not in ("error", "drop"):
         raise ValueError(f"on_missing must be 'error' or 'drop', not {on_missing!r}")
     scratch = Scratch(payments.sparkSession, "payments")
-    sent = scratch.save(
-        payments.where(is_usable("sender")).withColumn("receiver", F.expr("nullif(receiver, '')")), "sent"
-    )
-    rows = sent.count()
-    if on_missing == "error":
-        missing = missing_addresses(sent, address_user).take(1)
-        if missing:
-            raise MissingAddressError(f"no user for address {missing[0].address!r}")
+    counted = Observation()
+    usable = payments.where(is_usable("sender")).withColumn("receiver", F.expr("nullif(receiver, '')"))
+    sent = scratch.save(usable.observe(counted, F.count(F.lit(1)).alias("rows")), "sent")
+    rows = counted.get["rows"]
     senders = address_user.select(F.col("address").alias("sender"), F.col("user_id").alias("from_user"))
     receivers = address_user.select(F.col("address").alias("receiver"), F.col("user_id").alias("to_user"))
-    known = lookup(sent, senders, "sender", ["receiver"], rows=rows)
-    nobody = known.where(F.col("receiver").isNull()).select("from_user")
-    reached = lookup(known.where(F.col("receiver").isNotNull()), receivers, "receiver", ["sender"], rows=rows)
-    return reached.select("from_user", "to_user", "value", "count").unionByName(nobody, allowMissingColumns=True)
+    known = lookup(sent, senders, "sender", ["receiver"], how="left", rows=rows)
+    # Payments to nobody are kept apart: their null would be one hot key.
+    reached = lookup(known.where(F.col("receiver").isNotNull()), receivers, "receiver", ["sender"], how="left", rows=rows)
+    placed = reached.unionByName(known.where(F.col("receiver").isNull()), allowMissingColumns=True)
+    unplaced = F.col("from_user").isNull() | (F.col("receiver").isNotNull() & F.col("to_user").isNull())
+    if on_missing == "drop":
+        placed = placed.where(~unplaced)
+    seen = Observation()
+    stored = scratch.save(placed.observe(seen, F.count_if(unplaced).alias("missing")), "placed")
+    if seen.get["missing"]:
+        found = stored.where(unplaced).select(F.when(F.col("from_user").isNull(), F.col("sender")).otherwise(F.col("receiver"))).first()
+        scratch.drop()
+        raise MissingAddressError(f"no user for address {found[0]!r}")
+    scratch.drop("sent")
+    return stored.select("from_user", "to_user", "value", "count")
 
 
 def missing_addresses(payments: DataFrame, address_user: DataFrame) -> DataFrame:
@@ -142,7 +150,5 @@ def user_network(
     on_missing: str = "error",
 ) -> Graph:
     """Payment graph of nested transactions; a time equal to a bound is dropped."""
-    paid = payments_of(eligible(transactions, start, end, closed="neither"))
-    scratch = Scratch(transactions.sparkSession, "payments")
-    placed = scratch.save(with_users(paid, address_user, on_missing), "placed")
+    placed = with_users(payments_of(eligible(transactions, start, end, closed="neither")), address_user, on_missing)
     return Graph(payment_nodes(placed), payment_edges(placed))

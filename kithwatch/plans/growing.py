@@ -55,7 +55,7 @@ class GrowingNetwork:
         addresses = Graph(scratch.save(network.nodes, "nodes"), scratch.save(network.edges, "edges"))
         users = fold_users(self.stored.read("members", now), self.stored.read("changes", now), addresses, scratch)
         paid = payments_of(eligible(kept, self.start, self.end, closed="neither"))
-        between = scratch.save(with_users(paid, users.placed.withColumnRenamed("user", "user_id")), "paid")
+        between = with_users(paid, users.placed.withColumnRenamed("user", "user_id"))
         return {
             "nodes": addresses.nodes,
             "edges": addresses.edges,

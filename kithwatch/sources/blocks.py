@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithwatch.functions.expressions import transaction_time
+from kithwatch.functions.expressions import Moment, moment, transaction_time
 
 # Fixed value: the fields of a block file that are read.
 BLOCK_SCHEMA = (
@@ -49,3 +49,25 @@ def stream_transactions(
     """The same as a stream of the files that arrive in the folder."""
     reader = _options(spark.readStream, one_per_line).option("maxFilesPerTrigger", files_per_batch)
     return transactions_of(reader.json(path), lenient_time)
+
+
+def save_transactions(transactions: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """A columnar copy of transactions in a folder per day, so that a window reads its days only.
+
+    Days are written by as many tasks as their rows need.
+    """
+    dated = transactions.withColumn("day", F.to_date("time")).hint("rebalance", "day")
+    dated.write.mode(mode).partitionBy("day").parquet(path)
+
+
+def load_transactions(spark: SparkSession, path: str, start: Moment = None, end: Moment = None) -> DataFrame:
+    """Transactions of the days from ``start`` to ``end`` of such a copy.
+
+    Whether a time at a bound counts is left to who uses them, as networks differ in it.
+    """
+    kept = F.lit(True)
+    if start is not None:
+        kept = kept & (F.col("day") >= F.to_date(moment(start)))
+    if end is not None:
+        kept = kept & (F.col("day") <= F.to_date(moment(end)))
+    return spark.read.parquet(path).where(kept).drop("day")

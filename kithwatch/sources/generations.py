@@ -28,24 +28,32 @@ class Manifest:
     generation: str | None = None
     parts: tuple[str, ...] = ()
     last: int = -1
-    before: tuple[str, ...] = field(default=())
+    before: tuple[str, ...] = ()
+    #: Columns of the tables, for readers that do not know them.
+    schemas: Mapping[str, str] = field(default_factory=dict)
 
     def folders(self) -> tuple[str, ...]:
         return ((self.generation,) if self.generation else ()) + self.parts
 
 
 class Generations:
-    """``schemas`` names the tables; of those in ``latest`` only the newest folder's rows count."""
+    """``schemas`` names the tables; of those in ``latest`` only the newest folder's rows count.
 
-    def __init__(self, spark: SparkSession, path: str, schemas: Mapping[str, str], latest: Collection[str] = ()):
-        self.spark, self.path, self.schemas, self.latest = spark, path, dict(schemas), set(latest)
+    A reader may leave the schemas to the manifest, which must be there then.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schemas: Mapping[str, str] | None = None, latest: Collection[str] = ()):
+        self.spark, self.path, self.latest = spark, path, set(latest)
+        self.schemas = dict(self.manifest().schemas if schemas is None else schemas)
+        if not self.schemas:
+            raise FileNotFoundError(f"no tables have been written to {path}")
 
     def manifest(self) -> Manifest:
         names = [name for name in self._names("manifest") if name.endswith(".json")]
         if not names:
             return Manifest()
         found = json.loads(self._load(f"manifest/{max(names)}"))
-        return Manifest(found["number"], found["generation"], tuple(found["parts"]), found["last"], tuple(found["before"]))
+        return Manifest(**{**found, "parts": tuple(found["parts"]), "before": tuple(found["before"])})
 
     def read(self, table: str, manifest: Manifest | None = None) -> DataFrame:
         """All rows of a table in the folders of the (newest) manifest."""
@@ -83,7 +91,7 @@ class Generations:
             table.select(*columns).write.mode("overwrite").parquet(f"{self.path}/{folder}/{name}")
 
     def _switch(self, manifest: Manifest) -> Manifest:
-        manifest = replace(manifest, number=manifest.number + 1)
+        manifest = replace(manifest, number=manifest.number + 1, schemas=self.schemas)
         name = f"manifest/{manifest.number:012d}"
         self._save(f"{name}.tmp", json.dumps(asdict(manifest)))
         system, source = self._at(f"{name}.tmp")

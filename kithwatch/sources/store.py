@@ -33,11 +33,15 @@ def _exists(spark: SparkSession, path: str, delete: bool = False) -> bool:
     return system.delete(target, True) if delete else system.exists(target)
 
 
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a table has been written to its end; half a result lacks the mark."""
+    return _exists(spark, f"{path}/_SUCCESS")
+
+
 def _load_if_there(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         found = spark.read.parquet(path)
-        # A folder without the mark of a finished write may hold half a result.
-        return found if _exists(spark, f"{path}/_SUCCESS") else None
+        return found if written(spark, path) else None
     except AnalysisException as missing:
         if missing.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None

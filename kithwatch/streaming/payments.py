@@ -13,11 +13,6 @@ from kithwatch.plans.growing import FOLD_EVERY, GrowingNetwork
 from kithwatch.sources.generations import Generations
 
 
-def _payments(spark: SparkSession, output: str, users: str) -> Generations:
-    edges = f"src {users}, dst {users}, value decimal(38,0), count bigint"
-    return Generations(spark, output, {"nodes": f"id {users}", "edges": edges})
-
-
 def payment_stream(
     transactions: DataFrame,
     address_user: DataFrame,
@@ -35,9 +30,10 @@ def payment_stream(
     is; ``fold_every`` of them become one. A batch that is run again after a failure is added once.
     """
     users = dict(address_user.dtypes)["user_id"]
+    schemas = {"nodes": f"id {users}", "edges": f"src {users}, dst {users}, value decimal(38,0), count bigint"}
 
     def store(batch: DataFrame, number: int) -> None:
-        stored = _payments(batch.sparkSession, output, users)
+        stored = Generations(batch.sparkSession, output, schemas)
         now = stored.manifest()
         if number > now.last:
             with Scratch(batch.sparkSession, "batch"):
@@ -56,9 +52,9 @@ def _network(stored: Generations) -> Graph:
     return Graph(stored.read("nodes", now).distinct(), fold_payment_edges(stored.read("edges", now)))
 
 
-def streamed_network(spark: SparkSession, output: str, users: str = "bigint") -> Graph:
-    """The network of all batches so far; ``users`` is the type of the user ids."""
-    return _network(_payments(spark, output, users))
+def streamed_network(spark: SparkSession, output: str) -> Graph:
+    """The network of all batches so far."""
+    return _network(Generations(spark, output))
 
 
 def network_stream(

@@ -17,7 +17,7 @@ from kithwatch.operators.payment_network import (
     with_users,
 )
 from kithwatch.plans.users import store_user_network, users_of, window_folder
-from kithwatch.sources.blocks import read_transactions, stream_transactions
+from kithwatch.sources.blocks import load_transactions, read_transactions, stream_transactions
 from kithwatch.sources.store import load_address_users, load_graph
 from kithwatch.streaming.payments import payment_stream, streamed_network
 
@@ -188,3 +188,21 @@ def test_stream(spark, folder, transactions, tmp_path_factory):
     found = streamed_network(spark, f"{out}/network")
     assert rows(found.edges) == rows(whole.edges)
     assert rows(found.nodes) == rows(whole.nodes)
+
+
+def test_windows_of_a_copy_by_day(spark, folder, transactions, tmp_path_factory):
+    out = str(tmp_path_factory.mktemp("windows"))
+    plain = store_user_network(spark, folder, f"{out}/plain", 2012, EARLY, LATE)
+    copied = store_user_network(spark, folder, f"{out}/copied", 2012, EARLY, LATE, copy=f"{out}/copy")
+    assert rows(copied.users.edges) == rows(plain.users.edges)
+    assert rows(copied.addresses.nodes) == rows(plain.addresses.nodes)
+    # Both ends lie within the data: one day is read, and the block files are not needed.
+    day = ("2012-06-19T00:00:00+0000", "2012-06-19T23:00:00+0000")
+    narrow = store_user_network(spark, f"{out}/none", f"{out}/copied", 2012, *day, copy=f"{out}/copy")
+    wanted = address_network(transactions, *day)
+    assert rows(narrow.addresses.edges) == rows(wanted.edges)
+    assert rows(narrow.users.edges) == rows(user_network(transactions, users_of(wanted), *day).edges)
+    plan = load_transactions(spark, f"{out}/copy", *day)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
+    read = lambda *window: load_transactions(spark, f"{out}/copy", *window).select(F.input_file_name()).distinct().count()
+    assert read(*day) == 1 < read()

@@ -132,8 +132,10 @@ class Crash(Exception):
     pass
 
 
-@pytest.mark.parametrize("step", ["_write", "_save", "_switch", "_sweep", "_delete"])
-@pytest.mark.parametrize("late", [False, True])
+@pytest.mark.parametrize(
+    ("step", "late"),
+    [("_write", False), ("_save", False), ("_switch", False), ("_sweep", False), ("_delete", False), ("_write", True), ("_switch", True)],
+)
 def test_a_crash_loses_and_doubles_nothing(spark, tmp_path, monkeypatch, step, late):
     """The writer dies before or after a step, at the first and at a later time, and starts again."""
     plain, calls = getattr(Generations, step), {"n": 0, "at": 2}
@@ -169,3 +171,6 @@ def test_readers_keep_what_they_planned_with(spark, tmp_path):
     assert rows(total(stored)) == [(0, 1), (1, 1), (2, 1), (3, 1)]
     with pytest.raises(ValueError):
         stored.append(9, {"t": planned})
+    assert rows(total(Generations(spark, str(tmp_path)))) == rows(total(stored))
+    with pytest.raises(FileNotFoundError):
+        Generations(spark, f"{tmp_path}/none")
