@@ -9,7 +9,9 @@ sequences of its own:
    with room for it (a heap of costs; a sequence too full for the current length waits until
    the lengths have come down to its room);
 2. *cuts*: pieces that no sequence can take whole are cut to fill what room is left, the
-   longest into the largest. A document longer than a sequence is cut first.
+   longest into the largest. A document longer than a sequence is cut first, into equal parts of at
+   most ``LONGEST`` tokens: a part that fills a sequence costs most of all, and leaves no room by
+   which its cost could be balanced.
 
 The room of a shard's sequences is exactly the number of its tokens, so nothing is padded:
 what goes beyond whole sequences moves on to the next shard, and at the end of a task to
@@ -40,7 +42,7 @@ from pyspark.sql import DataFrame
 from kithwatch.llm.arrays import runs, slices
 from kithwatch.llm.tokens import Encoder
 
-CAPACITY = 2048
+CAPACITY, LONGEST = 2048, 1536
 END_ID = 1
 SHARD_TOKENS = 1 << 21
 #: Cost of a token and of a pair of tokens: a layer of width d takes about 24 d^2 operations for
@@ -155,15 +157,18 @@ def pack_balanced(
     end_id: int = END_ID,
     linear: float = LINEAR,
     quadratic: float = QUADRATIC,
+    longest: int | None = None,
     shard_tokens: int = SHARD_TOKENS,
     with_ids: bool = False,
 ) -> DataFrame:
     """``(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset)``, one row per piece.
 
     Sequences hold ``capacity`` tokens, but for at most one of each smaller power of two in
-    every task. ``with_ids`` adds the ids of each piece as little-endian unsigned 32-bit numbers.
+    every task. ``longest`` (three quarters of ``capacity``, if not given) limits the parts of documents
+    beyond the capacity. ``with_ids`` adds the ids of each piece as little-endian unsigned 32-bit numbers.
     """
     end = np.array([end_id], "<u4").tobytes()
+    limit = longest or max(1, capacity * LONGEST // CAPACITY)
     kind = dict(documents.dtypes)["doc_id"]
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
 
@@ -174,9 +179,10 @@ def pack_balanced(
         place, tokens, first, ids = zip(*taken, strict=True)
         place, tokens, first = np.array(place), np.array(tokens), np.array(first)
         sizes = np.array(list(map(len, ids))) // 4
-        parts = -(-sizes // capacity)
-        owner, low = np.repeat(np.arange(len(taken)), parts), runs(parts) * capacity
-        piece, start, length, sequence, offset = pack_shard(np.minimum(capacity, sizes[owner] - low), rooms, linear, quadratic)
+        parts = np.where(sizes > capacity, -(-sizes // limit), 1)
+        owner, nth = np.repeat(np.arange(len(taken)), parts), runs(parts)
+        low, high = nth * sizes[owner] // parts[owner], (nth + 1) * sizes[owner] // parts[owner]
+        piece, start, length, sequence, offset = pack_shard(high - low, rooms, linear, quadratic)
         owner, low = owner[piece], low[piece] + start
         chunks = [ids[k][a:z] for k, a, z in zip(owner.tolist(), (4 * low).tolist(), (4 * (low + length)).tolist(), strict=True)]
         base = (TaskContext.get().partitionId() << 40) + number

@@ -61,11 +61,9 @@ class Encoder:
                 start = stop
 
     def _learn(self, new: set[str]) -> None:
-        letters, tailed, others = set(), [], set()
-        for word in new:
-            if word.isalpha() and (word.isascii() or _plain(word)):
-                letters.add(word)
-                continue
+        letters = {word for word in new if word.isalpha() and (word.isascii() or _plain(word))}
+        tailed, others = [], set()
+        for word in new - letters:
             stem = word.rstrip(_TAIL)
             if stem.isalpha() and (stem.isascii() or _plain(stem)):
                 tailed.append((word, stem, word[len(stem) :]))
