@@ -1,36 +1,43 @@
 """Similarity join of documents on the Jaccard coefficient of their word n-grams.
 
-1. Each document becomes a sorted array of distinct n-gram hashes. The order is by rarity:
-   the upper 16 bits of a hash are replaced by the rank of their class in a table of counts
-   over all documents, so sorting the numbers puts n-grams of rare classes first.
-2. Documents with equal sets are one class; only its smallest ``doc_id`` is compared.
+1. Each document becomes a sorted array of distinct n-gram hashes, rare n-grams first. How rare
+   one is comes from a table of 65,536 classes of hashes counted over all documents; n-grams that
+   are frequent by themselves (a summary of the most frequent ones is kept by each task and added
+   up) come after all others, by their own counts. Any common order gives the same links; a good
+   one keeps passages that many documents share out of the tiles.
+2. Documents with equal sets are one class; only one of them is compared.
 3. *Size-banded tiles*: two sets that are alike enough share an n-gram among their first
    ``n - ceil(t n) + 1``. A tile is such an n-gram together with a band of sizes; a band
-   doubles in size, and sets just below it are in it too, so two sets of fitting sizes
-   always meet in the band of the larger one.
-4. *Bitmap signatures*: a set sets or clears bits of a 1,024-bit map. As many bits as differ
-   at least, elements differ, which bounds the overlap from above.
+   doubles in size, and a set is in its own band and in all those up to the largest size it can
+   link to, so two sets of fitting sizes always meet in the band of the larger one. Of tiles with
+   the same members one is kept.
+4. *Bitmap signatures*: a set sets or clears bits of a map that has two to four bits for each of
+   its n-grams (1,024 bits at least, 65,536 at most; a wider map folds to a narrower one). As many
+   bits as differ at least, elements differ, which bounds the overlap from above.
 5. What the bound lets through is compared exactly, by merging the two sorted arrays.
 
 A tile of n documents is not turned into its n^2 pairs. First everyone is compared with the
-smallest and the largest id of the tile; components are drawn from the links found. Then
+smallest and the largest row of the tile; components are drawn from the links found. Then
 tiles that hold several components are compared in blocks, bitmap by bitmap, and only pairs
 of different components that the bound allows become rows; more rounds of single partners come first where there
 are many to compare. A link between two components is thus never missed, one inside a
-component need not be found.
+component need not be found. :func:`jaccard_links` finds all of them.
 
 Defined results: null texts and texts without words have the empty set and link to nothing;
 a text with fewer words than an n-gram is one n-gram. Rows with the same ``doc_id`` are one
-node. A null ``doc_id`` never names a component. Only ``doc_id`` and ``text`` are read.
+node, also with different texts. A null ``doc_id`` never names a component. Only ``doc_id`` (of
+any type that can be ordered) and ``text`` are read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kithwatch.llm.arrays import SPACES, chained, lists, mixed, runs, slices, utf8, words
@@ -38,11 +45,16 @@ from kithwatch.operators.components import connected_components
 from kithwatch.operators.scratch import Scratch
 
 CLASSES = 1 << 16
-LANES = 16
+#: Frequent n-grams that are told apart by a task's summary, and in the whole.
+FREQUENT = 1 << 16
+#: Hashes that a task gathers before they are added to its summary.
+GATHERED = 1 << 20
+#: Words of 64 bits that a bitmap has at least and at most.
+LANES, MOST_LANES = 16, 1024
 #: Ids that may be broadcast: a few megabytes.
 BROADCAST_IDS = 500_000
-_LOW = np.uint64((1 << 48) - 1)
 _UP = np.uint64(48)
+_LOW = np.uint64((1 << 48) - 1)
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,201 +75,373 @@ def _grams(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray
     return hashes, owner
 
 
-def _sets(data: np.ndarray, offsets: np.ndarray, size: int, rank: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct n-grams of every text, one after another, and how many each has."""
+@dataclass
+class Rarity:
+    """Rank of each class of hashes, and the frequent hashes (sorted) with their own ranks."""
+
+    classes: np.ndarray
+    frequent: np.ndarray
+    ranks: np.ndarray
+
+    def of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether a hash is frequent, and a number that sorts it among its like."""
+        value = (self.classes[(hashes >> _UP).astype(np.int64)] << _UP) | (hashes & _LOW)
+        if not len(self.frequent):
+            return np.zeros(len(hashes), bool), value
+        at = np.minimum(np.searchsorted(self.frequent, hashes), len(self.frequent) - 1)
+        hit = self.frequent[at] == hashes
+        value[hit] = self.ranks[at[hit]]
+        return hit, value
+
+
+@dataclass
+class Sets:
+    """Distinct n-grams of texts, one text after another: hashes in order, and how many each has."""
+
+    hashes: np.ndarray
+    values: np.ndarray
+    count: np.ndarray
+
+    def names(self) -> np.ndarray:
+        """128 bits for each set that do not depend on the order of its n-grams."""
+        names = np.zeros((2, len(self.count)), np.uint64)
+        full = np.flatnonzero(self.count)
+        if len(full):
+            first = (np.cumsum(self.count) - self.count)[full]
+            drawn = mixed(self.hashes)
+            names[0, full] = np.add.reduceat(drawn, first)
+            names[1, full] = np.add.reduceat(mixed(drawn), first)
+        return names.view(np.int64)
+
+
+def _sets(data: np.ndarray, offsets: np.ndarray, size: int, rarity: Rarity | None = None) -> Sets:
+    """The set of every text, sorted by rarity if there is one and else by hash."""
     hashes, owner = _grams(data, offsets, size)
-    if rank is not None:
-        hashes = (rank[(hashes >> _UP).astype(np.int64)] << _UP) | (hashes & _LOW)
-    order = np.lexsort((hashes, owner))
-    hashes, owner = hashes[order], owner[order]
-    new = np.ones(len(hashes), bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-    return hashes[new], np.bincount(owner[new], minlength=len(offsets) - 1)
+    values, group = hashes, owner
+    if rarity is not None:
+        frequent, values = rarity.of(hashes)
+        group = owner * 2 + frequent
+    order = np.lexsort((values, group))
+    hashes, values, group, owner = hashes[order], values[order], group[order], owner[order]
+    new = np.ones(len(values), bool)
+    new[1:] = (values[1:] != values[:-1]) | (group[1:] != group[:-1])
+    return Sets(hashes[new], values[new], np.bincount(owner[new], minlength=len(offsets) - 1))
 
 
-def rarity_ranks(documents: DataFrame, size: int) -> np.ndarray:
-    """Rank of each of the 65,536 hash classes by how many n-grams of all documents it has."""
+def _summed(keys: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts by key; of more than ``most`` keys the largest, less the first count that is left out.
+
+    So a key with more than a ``most``-th of all is never lost, and memory is bounded.
+    """
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    keys, counts = keys[first], np.add.reduceat(counts, first) if len(first) else counts
+    if len(keys) > most:
+        counts = counts - np.partition(counts, len(counts) - most - 1)[len(counts) - most - 1]
+        keys, counts = keys[counts > 0], counts[counts > 0]
+    return keys, counts
+
+
+def rarity_of(documents: DataFrame, size: int, scratch: Scratch) -> Rarity:
+    """How rare classes of hashes, and hashes that are frequent by themselves, are in all documents."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CLASSES, np.int64)
+        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held, waiting = [], 0
         for part in slices(batches):
-            hashes, _ = _sets(*utf8(part["text"]), size, None)
+            hashes = _sets(*utf8(part["text"]), size).hashes
             total += np.bincount((hashes >> _UP).astype(np.int64), minlength=CLASSES)
+            held.append(hashes)
+            waiting += len(hashes)
+            if waiting >= GATHERED:
+                keys, counts = _summed(np.concatenate([keys, *held]), np.concatenate([counts, np.ones(waiting, np.int64)]), FREQUENT)
+                held, waiting = [], 0
+        keys, counts = _summed(np.concatenate([keys, *held]), np.concatenate([counts, np.ones(waiting, np.int64)]), FREQUENT)
+        # What a task saw once is not frequent.
+        keys, counts = keys[counts > 1], counts[counts > 1]
         used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"class": pa.array(used, pa.int32()), "n": total[used]})
+        yield pa.RecordBatch.from_pydict(
+            {
+                "single": np.repeat([False, True], [len(used), len(keys)]),
+                "key": np.concatenate([used, keys.view(np.int64)]).astype(np.int64),
+                "n": np.concatenate([total[used], counts]),
+            }
+        )
 
-    parts = documents.select("text").mapInArrow(counted, "class int, n long")
-    total = np.zeros(CLASSES, np.int64)
-    for row in parts.groupBy("class").agg(F.sum("n").alias("n")).collect():
-        total[row["class"]] = row["n"]
+    parts = documents.select("text").mapInArrow(counted, "single boolean, key long, n long")
+    sums = scratch.save(parts.groupBy("single", "key").agg(F.sum("n").alias("n")), "rarity")
+    classes = np.zeros(CLASSES, np.int64)
+    for row in sums.where("not single").collect():
+        classes[row["key"]] = row["n"]
+    top = sums.where("single").orderBy(F.desc("n"), "key").limit(FREQUENT).collect()
+    scratch.drop("rarity")
+    frequent = np.array([row["key"] for row in top], np.int64).view(np.uint64)
+    ranks = np.arange(len(frequent), 0, -1).astype(np.uint64)
+    order = np.argsort(frequent)
     rank = np.zeros(CLASSES, np.uint64)
-    rank[np.argsort(total, kind="stable")] = np.arange(CLASSES, dtype=np.uint64)
-    return rank
+    rank[np.argsort(classes, kind="stable")] = np.arange(CLASSES, dtype=np.uint64)
+    return Rarity(rank, frequent[order], ranks[order])
+
+
+def _bitmaps(sets: Sets) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps of all sets, one after another, and how many words of 64 bits each has."""
+    lanes = np.clip(1 << np.maximum(np.frexp(np.maximum(sets.count, 1))[1].astype(np.int64) + 1 - 6, 0), LANES, MOST_LANES)
+    first = np.cumsum(lanes) - lanes
+    owner = np.repeat(np.arange(len(lanes)), sets.count)
+    bit = (mixed(sets.hashes) & (lanes[owner] * 64 - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(first[owner] * 64 + bit, minlength=int(lanes.sum()) * 64) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64), lanes
+
+
+def _folded(bits: pa.ListArray, lanes: int) -> np.ndarray:
+    """Bitmaps as rows of ``lanes`` words; wider ones are folded, bit upon bit."""
+    width = pc.list_value_length(bits).to_numpy(zero_copy_only=False)
+    flat = bits.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    first = np.cumsum(width) - width
+    out = np.zeros((len(width), lanes), np.uint64)
+    for wide in np.unique(width).tolist():
+        rows = np.flatnonzero(width == wide)
+        words = flat[(first[rows, None] + np.arange(wide)).reshape(-1)]
+        out[rows] = np.bitwise_xor.reduce(words.reshape(len(rows), wide // lanes, lanes), axis=1)
+    return out
 
 
-def gram_sets(documents: DataFrame, size: int, least: int, of: int, rank: np.ndarray) -> DataFrame:
+def _may_link(differing: np.ndarray, one: np.ndarray, other: np.ndarray, least: int, of: int) -> np.ndarray:
+    """Whether sets of these sizes, with as many differing bits, can be a link."""
+    both = one + other
+    return (np.minimum(one, other) * of >= np.maximum(one, other) * least) & ((both - differing) // 2 * (of + least) >= both * least)
+
+
+def gram_sets(documents: DataFrame, size: int, least: int, of: int, rarity: Rarity) -> DataFrame:
     """``(doc_id, n, k1, k2, tiles, bits)``: size, 128-bit name, tiles and bitmap of each set."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            hashes, count = _sets(*utf8(part["text"]), size, rank)
-            rows, first = part.num_rows, np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int64)
-            owner = np.repeat(np.arange(rows), count)
-            full = np.flatnonzero(count)
-            names = np.zeros((2, rows), np.uint64)
-            drawn = mixed(hashes)
-            if len(full):
-                names[0, full] = np.add.reduceat(drawn, first[full])
-                names[1, full] = np.add.reduceat(mixed(drawn), first[full])
-            bit = (drawn >> np.uint64(54)).astype(np.int64)
-            odd = np.bincount(owner * LANES * 64 + bit, minlength=rows * LANES * 64) & 1
-            bits = np.packbits(odd.astype(np.uint8).reshape(rows, -1), axis=1).view(np.int64)
-            # The rarest n-grams, each in the band of its size and where due in the next one.
+            sets = _sets(*utf8(part["text"]), size, rarity)
+            count, rows = sets.count, part.num_rows
+            first = np.cumsum(count) - count
+            names = sets.names()
+            bits, lanes = _bitmaps(sets)
+            # The rarest n-grams, each in the band of its size and in those up to the largest partner's.
             ahead = np.where(count > 0, count - -(-count * least // of) + 1, 0)
             band = np.frexp(np.maximum(count, 1))[1].astype(np.int64)
-            copies = ahead * np.where(count * of >= (1 << band) * least, 2, 1)
+            last = np.frexp(np.maximum(count * of // least, 1))[1].astype(np.int64)
+            copies = ahead * (last - band + 1)
             nth = runs(copies)
             row = np.repeat(np.arange(rows), copies)
-            step = ahead[row]
-            place = first[row] + nth % np.maximum(step, 1)
-            tile = mixed(hashes[place] + mixed((band[row] + nth // np.maximum(step, 1)).astype(np.uint64)))
+            step = np.maximum(ahead[row], 1)
+            tile = mixed(sets.values[first[row] + nth % step] + mixed((band[row] + nth // step).astype(np.uint64)))
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": part["doc_id"],
                     "n": pa.array(count, pa.int64()),
-                    "k1": names[0].view(np.int64),
-                    "k2": names[1].view(np.int64),
+                    "k1": names[0],
+                    "k2": names[1],
                     "tiles": lists(tile.view(np.int64), copies, pa.int64()),
-                    "bits": lists(bits.reshape(-1), np.full(rows, LANES), pa.int64()),
+                    "bits": lists(bits.view(np.int64), lanes, pa.int64()),
                 }
             )
 
-    kind = dict(documents.dtypes)["doc_id"]
+    kind = documents.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n long, k1 long, k2 long, tiles array<long>, bits array<long>"
     return documents.select("doc_id", "text").mapInArrow(made, schema)
 
 
+NAME = ["k1", "k2", "n"]
+
+
+@dataclass
+class _Classes:
+    """Documents whose sets are equal, as one row each.
+
+    ``rows`` has ``(doc_id, n, k1, k2)`` of every document, ``classes`` ``(rep, doc_id, k1, k2, n)``
+    with the smallest ``doc_id``, ``traits`` the bitmap and ``members`` the tiles of classes that
+    share one, ``bridges`` the classes that rows of one ``doc_id`` tie together.
+    """
+
+    rows: DataFrame
+    classes: DataFrame
+    traits: DataFrame
+    members: DataFrame
+    bridges: DataFrame
+    placed: int
+    repeated: bool
+
+
+def _filed(scratch: Scratch, documents: DataFrame, size: int, least: int, of: int) -> _Classes:
+    rarity = rarity_of(documents, size, scratch)
+    # Numbered where it is written, and only read from there.
+    sets = scratch.save(gram_sets(documents, size, least, of, rarity).withColumn("row", F.monotonically_increasing_id()), "sets")
+    named = sets.where("n > 0 and doc_id is not null")
+    classes = scratch.save(named.groupBy(*NAME).agg(F.min("row").alias("rep"), F.min("doc_id").alias("doc_id")), "classes")
+    chosen = sets.join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
+    chosen = scratch.save(chosen.select(F.col("row").alias("rep"), "n", "tiles", "bits"), "chosen")
+    rows = scratch.save(sets.select("doc_id", *NAME), "rows")
+    scratch.drop("sets")
+    seen = Observation()
+    ids = rows.where("n > 0 and doc_id is not null").groupBy("doc_id")
+    ids = ids.agg(F.count(F.lit(1)).alias("copies"), *(f(name).alias(f"{f.__name__}_{name}") for f in (F.min, F.max) for name in NAME))
+    differing = ids.observe(seen, F.max("copies").alias("most")).where("min_k1 != max_k1 or min_k2 != max_k2 or min_n != max_n")
+    tied = scratch.save(differing.select("doc_id"), "tied")
+    tied = rows.join(tied, "doc_id", "left_semi").join(classes.select("rep", *NAME), NAME).select("doc_id", "rep").distinct()
+    firsts = tied.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    bridges = scratch.save(tied.join(firsts, "doc_id").where("a != rep").select("a", F.col("rep").alias("b")), "bridges")
+    tiles = chosen.select("rep", F.explode("tiles").alias("tile"))
+    ends = tiles.groupBy("tile").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("size > 1")
+    shared = scratch.save(tiles.join(ends, "tile"), "shared")
+    # Tiles with the same members are one.
+    prints = shared.groupBy("tile").agg(F.first("size").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("y"))
+    kept = prints.groupBy("size", "x", "y").agg(F.min("tile").alias("tile")).select("tile")
+    members = scratch.save(shared.join(kept, "tile", "left_semi"), "members")
+    scratch.drop("shared")
+    traits = scratch.save(chosen.select("rep", "n", "bits").join(members.select("rep").distinct(), "rep", "left_semi"), "traits")
+    scratch.drop("chosen")
+    return _Classes(rows, classes, traits, members, bridges, members.count(), (seen.get["most"] or 0) > 1)
+
+
 class _Links:
     """Compares pairs and keeps what has been found so far."""
 
-    def __init__(self, scratch: Scratch, documents: DataFrame, sets: DataFrame, size: int, least: int, of: int):
-        self.scratch, self.documents, self.size, self.least, self.of = scratch, documents, size, least, of
-        self.traits = sets.select("doc_id", "n", "bits")
+    def __init__(self, scratch: Scratch, documents: DataFrame, filed: _Classes, size: int, least: int, of: int):
+        self.scratch, self.documents, self.filed, self.size, self.least, self.of = scratch, documents, filed, size, least, of
+        self.traits = filed.traits
         self.tested: DataFrame | None = None
-        self.links: DataFrame | None = None
+        self.links = filed.bridges
         self.rounds = 0
 
     def _possible(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose sizes and bitmaps allow a link."""
-        one = self.traits.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
-        two = self.traits.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
-        differing = F.aggregate(F.zip_with("xa", "xb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        both = F.col("na") + F.col("nb")
-        overlap = F.floor((both - differing) / 2)
-        allowed = (F.least("na", "nb") * self.of >= F.greatest("na", "nb") * self.least) & (
-            overlap * (self.of + self.least) >= both * self.least
-        )
-        return pairs.join(one, "a").join(two, "b").where(allowed).select("a", "b")
+        least, of = self.least, self.of
+        one = self.traits.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
+        two = self.traits.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
+
+        def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                narrow = np.minimum(*(pc.list_value_length(batch[name]).to_numpy(zero_copy_only=False) for name in ("xa", "xb")))
+                for lanes in np.unique(narrow).tolist():
+                    part = batch.filter(pa.array(narrow == lanes))
+                    differing = np.bitwise_count(_folded(part["xa"], lanes) ^ _folded(part["xb"], lanes)).sum(axis=1, dtype=np.int64)
+                    good = pa.array(_may_link(differing, part["na"].to_numpy(), part["nb"].to_numpy(), least, of))
+                    yield pa.RecordBatch.from_arrays([part["a"].filter(good), part["b"].filter(good)], names=["a", "b"])
+
+        sized = F.least("na", "nb") * of >= F.greatest("na", "nb") * least
+        joined = pairs.join(one, "a").join(two, "b").where(sized)
+        return joined.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(allowed, "a long, b long")
+
+    def _texts(self, reps: DataFrame) -> DataFrame:
+        """``(rep, text)``: a text of each class, taken from a row with its id and its set."""
+        size = self.size
+        wanted = reps.join(self.filed.classes, "rep").select("rep", "doc_id", *(F.col(name).alias(f"of_{name}") for name in NAME))
+        wanted = self.scratch.save(wanted, "wanted")
+        # Few ids go to where the texts are read; more are joined by a shuffle.
+        if wanted.count() <= BROADCAST_IDS:
+            wanted = F.broadcast(wanted)
+
+        def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in slices(batches):
+                sets = _sets(*utf8(part["text"]), size)
+                k1, k2 = sets.names()
+                good = (k1 == part["of_k1"].to_numpy()) & (k2 == part["of_k2"].to_numpy()) & (sets.count == part["of_n"].to_numpy())
+                yield part.select(["rep", "text"]).filter(pa.array(good))
+
+        texts = self.documents.select("doc_id", "text").join(wanted, "doc_id")
+        if self.filed.repeated:
+            # Rows with one id: only those with the class's set, and of equal ones the first.
+            texts = texts.select("rep", "of_k1", "of_k2", "of_n", "text").mapInArrow(same, "rep long, text string").dropDuplicates(["rep"])
+        return self.scratch.save(texts.select("rep", "text"), "texts")
 
     def _exact(self, pairs: DataFrame) -> DataFrame:
         """Pairs that are links, by merging their sorted arrays."""
         size, least, of = self.size, self.least, self.of
-        ends = self.scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"ends-{self.rounds}")
-        # Few ids go to where the texts are read; more are joined by a shuffle.
-        if ends.count() <= BROADCAST_IDS:
-            ends = F.broadcast(ends)
-        texts = self.documents.select("doc_id", "text").join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        texts = self.scratch.save(texts, f"texts-{self.rounds}")
+        texts = self._texts(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
         # The end that more pairs share comes last, so that its text travels least.
-        sided = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        sided = sided.join(texts.select(F.col("doc_id").alias("a"), "text"), "a")
+        sided = pairs.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
+        sided = sided.join(texts.select(F.col("rep").alias("a"), "text"), "a")
 
         def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in slices(batches, limit=1 << 20):
-                one, na = _sets(*utf8(part["text"]), size, None)
-                two, nb = _sets(*utf8(part["text_b"]), size, None)
-                owner = np.concatenate([np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)])
-                both = np.concatenate([one, two])
+                one, two = _sets(*utf8(part["text"]), size), _sets(*utf8(part["text_b"]), size)
+                owner = np.concatenate([np.repeat(np.arange(part.num_rows), one.count), np.repeat(np.arange(part.num_rows), two.count)])
+                both = np.concatenate([one.hashes, two.hashes])
                 order = np.lexsort((both, owner))
                 both, owner = both[order], owner[order]
                 shared = owner[1:][(both[1:] == both[:-1]) & (owner[1:] == owner[:-1])]
-                overlap = np.bincount(shared, minlength=len(na))
-                good = pa.array((overlap * of >= (na + nb - overlap) * least) & (na > 0))
+                overlap = np.bincount(shared, minlength=part.num_rows)
+                good = pa.array((overlap * of >= (one.count + two.count - overlap) * least) & (one.count > 0))
                 yield pa.RecordBatch.from_arrays([part["a"].filter(good), part["b"].filter(good)], names=["a", "b"])
 
-        kinds = ", ".join(f"{name} {kind}" for name, kind in pairs.select("a", "b").dtypes)
-        return sided.select("a", "b", "text", "text_b").mapInArrow(linked, kinds)
+        return sided.select("a", "b", "text", "text_b").mapInArrow(linked, "a long, b long")
 
-    def test(self, pairs: DataFrame) -> int:
-        """Compare new pairs; says how many there were."""
+    def test(self, pairs: DataFrame) -> None:
+        """Compare new pairs."""
         pairs = pairs.where("a < b").distinct()
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
         self.rounds += 1
         pairs = self.scratch.save(pairs, f"pairs-{self.rounds}")
-        count = pairs.count()
-        if count:
-            self.tested = pairs if self.tested is None else self.tested.union(pairs)
-            possible = self.scratch.save(self._possible(pairs), f"possible-{self.rounds}")
-            found = self.scratch.save(self._exact(possible), f"links-{self.rounds}")
-            self.links = found if self.links is None else self.links.union(found)
-        return count
+        self.tested = pairs if self.tested is None else self.tested.union(pairs)
+        possible = self.scratch.save(self._possible(pairs), "possible")
+        if not possible.isEmpty():
+            self.links = self.links.union(self.scratch.save(self._exact(possible), f"links-{self.rounds}"))
+            self.scratch.drop("wanted")
+            self.scratch.drop("texts")
+        self.scratch.drop("possible")
 
     def components(self) -> DataFrame | None:
-        """``(rep, component)`` of all linked documents, written out."""
-        if self.links is None or self.links.isEmpty():
+        """``(rep, component)`` of all linked classes, written out."""
+        if self.links.isEmpty():
             return None
         edges = self.links.select(F.col("a").alias("src"), F.col("b").alias("dst"))
         nodes = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-        found = connected_components(nodes, edges).select(F.col("id").alias("rep"), "component")
-        return self.scratch.save(found, f"components-{self.rounds}")
+        with Scratch(self.scratch.spark, "linked"):
+            found = connected_components(nodes, edges).select(F.col("id").alias("rep"), "component")
+            return self.scratch.save(found, f"components-{self.rounds}")
 
 
 #: Comparisons for each row of the tiles beyond which another round of single partners comes first.
 PATIENCE = 4
 #: Members of a tile that one task compares with as many others.
 BLOCK = 1024
-
-
-def _allowed(bits: np.ndarray, count: np.ndarray, other_bits: np.ndarray, other_count: np.ndarray, least: int, of: int) -> np.ndarray:
-    """Which pairs of two groups of sets can be links, by sizes and bitmaps."""
-    differing = np.bitwise_count(bits[:, None, :] ^ other_bits[None, :, :]).sum(axis=2, dtype=np.int64)
-    both = count[:, None] + other_count[None, :]
-    sized = np.minimum(count[:, None], other_count[None, :]) * of >= np.maximum(count[:, None], other_count[None, :]) * least
-    return sized & ((both - differing) // 2 * (of + least) >= both * least)
+#: Words of 64 bits that are compared at a time.
+COMPARED = 1 << 20
 
 
 def _tile_pairs(placed: DataFrame, traits: DataFrame, least: int, of: int) -> DataFrame:
     """Pairs in the same tile, but in different components, that sizes and bitmaps allow.
 
-    ``placed`` has ``(tile, low, size, rep, component)``. A large tile is cut into blocks by a hash,
-    and a task gets two of them, so no task holds more than two blocks at a time. Tiles with the
-    same smallest id ``low`` mostly hold the same documents; they go to the same task, which hands
-    on a pair that they share once.
+    ``placed`` has ``(tile, size, rep, component)``. A large tile is cut into blocks by a hash,
+    and a task gets two of them at a time, so no task holds more than two blocks.
     """
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    rows = placed.join(traits.select(F.col("doc_id").alias("rep"), "n", "bits"), "rep").withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
-    rows = rows.select("tile", "low", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"), "rep", "component", "n", "bits")
+    rows = placed.join(traits, "rep").withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    rows = rows.select("tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"), "rep", "component", "n", "bits")
     parts = max(1, int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = rows.repartition(parts, "low", "i", "j").sortWithinPartitions("low", "i", "j", "tile", "rep")
-
-    def compared(group: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        column = {name: group[name].to_numpy() for name in ("rep", "component", "n")}
-        bits = group["bits"].combine_chunks() if isinstance(group, pa.Table) else group["bits"]
-        bits = bits.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, LANES)
-        left = group["left"].to_numpy() if isinstance(group, pa.Table) else group["left"].to_numpy(zero_copy_only=False)
+    dealt = rows.repartition(parts, "tile", "i", "j").sortWithinPartitions("tile", "i", "j", "rep")
+
+    def compared(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        rep, component, n = (group[name].to_numpy() for name in ("rep", "component", "n"))
+        bits = group["bits"].combine_chunks()
+        lanes = int(pc.min(pc.list_value_length(bits)).as_py())
+        bits = _folded(bits, lanes)
+        left = group["left"].to_numpy()
         same = group["i"][0].as_py() == group["j"][0].as_py()
         rows = np.arange(len(left)) if same else np.flatnonzero(left)
         others = rows if same else np.flatnonzero(~left)
-        a, b = [], []
-        for low in range(0, len(rows), 64):
-            some = rows[low : low + 64]
-            good = _allowed(bits[some], column["n"][some], bits[others], column["n"][others], least, of)
-            good &= column["component"][some][:, None] != column["component"][others][None, :]
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        step = max(1, COMPARED // max(1, len(others) * lanes))
+        for low in range(0, len(rows), step):
+            some = rows[low : low + step]
+            differing = np.bitwise_count(bits[some][:, None, :] ^ bits[others][None, :, :]).sum(axis=2, dtype=np.int64)
+            good = _may_link(differing, n[some][:, None], n[others][None, :], least, of)
+            good &= component[some][:, None] != component[others][None, :]
             x, y = np.nonzero(good)
-            a.append(column["rep"][some[x]])
-            b.append(column["rep"][others[y]])
+            a.append(rep[some[x]])
+            b.append(rep[others[y]])
         a, b = np.concatenate(a), np.concatenate(b)
         return np.minimum(a, b), np.maximum(a, b)
 
@@ -305,11 +489,11 @@ def _settle(links: _Links, members: DataFrame, rows: int) -> DataFrame | None:
         # A tile of three has no pair that has not been compared with one of its ends.
         open_tiles = (
             placed.groupBy("tile")
-            .agg(F.min("component").alias("one"), F.max("component").alias("other"), F.min("rep").alias("low"), F.count(F.lit(1)).alias("size"))
+            .agg(F.min("component").alias("one"), F.max("component").alias("other"), F.count(F.lit(1)).alias("size"))
             .where("one != other and size > 3")
-            .select("tile", "low", "size")
+            .select("tile", "size")
         )
-        placed = links.scratch.save(placed.join(open_tiles, "tile"), f"open-{turn}")
+        placed = links.scratch.save(placed.join(open_tiles, "tile"), "open")
         groups = placed.groupBy("tile", "component", "size").agg(F.count(F.lit(1)).alias("n"))
         # Pairs of members in different components.
         work = groups.agg(F.sum(F.col("n") * (F.col("size") - F.col("n"))).alias("pairs")).first()["pairs"] or 0
@@ -330,29 +514,44 @@ def jaccard_components(documents: DataFrame, size: int = 5, least: int = 80, of:
     ``component_id`` is the smallest ``doc_id`` that links lead to, the document's own included.
     """
     spark = documents.sparkSession
-    scratch = Scratch(spark, "jaccard")
-    rank = rarity_ranks(documents, size)
-    sets = scratch.save(gram_sets(documents, size, least, of, rank), "sets")
-    name = ["k1", "k2", "n"]
-    classes = sets.where("n > 0 and doc_id is not null").groupBy(*name).agg(F.min("doc_id").alias("rep"))
-    classes = scratch.save(classes, "classes")
-    chosen = sets.join(classes.select(*name, F.col("rep").alias("doc_id")), [*name, "doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    chosen = scratch.save(chosen, "chosen")
-    tiles = chosen.select(F.col("doc_id").alias("rep"), F.explode("tiles").alias("tile"))
-    ends = tiles.groupBy("tile").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("size > 1")
-    members = scratch.save(tiles.join(ends, "tile"), "members")
-    rows = members.count()
-    found = None
-    if rows:
-        links = _Links(scratch, documents, chosen, size, least, of)
-        pairs = members.select("rep", F.explode(F.array("low", "high")).alias("end"))
-        links.test(pairs.select(F.least("rep", "end").alias("a"), F.greatest("rep", "end").alias("b")))
-        found = _settle(links, members.select("tile", "rep"), rows)
-    if found is not None:
-        classes = classes.join(found, "rep", "left").select(*name, F.coalesce("component", "rep").alias("component"))
-    else:
-        classes = classes.select(*name, F.col("rep").alias("component"))
-    # A null id is no node of its own: its set's component, if any, is still its component.
-    return sets.join(classes, name, "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
-    )
+    scratch, result = Scratch(spark, "jaccard"), Scratch(spark, "jaccard-classes")
+    with scratch:
+        filed = _filed(scratch, documents, size, least, of)
+        links = _Links(scratch, documents, filed, size, least, of)
+        if filed.placed:
+            pairs = filed.members.select("rep", F.explode(F.array("low", "high")).alias("end"))
+            links.test(pairs.select(F.least("rep", "end").alias("a"), F.greatest("rep", "end").alias("b")))
+            found = _settle(links, filed.members.select("tile", "rep"), filed.placed)
+        else:
+            found = links.components()
+        classes = filed.classes.select(*NAME, "rep", "doc_id")
+        if found is not None:
+            # A component is named after the smallest id of all its classes.
+            joined = found.join(classes, "rep")
+            names = joined.groupBy("component").agg(F.min("doc_id").alias("name"))
+            named = joined.join(names, "component").select("rep", "name")
+            classes = classes.join(named, "rep", "left").select(*NAME, F.coalesce("name", "doc_id").alias("component"))
+        else:
+            classes = classes.select(*NAME, F.col("doc_id").alias("component"))
+        # A null id is no node of its own: its set's component, if any, is still its component.
+        placed = filed.rows.join(classes, NAME, "left")
+        return result.save(placed.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")), "rows")
+
+
+def jaccard_links(documents: DataFrame, size: int = 5, least: int = 80, of: int = 100) -> tuple[DataFrame, DataFrame]:
+    """All links between different sets, ``(a, b)``, and the membership ``(doc_id, rep)``.
+
+    ``a`` and ``b`` are representatives of the classes of equal sets. There are as many rows as
+    there are links, so a group of n near copies costs n^2; copies cost nothing.
+    """
+    scratch, result = Scratch(documents.sparkSession, "jaccard"), Scratch(documents.sparkSession, "jaccard-links")
+    with scratch:
+        filed = _filed(scratch, documents, size, least, of)
+        links = _Links(scratch, documents, filed, size, least, of)
+        links.links = links.links.limit(0)
+        if filed.placed:
+            placed = filed.members.select("tile", "size", "rep", F.col("rep").alias("component"))
+            links.test(_tile_pairs(placed, links.traits, least, of))
+        found = result.save(links.links.distinct(), "links")
+        rows = filed.rows.where("n > 0").join(filed.classes.select("rep", *NAME), NAME)
+        return found, result.save(rows.select("doc_id", "rep"), "membership")
