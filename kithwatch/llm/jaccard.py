@@ -1,10 +1,12 @@
 """Similarity join of documents on the Jaccard coefficient of their word n-grams.
 
 1. Each document becomes a sorted array of distinct n-gram hashes, rare n-grams first. How rare
-   one is comes from a table of 65,536 classes of hashes counted over all documents; n-grams that
-   are frequent by themselves (a summary of the most frequent ones is kept by each task and added
-   up) come after all others, by their own counts. Any common order gives the same links; a good
-   one keeps passages that many documents share out of the tiles.
+   one is comes from the counts of its words over all documents (65,536 classes of word hashes);
+   n-grams that are frequent by themselves (a summary of the most frequent ones is kept by each
+   task and added up) come after all others, by their own counts. Any common order gives the same
+   links; a good one keeps out of the tiles what documents share by chance, and passages that
+   many of them share. There are far fewer words than n-grams, so counts of their classes tell
+   rare from common at any size of the corpus.
 2. Documents with equal sets are one class; only one of them is compared.
 3. *Size-banded tiles*: two sets that are alike enough share an n-gram among their first
    ``n - ceil(t n) + 1``. A tile is such an n-gram together with a band of sizes; a band
@@ -54,16 +56,37 @@ LANES, MOST_LANES = 16, 1024
 #: Ids that may be broadcast: a few megabytes.
 BROADCAST_IDS = 500_000
 _UP = np.uint64(48)
-_LOW = np.uint64((1 << 48) - 1)
 
 
-def _grams(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and text of every n-gram; a text with fewer words is one n-gram."""
+@dataclass
+class Rarity:
+    """Logarithm of the count of each class of words, and the frequent n-grams (sorted) with their ranks."""
+
+    words: np.ndarray
+    frequent: np.ndarray
+    ranks: np.ndarray
+
+    def of(self, words: np.ndarray, grams: np.ndarray, whole: np.ndarray, size: int) -> np.ndarray:
+        """Ranks of n-grams, which begin at the ``words`` marked as ``whole``; the rarest is lowest."""
+        each = self.words[(words >> _UP).astype(np.int64)]
+        score = sum(each[step : step + len(whole)] for step in range(size))[whole] if len(whole) else np.zeros(0)
+        # A logarithm is below 64, so a score fills 16 bits.
+        rank = (score * (CLASSES / (64 * size))).astype(np.int64)
+        if len(self.frequent):
+            at = np.minimum(np.searchsorted(self.frequent, grams), len(self.frequent) - 1)
+            hit = self.frequent[at] == grams
+            rank[hit] = CLASSES + self.ranks[at[hit]]
+        return rank
+
+
+def _grams(data: np.ndarray, offsets: np.ndarray, size: int, rarity: Rarity | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text and rank of every n-gram; a text with fewer words is one n-gram."""
     found = words(data, offsets, SPACES)
     text = found.text
     whole = chained(found.hash, size)
     same = text[: len(whole)] == text[size - 1 :] if len(whole) else np.zeros(0, bool)
     hashes, owner = whole[same], text[: len(whole)][same]
+    ranks = np.zeros(len(hashes), np.int64) if rarity is None else rarity.of(found.hash, hashes, same, size)
     count = np.diff(found.first)
     for few in range(1, size):
         rows = np.flatnonzero(count == few)
@@ -72,26 +95,8 @@ def _grams(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray
             for step in range(few):
                 short = mixed(short + found.hash[found.first[rows] + step])
             hashes, owner = np.concatenate([hashes, short]), np.concatenate([owner, rows])
-    return hashes, owner
-
-
-@dataclass
-class Rarity:
-    """Rank of each class of hashes, and the frequent hashes (sorted) with their own ranks."""
-
-    classes: np.ndarray
-    frequent: np.ndarray
-    ranks: np.ndarray
-
-    def of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether a hash is frequent, and a number that sorts it among its like."""
-        value = (self.classes[(hashes >> _UP).astype(np.int64)] << _UP) | (hashes & _LOW)
-        if not len(self.frequent):
-            return np.zeros(len(hashes), bool), value
-        at = np.minimum(np.searchsorted(self.frequent, hashes), len(self.frequent) - 1)
-        hit = self.frequent[at] == hashes
-        value[hit] = self.ranks[at[hit]]
-        return hit, value
+            ranks = np.concatenate([ranks, np.zeros(len(rows), np.int64)])
+    return hashes, owner, ranks
 
 
 @dataclass
@@ -99,7 +104,6 @@ class Sets:
     """Distinct n-grams of texts, one text after another: hashes in order, and how many each has."""
 
     hashes: np.ndarray
-    values: np.ndarray
     count: np.ndarray
 
     def names(self) -> np.ndarray:
@@ -115,17 +119,14 @@ class Sets:
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray, size: int, rarity: Rarity | None = None) -> Sets:
-    """The set of every text, sorted by rarity if there is one and else by hash."""
-    hashes, owner = _grams(data, offsets, size)
-    values, group = hashes, owner
-    if rarity is not None:
-        frequent, values = rarity.of(hashes)
-        group = owner * 2 + frequent
-    order = np.lexsort((values, group))
-    hashes, values, group, owner = hashes[order], values[order], group[order], owner[order]
-    new = np.ones(len(values), bool)
-    new[1:] = (values[1:] != values[:-1]) | (group[1:] != group[:-1])
-    return Sets(hashes[new], values[new], np.bincount(owner[new], minlength=len(offsets) - 1))
+    """The set of every text, sorted by rarity if there is one, and by hash."""
+    hashes, owner, ranks = _grams(data, offsets, size, rarity)
+    group = owner * (2 * CLASSES) + ranks
+    order = np.lexsort((hashes, group))
+    hashes, group, owner = hashes[order], group[order], owner[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (group[1:] != group[:-1])
+    return Sets(hashes[new], np.bincount(owner[new], minlength=len(offsets) - 1))
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,15 +145,16 @@ def _summed(keys: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray
 
 
 def rarity_of(documents: DataFrame, size: int, scratch: Scratch) -> Rarity:
-    """How rare classes of hashes, and hashes that are frequent by themselves, are in all documents."""
+    """How often words, and n-grams that are frequent by themselves, are in all documents."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CLASSES, np.int64)
         keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         held, waiting = [], 0
         for part in slices(batches):
-            hashes = _sets(*utf8(part["text"]), size).hashes
-            total += np.bincount((hashes >> _UP).astype(np.int64), minlength=CLASSES)
+            data, offsets = utf8(part["text"])
+            hashes = _sets(data, offsets, size).hashes
+            total += np.bincount((words(data, offsets, SPACES).hash >> _UP).astype(np.int64), minlength=CLASSES)
             held.append(hashes)
             waiting += len(hashes)
             if waiting >= GATHERED:
@@ -178,11 +180,9 @@ def rarity_of(documents: DataFrame, size: int, scratch: Scratch) -> Rarity:
     top = sums.where("single").orderBy(F.desc("n"), "key").limit(FREQUENT).collect()
     scratch.drop("rarity")
     frequent = np.array([row["key"] for row in top], np.int64).view(np.uint64)
-    ranks = np.arange(len(frequent), 0, -1).astype(np.uint64)
+    ranks = np.arange(len(frequent) - 1, -1, -1)
     order = np.argsort(frequent)
-    rank = np.zeros(CLASSES, np.uint64)
-    rank[np.argsort(classes, kind="stable")] = np.arange(CLASSES, dtype=np.uint64)
-    return Rarity(rank, frequent[order], ranks[order])
+    return Rarity(np.log2(classes + 1), frequent[order], ranks[order])
 
 
 def _bitmaps(sets: Sets) -> tuple[np.ndarray, np.ndarray]:
@@ -232,7 +232,7 @@ def gram_sets(documents: DataFrame, size: int, least: int, of: int, rarity: Rari
             nth = runs(copies)
             row = np.repeat(np.arange(rows), copies)
             step = np.maximum(ahead[row], 1)
-            tile = mixed(sets.values[first[row] + nth % step] + mixed((band[row] + nth // step).astype(np.uint64)))
+            tile = mixed(sets.hashes[first[row] + nth % step] + mixed((band[row] + nth // step).astype(np.uint64)))
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": part["doc_id"],
@@ -521,7 +521,8 @@ def jaccard_components(documents: DataFrame, size: int = 5, least: int = 80, of:
         if filed.placed:
             pairs = filed.members.select("rep", F.explode(F.array("low", "high")).alias("end"))
             links.test(pairs.select(F.least("rep", "end").alias("a"), F.greatest("rep", "end").alias("b")))
-            found = _settle(links, filed.members.select("tile", "rep"), filed.placed)
+            # Tiles of two and three have no pair but those with an end, which are compared by now.
+            found = _settle(links, filed.members.where("size > 3").select("tile", "rep"), filed.placed)
         else:
             found = links.components()
         classes = filed.classes.select(*NAME, "rep", "doc_id")

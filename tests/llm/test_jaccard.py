@@ -71,9 +71,12 @@ def test_frequent_grams_come_last_and_memory_is_bounded():
         keys, counts = jaccard._summed(np.concatenate([keys, new]), np.concatenate([counts, np.ones(len(new), np.int64)]), 20)
         assert len(keys) <= 20
     assert keys[np.argmax(counts)] == 7
-    rarity = jaccard.Rarity(np.arange(1 << 16, dtype=np.uint64), np.array([5, 9], np.uint64), np.array([2, 1], np.uint64))
-    hit, value = rarity.of(np.array([9, 5, 6], np.uint64))
-    assert hit.tolist() == [True, True, False] and value[0] < value[1]
+    grams = np.array([9, 5, 6, 4], np.uint64)
+    rarity = jaccard.Rarity(np.arange(1 << 16) / 4096, np.array([5, 9], np.uint64), np.array([1, 0]))
+    words = np.array([3 << 60, 2 << 60, 15 << 60, 1 << 60, 0], np.uint64)
+    ranks = rarity.of(words, grams, np.ones(4, bool), 2)
+    # Frequent ones last, by count; the others by what their words add up to.
+    assert np.argsort(ranks).tolist() == [3, 2, 0, 1]
 
 
 def test_stage_keeps_unlike_texts_of_one_id(spark):
