@@ -6,6 +6,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from kithwatch.graph import Graph
+from kithwatch.operators import girvan_newman
 from kithwatch.operators.communities import detect_communities, from_lists
 from kithwatch.operators.components import connected_components
 from kithwatch.operators.girvan_newman import edge_betweenness, girvan_newman_communities
@@ -125,6 +126,40 @@ def test_betweenness_in_batches(spark, rows_at_once):
     assert found == pytest.approx(brute.betweenness(nodes, pairs))
 
 
+@pytest.mark.parametrize(
+    "edges, searched",
+    [
+        # A circle of four with a leaf, a chain, and a tree on it, beside a pair and a tree.
+        ([(0, 1), (1, 2), (2, 3), (0, 3), (0, 4), (1, 5), (5, 6), (6, 7), (2, 8), (8, 9), (8, 10), (12, 13), (14, 15), (14, 16), (16, 17)], 4),
+        # Two circles held by a chain, which is part of what is searched.
+        ([(0, 1), (1, 2), (0, 2), (2, 3), (3, 4), (4, 5), (5, 6), (4, 6), (3, 7), (9, 9)], 7),
+        # A tree needs no search.
+        ([(0, i) for i in range(1, 9)] + [(8, 9), (9, 10)], 0),
+    ],
+)
+def test_betweenness_folds_trees(spark, sizes, monkeypatch, edges, searched):
+    started = []
+    search = girvan_newman._search
+
+    def watched(sources, links, scratch):
+        started.append(sources.count())
+        return search(sources, links, scratch)
+
+    monkeypatch.setattr(girvan_newman, "_search", watched)
+    nodes = list(range(18))
+    g, pairs = graph(spark, nodes, edges)
+    found = {(a, b): value for a, b, value in rows(edge_betweenness(g.nodes, g.edges))}
+    assert found == pytest.approx(brute.betweenness(nodes, pairs))
+    assert sum(started) == searched
+
+
+def test_betweenness_folds_nodes_that_are_not_listed(spark, sizes):
+    """A node that the table does not list ends paths but starts none."""
+    g, pairs = graph(spark, [0, 1, 2, 4, 5, 8], [(0, 1), (1, 2), (0, 2), (2, 3), (3, 4), (0, 5), (5, 6), (5, 7), (8, 9)])
+    found = {(a, b): value for a, b, value in rows(edge_betweenness(g.nodes, g.edges))}
+    assert found == pytest.approx(brute.betweenness([0, 1, 2, 4, 5, 8], pairs))
+
+
 def test_betweenness_of_a_chain_keeps_plans_small(spark):
     nodes = list(range(12))
     g, pairs = graph(spark, nodes, list(zip(nodes, nodes[1:], strict=False)))
