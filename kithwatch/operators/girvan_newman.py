@@ -14,7 +14,9 @@ from kithwatch.operators.skew import dense_ids, hot_keys, lookup
 BATCH_ROWS = 2_000_000_000
 
 
-def edge_betweenness(nodes: DataFrame, edges: DataFrame, batch_rows: int = BATCH_ROWS) -> DataFrame:
+def edge_betweenness(
+    nodes: DataFrame, edges: DataFrame, batch_rows: int = BATCH_ROWS, parts: DataFrame | None = None
+) -> DataFrame:
     """``(src, dst, betweenness)``: shortest paths over each edge, unweighted and exact.
 
     Brandes (2001, 2008) for many sources at once: a breadth-first search whose rows are
@@ -26,7 +28,8 @@ def edge_betweenness(nodes: DataFrame, edges: DataFrame, batch_rows: int = BATCH
     Nodes that hang on the rest by one edge are folded into their neighbour first, again and
     again: such an edge carries a path for every pair of nodes it parts, which takes no search.
     What is left is searched with each node standing for those folded into it, so that nodes and
-    edges above are those on circles and between them.
+    edges above are those on circles and between them. ``parts`` gives the components
+    ``(id, component)`` of the nodes of all edges, if the caller has them.
 
     Sources are taken in batches by a hash, so that no more than about ``batch_rows`` rows of
     distances are on disk; they are dropped when what the batch sends over the edges has been
@@ -35,7 +38,7 @@ def edge_betweenness(nodes: DataFrame, edges: DataFrame, batch_rows: int = BATCH
     """
     scratch = Scratch(edges.sparkSession, "betweenness")
     flows = scratch.add(edges.select("src", "dst", F.lit(0.0).alias("flow")), "flows")
-    ends, weights, rows = _fold(nodes, edges, scratch)
+    ends, weights, rows = _fold(nodes, edges, scratch, parts)
     fans = ends.groupBy("node").agg(F.count(F.lit(1)).alias("fan"))
     near = lookup(ends, fans.withColumnRenamed("node", "neighbor"), "neighbor", ["node"], rows=rows)
     links = scratch.save(lookup(near, weights.select("node", "ends"), "node", ["neighbor"], rows=rows), "links")
@@ -57,7 +60,9 @@ def edge_betweenness(nodes: DataFrame, edges: DataFrame, batch_rows: int = BATCH
     return scratch.table("flows").groupBy("src", "dst").agg((F.sum("flow") / 2).alias("betweenness"))
 
 
-def _fold(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
+def _fold(
+    nodes: DataFrame, edges: DataFrame, scratch: Scratch, parts: DataFrame | None
+) -> tuple[DataFrame, DataFrame, int]:
     """Links and weights of the nodes that are left when those with one link are folded away.
 
     Weights are ``(node, starts, ends)``: how many nodes of the table, and how many in all, a node
@@ -96,15 +101,16 @@ def _fold(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> tuple[DataFra
             scratch.drop(f"fold/{name}-{depth}")
         depth += 1
     if depth:
-        scratch.add(_over_folded(everyone, edges, scratch), "flows")
+        scratch.add(_over_folded(everyone, edges, scratch, parts), "flows")
     return ends, weights, rows
 
 
-def _over_folded(everyone: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+def _over_folded(everyone: DataFrame, edges: DataFrame, scratch: Scratch, parts: DataFrame | None) -> DataFrame:
     """``(src, dst, flow)``: every folded edge carries the pairs of nodes on either side of it, both ways."""
-    pairs = edges.where(F.col("src") != F.col("dst")).select("src", "dst")
-    parts = connected_components(everyone.select(F.col("node").alias("id")), pairs).withColumnRenamed("id", "node")
-    parts = scratch.save(parts, "fold/parts")
+    if parts is None:
+        pairs = edges.where(F.col("src") != F.col("dst")).select("src", "dst")
+        parts = scratch.save(connected_components(everyone.select(F.col("node").alias("id")), pairs), "fold/parts")
+    parts = parts.withColumnRenamed("id", "node")
     totals = everyone.join(parts, "node").groupBy("component")
     totals = totals.agg(F.sum("starts").alias("all_starts"), F.sum("ends").alias("all_ends"))
     placed = scratch.every("fold/tips").join(parts, "node")
@@ -212,7 +218,10 @@ def girvan_newman_communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             parts = scratch.save(parts.where(~held).unionByName(split), "placed")
             break
         with Scratch(edges.sparkSession, "again"):
-            again = edge_betweenness(members, rest).withColumn("component", F.lit(top.component))
+            # All that is linked here is one component, nodes that the table does not list included.
+            linked = members.unionByName(rest.select(F.explode(F.array("src", "dst")).alias("id"))).distinct()
+            whole = linked.withColumn("component", F.lit(top.component))
+            again = edge_betweenness(members, rest, parts=whole).withColumn("component", F.lit(top.component))
             scores = scratch.save(scores.where(~held).unionByName(again), f"scores-{removed}")
         for name in ("rest", "split"):
             scratch.drop(f"{name}-{removed}")
