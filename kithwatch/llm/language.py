@@ -34,8 +34,8 @@ UNKNOWN = "und"
 DIMENSIONS = 1024
 #: Rows of each language, at most about so many, that the prototypes are learned from.
 LEARNED_ROWS = 20_000
-#: Rows of each language, at most about so many, that the bounds are calibrated on, and parts they are held out by.
-CALIBRATED_ROWS, FOLDS = 5_000, 4
+#: Parts that labelled rows are held out by when the bounds are calibrated.
+FOLDS = 4
 #: Kept is what scores above this share of the score that all but one in RARE labelled rows reach.
 MARGIN, RARE = 0.5, 100
 #: Fewer labelled rows of a length than this are joined by the next shorter ones, of a language by other rare ones.
@@ -140,9 +140,11 @@ class Profiles:
         return out / np.where(norms == 0, 1, norms), seen
 
 
-def _drawn(labelled: DataFrame, rows: int) -> DataFrame:
-    """``(text, lang)``, of languages with more than ``rows`` rows about so many, chosen by a hash of the text."""
+def _drawn(labelled: DataFrame, rows: int | None) -> DataFrame:
+    """``(text, lang)``, of languages with more than ``rows`` rows about so many, chosen by a hash of the text; without ``rows`` all."""
     given = labelled.select("text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    if rows is None:
+        return given
     sizes = given.groupBy("lang").count()
     share = F.least(F.lit(1.0), F.lit(float(rows)) / F.col("count"))
     drawn = F.pmod(F.xxhash64(F.lit(_SEED), "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -153,7 +155,7 @@ def _fold(folds: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(_SEED + 1), "text"), F.lit(folds)).cast("int")
 
 
-def _sums(labelled: DataFrame, dimensions: int, rows: int, folds: int) -> dict[tuple[int, str], np.ndarray]:
+def _sums(labelled: DataFrame, dimensions: int, rows: int | None, folds: int) -> dict[tuple[int, str], np.ndarray]:
     """The sum of the vectors of each fold and language."""
     chosen = _drawn(labelled, rows).withColumn("fold", _fold(folds))
 
@@ -278,11 +280,11 @@ def calibrated_bounds(counts: dict[tuple[int, str], dict[int, int]]) -> list[flo
 def in_known_language(documents: DataFrame, labelled: DataFrame, keep: list[str]) -> DataFrame:
     """The ``keep`` columns of the rows in one of the languages of ``(text, lang)`` rows.
 
-    What comes to the driver are a vector for each language and fold, and counts of scores for
-    each language and length. Where labelled rows are too few to say how texts so short score,
+    Prototypes and bounds come from all labelled rows. What comes to the driver are a vector for each
+    language and fold, and counts of scores for each language and length. Where labelled rows are too few to say how texts so short score,
     all but those like no language (score 0) stay.
     """
-    sums = _sums(labelled, DIMENSIONS, LEARNED_ROWS, FOLDS)
+    sums = _sums(labelled, DIMENSIONS, None, FOLDS)
 
     def without(left_out: int | None) -> dict[str, list[float]]:
         total: dict[str, np.ndarray] = {}
@@ -291,7 +293,7 @@ def in_known_language(documents: DataFrame, labelled: DataFrame, keep: list[str]
                 total[name] = total.get(name, 0) + vector
         return {name: vector.tolist() for name, vector in total.items()}
 
-    chosen = _drawn(labelled, CALIBRATED_ROWS)
+    chosen = _drawn(labelled, None)
     scored = [identify_language(chosen.where(_fold(FOLDS) == fold), without(fold), ["lang"], True) for fold in range(FOLDS)]
     binned = reduce(DataFrame.unionAll, scored).where(F.col("lang_pred") != UNKNOWN)
     binned = binned.groupBy(_length(F.col("n_different")).alias("length"), "lang", F.floor(F.col("score") * _BINS).cast("int").alias("bin")).count()
