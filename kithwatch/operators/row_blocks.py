@@ -35,8 +35,8 @@ def feature_vectors(nodes: DataFrame, attributes=None, widths=None) -> tuple[Dat
     return nodes.select(F.col("id").alias("node"), F.array(*parts).alias("vector")), features
 
 
-def _shape(vectors: DataFrame, width: int) -> tuple[int, int, list[float]]:
-    """Number of rows, position of the widest feature, and the mean of every feature."""
+def _shape(vectors: DataFrame, width: int) -> tuple[int, list[int], list[float]]:
+    """Number of rows, positions of the features from the widest on, and the mean of every feature."""
     row = (
         vectors.select(F.posexplode("vector").alias("at", "x"))
         .groupBy("at")
@@ -46,8 +46,8 @@ def _shape(vectors: DataFrame, width: int) -> tuple[int, int, list[float]]:
     )
     # One row per feature, so this is as small as the schema of the nodes.
     if not row:
-        return 0, 0, [0.0] * width
-    widest = max(range(width), key=lambda r: row[r]["range"])
+        return 0, [0], [0.0] * width
+    widest = sorted(range(width), key=lambda r: -row[r]["range"])
     return row[0]["n"], widest, [r["mean"] for r in row]
 
 
@@ -56,9 +56,12 @@ def block_pairs(
 ) -> DataFrame:
     """All pairs of blocks ``(same, left, right, left_nodes, right_nodes)``, each pair once.
 
-    Blocks follow the widest feature, so with a ``radius`` only pairs of blocks that come
-    that close in it are made; without one, all are. ``centred`` shifts every feature to a
-    mean of 0, which leaves differences as they are.
+    Blocks follow the widest feature and, inside a slab of it, the next one. With a ``radius``
+    only pairs of blocks are made whose bounds in all features come that close; without one, all
+    are. ``centred`` shifts every feature to a mean of 0, which leaves differences as they are.
+
+    Which block of a pair is the left one alternates, so that every block is looked up about as
+    often, and the number of tasks does not depend on how few bytes the pairs have.
     """
     count, widest, means = _shape(vectors, width)
     tasks = vectors.sparkSession.sparkContext.defaultParallelism
@@ -67,18 +70,23 @@ def block_pairs(
     keyed = vectors.select(
         "node",
         F.zip_with("vector", shift, lambda x, m: x - m).alias("vector"),
-        F.get("vector", F.lit(widest)).alias("key"),
+        F.get("vector", F.lit(widest[0])).alias("key"),
+        F.get("vector", F.lit(widest[-1] if radius is None else widest[min(1, width - 1)])).alias("next"),
     )
     # Ordered by node within equal keys, so that a frequent value can be cut as well.
     ranged = keyed.repartitionByRange("key", "node").withColumn("chunk", F.spark_partition_id())
     ranged = scratch.save(ranged, "ranged")
-    place = F.row_number().over(Window.partitionBy("chunk").orderBy("key", "node")) - 1
+    inside = ["key", "node"] if radius is None else ["next", "key", "node"]
+    place = F.row_number().over(Window.partitionBy("chunk").orderBy(*inside)) - 1
+    bound = lambda of: F.array(*(of(F.get("vector", F.lit(r))) for r in range(width)))
     blocks = (
         ranged.withColumn("part", F.floor(place / rows))
         .groupBy("chunk", "part")
         .agg(
             F.min("key").alias("low"),
             F.max("key").alias("high"),
+            bound(F.min).alias("least"),
+            bound(F.max).alias("most"),
             F.collect_list(F.struct("node", "vector")).alias("members"),
         )
         .withColumn("matrix", F.flatten("members.vector"))
@@ -87,13 +95,15 @@ def block_pairs(
         .drop("members")
     )
     blocks = scratch.save(blocks, "blocks")
-    bounds = blocks.select("chunk", "part", "low", "high", "one")
+    bounds = blocks.select("chunk", "part", "least", "most", "one")
+    slabs = blocks.groupBy("chunk").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    bounds = bounds.join(slabs, "chunk")
     numbered = running_total(bounds, [], ["chunk", "part"], "one", "upto", "all", scratch, "numbered")
     numbered = scratch.save(numbered.withColumn("block", F.col("upto") - 1), "numbers")
     if radius is None:
         reach = numbered.select("block", (F.col("all") - 1).alias("last"))
     else:
-        # How many blocks begin before the end of this one's reach.
+        # How many blocks lie in slabs that begin before the end of this one's reach.
         marks = numbered.select(
             "block",
             F.explode(
@@ -108,15 +118,38 @@ def block_pairs(
     known = blocks.join(numbered.select("chunk", "part", "block"), ["chunk", "part"]).select("block", "matrix", "nodes")
     known = scratch.save(known, "known")
     pairs = reach.select("block", F.explode(F.sequence("block", "last")).alias("other"))
+    if radius is not None:
+        pairs = _within(pairs, numbered, radius)
+    turned = (F.col("block") + F.col("other")) % 2 == 1
+    pairs = pairs.select(
+        F.when(turned, F.col("other")).otherwise(F.col("block")).alias("block"),
+        F.when(turned, F.col("block")).otherwise(F.col("other")).alias("other"),
+    )
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left = known.select("block", F.col("matrix").alias("left"), F.col("nodes").alias("left_nodes"))
     right = known.select(F.col("block").alias("other"), F.col("matrix").alias("right"), F.col("nodes").alias("right_nodes"))
     return (
         pairs.join(left, "block")
-        .join(right, "other")
+        .repartition(tasks, "other")
+        .join(right.repartition(tasks, "other"), "other")
         .select((F.col("block") == F.col("other")).alias("same"), "left", "right", "left_nodes", "right_nodes")
     )
 
 
+def _within(pairs: DataFrame, bounds: DataFrame, radius: float) -> DataFrame:
+    """The pairs of blocks whose bounds leave a distance of at most ``radius``; unknown distances stay."""
+    one = bounds.select("block", F.col("least").alias("least_a"), F.col("most").alias("most_a"))
+    two = bounds.select(F.col("block").alias("other"), F.col("least").alias("least_b"), F.col("most").alias("most_b"))
+    apart = F.zip_with(
+        F.zip_with("least_b", "most_a", lambda low, high: low - high),
+        F.zip_with("least_a", "most_b", lambda low, high: low - high),
+        lambda a, b: F.greatest(a, b, F.lit(0.0)),
+    )
+    square = F.aggregate(apart, F.lit(0.0), lambda total, x: total + x * x)
+    near = (square <= radius * radius) | F.isnan(square)
+    return pairs.join(one, "block").join(two, "other").where(near).select("block", "other")
+
+
 def matrices(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
     """The two matrices of every block pair of a batch, and whether they are the same block."""
     same, left, right = batch.column("same"), batch.column("left"), batch.column("right")

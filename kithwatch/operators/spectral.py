@@ -29,6 +29,55 @@ CONSTANT = 1e-12
 _SUMS = "cut array<double>, square array<double>, linear array<double>, mass double"
 
 
+# Products of rows may stand for differences where they move an exponent by less than this.
+EXPONENT_ERROR = 1e-11
+# Pairs closer than this part of the largest square are summed difference by difference.
+CLOSE = 1e-4
+
+
+def _by_differences(left: np.ndarray, right: np.ndarray, gamma: float) -> tuple[np.ndarray, np.ndarray]:
+    width = left.shape[1]
+    distance = np.zeros((len(left), len(right)))
+    for r in range(width):
+        distance += np.square(left[:, r, None] - right[None, :, r])
+    weight = np.exp(-gamma * distance)
+    return weight, np.array([np.sum(weight * np.square(left[:, r, None] - right[None, :, r])) for r in range(width)])
+
+
+def _weights_and_cut(left: np.ndarray, right: np.ndarray, gamma: float) -> tuple[np.ndarray, np.ndarray]:
+    """Similarities of the rows of two blocks, and for each feature the weighted sum of squared differences.
+
+    Distances and sums come from products of the matrices, the origin lying amid the rows. Where rows are
+    so far out that products would lose digits, all differences are taken; so are, in the sums, those of
+    rows that nearly agree.
+    """
+    origin = left.mean(axis=0)
+    x, y = left - origin, right - origin
+    xx, yy = np.square(x), np.square(y)
+    a, b = xx.sum(axis=1), yy.sum(axis=1)
+    largest = max(a.max(), b.max())
+    if not gamma * largest * 16 * np.finfo(float).eps <= EXPONENT_ERROR:
+        return _by_differences(left, right, gamma)
+    distance = x @ y.T
+    distance *= -2
+    distance += a[:, None]
+    distance += b[None, :]
+    np.maximum(distance, 0, out=distance)
+    close = distance <= CLOSE * largest
+    if close.sum() * 256 > close.size:
+        return _by_differences(left, right, gamma)
+    i, j = np.nonzero(close)
+    difference = np.square(x[i] - y[j])
+    distance[i, j] = difference.sum(axis=1)
+    weight = np.exp(-gamma * distance)
+    alike = weight[i, j]
+    # The rest is far enough apart for its products to keep their digits.
+    weight[i, j] = 0.0
+    cut = weight.sum(axis=1) @ xx + weight.sum(axis=0) @ yy - 2 * np.sum(x * (weight @ y), axis=0)
+    weight[i, j] = alike
+    return weight, cut + alike @ difference
+
+
 def _pair_sums(gamma: float, width: int):
     """Sums over the pairs of two blocks, one row per batch of block pairs."""
 
@@ -36,14 +85,10 @@ def _pair_sums(gamma: float, width: int):
         cut, square, linear, mass = np.zeros(width), np.zeros(width), np.zeros(width), 0.0
         for batch in batches:
             for left, right, same in matrices(batch, width):
-                distance = np.zeros((len(left), len(right)))
-                for r in range(width):
-                    distance += np.square(left[:, r, None] - right[None, :, r])
-                weight = np.exp(-gamma * distance)
+                weight, differences = _weights_and_cut(left, right, gamma)
                 # A pair of different blocks stands for both orders of its nodes.
                 orders = 1.0 if same else 2.0
-                for r in range(width):
-                    cut[r] += orders * np.sum(weight * np.square(left[:, r, None] - right[None, :, r])) / 2
+                cut += orders * differences / 2
                 rows, columns = weight.sum(axis=1), weight.sum(axis=0)
                 square += rows @ np.square(left)
                 linear += rows @ left
