@@ -35,9 +35,14 @@ def _closest(k: int, width: int, node_type: pa.DataType):
     def best(similarity: np.ndarray, own: pa.Array, other: pa.Array) -> pa.RecordBatch:
         by_node = pc.sort_indices(other).to_numpy()
         similarity = np.round(similarity[:, by_node], DIGITS)
-        chosen = np.argsort(-similarity, axis=1, kind="stable")[:, :k]
-        rows, places = np.nonzero(np.take_along_axis(similarity, chosen, axis=1) > -np.inf)
-        places = chosen[rows, places]
+        similarity[np.isnan(similarity)] = -np.inf
+        # All that reach the k-th best similarity; of those equal to it the first nodes fill up to k.
+        last = similarity.shape[1] - min(k, similarity.shape[1])
+        bound = np.partition(similarity, last, axis=1)[:, last, None]
+        above = similarity > bound
+        equal = (similarity == bound) & (similarity > -np.inf)
+        equal &= np.cumsum(equal, axis=1, dtype=np.int32) <= k - above.sum(axis=1)[:, None]
+        rows, places = np.nonzero(above | equal)
         columns = by_node[places]
         return pa.RecordBatch.from_arrays(
             [own.take(pa.array(rows)), other.take(pa.array(columns)), pa.array(similarity[rows, places])],
