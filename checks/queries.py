@@ -63,7 +63,8 @@ def address_user_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _user_payments(spark: SparkSession, sf_dir: str, kept=None, users: DataFrame | None = None) -> DataFrame:
     if users is None:
-        users = address_user_map(spark, sf_dir)
+        # Senders and receivers are both looked up in it.
+        users = Scratch(spark, "users").save(address_user_map(spark, sf_dir), "users")
     return with_users(t.order_payments(spark, sf_dir, kept), users)
 
 

@@ -84,8 +84,6 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "lineitem")
         .groupBy(F.col("l_orderkey").alias("tx"), *LINE_ORDER, (F.col("l_returnflag") == "R").alias("is_output"))
         .agg(F.count(F.lit(1)).alias("count"))
-        .withColumn("address", F.concat_ws("-", "l_partkey", "l_suppkey"))
-        .withColumn("value", F.col("l_extendedprice").cast("decimal(18,2)") * F.col("count"))
     )
 
 
@@ -96,6 +94,10 @@ def inputs_and_outputs(spark: SparkSession, sf_dir: str, closed: str, kept=None)
         chosen = chosen.where(kept)
     # Copies of a line follow each other and would only link an address to itself.
     lines = lookup(_lines(spark, sf_dir), chosen.select("tx"), "tx", LINE_ORDER, rows=_size(spark, sf_dir))
+    # Written, so that inputs and outputs do not group and look up all lines each time they are read.
+    lines = Scratch(spark, "lines").save(lines.select("tx", *LINE_ORDER, "is_output", "count"), "lines")
+    lines = lines.withColumn("address", F.concat_ws("-", "l_partkey", "l_suppkey"))
+    lines = lines.withColumn("value", F.col("l_extendedprice").cast("decimal(18,2)") * F.col("count"))
     inputs = lines.where(~F.col("is_output")).select("tx", *LINE_ORDER, "address")
     return inputs, lines.where("is_output").select("tx", "address", "value", "count")
 

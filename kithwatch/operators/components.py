@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from kithwatch.graph import both_directions
 from kithwatch.operators.scratch import Scratch
-from kithwatch.operators.skew import dense_ids, lookup
+from kithwatch.operators.skew import dense_ids, lookup, stored_if_large
 
 
 def _large_star(edges: DataFrame, rows: int) -> DataFrame:
@@ -52,8 +52,12 @@ def _numbered_edges(edges: DataFrame, numbers: DataFrame, scratch: Scratch) -> t
     start = numbers.select(F.col("id").alias("src"), F.col("number").alias("a"))
     end = numbers.select(F.col("id").alias("dst"), F.col("number").alias("b"))
     rows = plain.count()
-    numbered = lookup(lookup(plain, start, "src", ["dst"], rows=rows), end, "dst", ["src"], rows=rows)
-    return _stored(numbered.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")), scratch, "round-0")
+    half = lookup(plain, start, "src", ["dst"], rows=rows).select("a", "dst")
+    half = stored_if_large(half, rows, scratch, "half")
+    numbered = lookup(half, end, "dst", ["a"], rows=rows)
+    stored = _stored(numbered.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")), scratch, "round-0")
+    scratch.drop("half")
+    return stored
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -72,7 +76,9 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
             raise RuntimeError(f"components not settled after {max_rounds} rounds")
         # A small star has at most two rows for each row of the large star.
         rows = before[0]
-        current, after = _stored(_small_star(_large_star(current, rows), rows), scratch, f"round-{done}")
+        large = stored_if_large(_large_star(current, rows), rows, scratch, "large")
+        current, after = _stored(_small_star(large, rows), scratch, f"round-{done}")
+        scratch.drop("large")
         scratch.drop(f"round-{done - 1}")
         if after == before:
             break

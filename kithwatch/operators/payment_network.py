@@ -11,7 +11,7 @@ from kithwatch.functions.expressions import Moment, high_end, is_usable, low_end
 from kithwatch.graph import Graph
 from kithwatch.operators.address_network import eligible
 from kithwatch.operators.scratch import Scratch
-from kithwatch.operators.skew import lookup
+from kithwatch.operators.skew import lookup, stored_if_large
 
 
 class MissingAddressError(KeyError):
@@ -79,6 +79,7 @@ def with_users(payments: DataFrame, address_user: DataFrame, on_missing: str = "
     senders = address_user.select(F.col("address").alias("sender"), F.col("user_id").alias("from_user"))
     receivers = address_user.select(F.col("address").alias("receiver"), F.col("user_id").alias("to_user"))
     known = lookup(sent, senders, "sender", ["receiver"], how="left", rows=rows)
+    known = stored_if_large(known, rows, scratch, "known")
     # Payments to nobody are kept apart: their null would be one hot key.
     reached = lookup(known.where(F.col("receiver").isNotNull()), receivers, "receiver", ["sender"], how="left", rows=rows)
     placed = reached.unionByName(known.where(F.col("receiver").isNull()), allowMissingColumns=True)
@@ -92,6 +93,7 @@ def with_users(payments: DataFrame, address_user: DataFrame, on_missing: str = "
         scratch.drop()
         raise MissingAddressError(f"no user for address {found[0]!r}")
     scratch.drop("sent")
+    scratch.drop("known")
     return stored.select("from_user", "to_user", "value", "count")
 
 

@@ -17,6 +17,8 @@ from kithwatch.operators.scratch import Scratch
 
 HOT_ROWS = 1_000_000
 WINDOW_ROWS = 1_000_000
+#: Buckets that keys are counted in first.
+BUCKETS = 1 << 14
 
 
 def hot_rows(spark: SparkSession) -> int:
@@ -32,11 +34,17 @@ def hot_keys(facts: DataFrame, keys: Sequence[str], weight: Column | None = None
 
     There are at most ``rows / hotRows`` of them and as many pieces, whatever the data, so
     the table may be broadcast. ``weight`` gives the rows a line of ``facts`` stands for.
+
+    Rows are counted in buckets first, a few numbers a task; only keys of buckets beyond the limit,
+    of which there are as few, are counted one by one.
     """
     limit = hot_rows(facts.sparkSession)
     rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    bucketed = facts.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int"))
+    crowded = bucketed.groupBy("_bucket").agg(rows.alias("_rows")).where(F.col("_rows") > limit).select("_bucket")
     return (
-        facts.groupBy(*keys)
+        bucketed.join(F.broadcast(crowded), "_bucket", "left_semi")
+        .groupBy(*keys)
         .agg(rows.alias("_rows"))
         .where(F.col("_rows") > limit)
         .select(*keys, F.ceil(F.col("_rows") / limit).cast("int").alias("_pieces"))
@@ -81,6 +89,11 @@ def lookup(
     return spread.join(copies, [*keys, "_piece"], how).drop("_piece")
 
 
+def stored_if_large(table: DataFrame, rows: int, scratch: Scratch, name: str) -> DataFrame:
+    """The table, written where :func:`lookup` would search it for hot keys and so work it out again."""
+    return scratch.save(table, name) if rows > hot_rows(table.sparkSession) else table
+
+
 def largest_group(table: DataFrame, group: Sequence[str]) -> int:
     return table.groupBy(*group).count().agg(F.max("count").alias("n")).first().n or 0
 
