@@ -194,6 +194,19 @@ def test_girvan_newman_of_several_removals(spark, crossing=5):
     assert rows(girvan_newman_communities(g.nodes, g.edges)) == [(n, names[wanted[n]]) for n in nodes]
 
 
+def test_girvan_newman_searches_components_once(spark, monkeypatch):
+    """A square with a leaf: components at the start, for its folded edge, and after either removal."""
+    made = []
+    search = girvan_newman.connected_components
+    monkeypatch.setattr(girvan_newman, "connected_components", lambda *given: made.append(1) or search(*given))
+    edges = [(0, 1), (1, 2), (2, 3), (0, 3), (0, 4)]
+    g, pairs = graph(spark, list(range(5)), edges)
+    wanted, removed = split_by_hand(list(range(5)), pairs)
+    names = {name: i for i, name in enumerate(sorted(set(wanted.values())))}
+    assert rows(girvan_newman_communities(g.nodes, g.edges)) == [(n, names[wanted[n]]) for n in range(5)]
+    assert len(made) == 2 + removed
+
+
 def test_girvan_newman_of_a_random_graph(spark, seed=11):
     nodes = list(range(16))
     g, pairs = graph(spark, nodes, [*random_edges(9, 13, seed), (10, 11), (11, 12), (10, 12), (12, 13), (13, 14)])

@@ -137,6 +137,41 @@ def test_block_pairs_by_radius(spark, monkeypatch):
     assert pairs.count() < blocks * (blocks + 1) // 2
 
 
+def test_block_pairs_by_the_bounds_of_two_features(spark, monkeypatch):
+    monkeypatch.setattr(row_blocks, "LEAST_BLOCK_ROWS", 4)
+    from kithwatch.operators.scratch import Scratch
+
+    # All agree in the widest feature but for a few, so that only the other tells blocks apart.
+    values = [[float(i % 2), i / 64] for i in range(64)] + [[40.0, 0.0], [-40.0, 1.0]]
+    vectors, _ = row_blocks.feature_vectors(nodes_of(spark, [[a, 30 * b] for a, b in values]))
+    pairs = row_blocks.block_pairs(vectors, 2, Scratch(spark, "test"), radius=3.0)
+    assert pairs.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    made = pairs.select("left_nodes", "right_nodes").collect()
+    met = {tuple(sorted((a, b))) for left, right in made for a in left for b in right}
+    point = [(a, 30 * b) for a, b in values]
+    near = {(a, b) for a in range(66) for b in range(a, 66) if np.hypot(*np.subtract(point[a], point[b])) <= 3}
+    assert met >= near
+    blocks = pairs.where("same").count()
+    assert len(made) < blocks * (blocks + 1) // 3
+
+
+@pytest.mark.parametrize("scale, width", [(1.0, 40), (0.01, 5), (30.0, 2), (1e8, 2)])
+def test_spec_sums_by_products(scale, width):
+    """Also with exact and near copies beside rows that are far apart."""
+    from kithwatch.operators import spectral
+
+    rng = np.random.default_rng(3)
+    left, right = rng.normal(size=(300, width)) * scale + 5, rng.normal(size=(290, width)) * scale + 5
+    right[:2] = left[:2]
+    right[2] = left[2] * (1 + 1e-9)
+    for one, other in ((left, right), (left, left)):
+        square = np.square(one[:, None, :] - other[None, :, :])
+        weight, cut = spectral._weights_and_cut(one, other, 0.5)
+        wanted = np.exp(-0.5 * square.sum(axis=2))
+        assert weight == pytest.approx(wanted, rel=1e-9)
+        assert cut == pytest.approx((wanted[:, :, None] * square).sum(axis=(0, 1)), rel=1e-9)
+
+
 @pytest.mark.parametrize("kind", ["long", "string"])
 def test_nearest(spark, sizes, monkeypatch, kind):
     monkeypatch.setattr(row_blocks, "LEAST_BLOCK_ROWS", 4)

@@ -10,6 +10,7 @@ import brute
 import numpy as np
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from kithwatch.operators import neighbors, row_blocks, skew
 from kithwatch.operators.features import feature_table
@@ -172,3 +173,34 @@ def test_tasks_find_the_package_from_any_folder(tmp_path):
     clean = {name: value for name, value in os.environ.items() if name not in ("PYTHONPATH", "SPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
     ran = subprocess.run([sys.executable, "run.py"], cwd=tmp_path, env=clean, capture_output=True, text=True, timeout=300)
     assert "scores 2" in ran.stdout, ran.stderr[-2000:]
+
+
+def test_hot_keys_by_buckets(spark, monkeypatch):
+    """Keys share buckets, some of which are crowded without a hot key."""
+    monkeypatch.setattr(skew, "BUCKETS", 2)
+    spark.conf.set("spark.kithwatch.hotRows", "3")
+    try:
+        facts = spark.createDataFrame([(k, 1 + k % 2) for k in (1, 1, 1, 1, 2, 2, 3, 4, 5, 5, 5)] + [(None, 9)], "k long, n long")
+        assert dict(rows(skew.hot_keys(facts.where("k is not null"), ["k"]))) == {1: 2}
+        assert dict(rows(skew.hot_keys(facts.where("k is not null"), ["k"], F.col("n")))) == {1: 3, 5: 2}
+        assert [r._pieces for r in skew.hot_keys(facts, ["k"], F.col("n")).where("k is null").collect()] == [3]
+    finally:
+        spark.conf.unset("spark.kithwatch.hotRows")
+
+
+def test_lines_of_orders_are_written_once(spark, tmp_path):
+    from checks import tables
+
+    orders = [(1, "F", "1-URGENT"), (2, "P", "1-URGENT"), (3, "F", "5-LOW"), (4, "O", "2-HIGH"), (4, "O", "2-HIGH")]
+    day = F.to_timestamp(F.lit("1997-01-01"))
+    spark.createDataFrame(orders, "o_orderkey long, o_orderstatus string, o_orderpriority string").withColumn(
+        "o_orderdate", day
+    ).write.parquet(str(tmp_path / "orders.parquet"))
+    lines = [(k, 10 + k, 5, n, "R" if n > 1 else "N", 2.5) for k in (1, 2, 3, 4) for n in (1, 2, 2)]
+    spark.createDataFrame(
+        lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string, l_extendedprice double"
+    ).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spent, paid = tables.inputs_and_outputs(spark, str(tmp_path), "both")
+    assert rows(spent, "tx", "address") == [(1, "11-5"), (4, "14-5"), (4, "14-5")]
+    assert [(t, a, float(v), n) for t, a, v, n in rows(paid)] == [(1, "11-5", 5.0, 2), (4, "14-5", 5.0, 2), (4, "14-5", 5.0, 2)]
+    assert not any("lineitem" in file or "orders" in file for table in (spent, paid) for file in table.inputFiles())
