@@ -21,8 +21,8 @@
 A tile of n documents is not turned into its n^2 pairs. First everyone is compared with the
 smallest and the largest row of the tile; components are drawn from the links found. Then
 tiles that hold several components are compared in blocks, bitmap by bitmap, and only pairs
-of different components that the bound allows become rows; more rounds of single partners come first where there
-are many to compare. A link between two components is thus never missed, one inside a
+of different components that the bound allows become rows; small tiles at once, larger ones after more rounds of
+single partners where there are many to compare. A link between two components is thus never missed, one inside a
 component need not be found. :func:`jaccard_links` finds all of them.
 
 Defined results: null texts and texts without words have the empty set and link to nothing;
@@ -208,6 +208,13 @@ def _folded(bits: pa.ListArray, lanes: int) -> np.ndarray:
     return out
 
 
+def _few_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows at most 1,024 at a time: with the widest bitmaps on both sides 16 MB."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, BLOCK):
+            yield batch.slice(first, BLOCK)
+
+
 def _may_link(differing: np.ndarray, one: np.ndarray, other: np.ndarray, least: int, of: int) -> np.ndarray:
     """Whether sets of these sizes, with as many differing bits, can be a link."""
     both = one + other
@@ -318,9 +325,7 @@ class _Links:
         two = self.traits.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
 
         def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            for batch in _few_rows(batches):
                 narrow = np.minimum(*(pc.list_value_length(batch[name]).to_numpy(zero_copy_only=False) for name in ("xa", "xb")))
                 for lanes in np.unique(narrow).tolist():
                     part = batch.filter(pa.array(narrow == lanes))
@@ -404,6 +409,8 @@ class _Links:
 
 #: Comparisons for each row of the tiles beyond which another round of single partners comes first.
 PATIENCE = 4
+#: Members up to which a tile is compared whole at once: fewer than half as many comparisons a row.
+WHOLE = 64
 #: Members of a tile that one task compares with as many others.
 BLOCK = 1024
 #: Words of 64 bits that are compared at a time.
@@ -477,23 +484,43 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
+def _open(links: _Links, members: DataFrame, found: DataFrame | None, name: str) -> DataFrame:
+    """``(tile, size, rep, component)`` of the tiles that hold several components."""
+    placed = members if found is None else members.join(found, "rep", "left")
+    label = F.col("rep") if found is None else F.coalesce("component", "rep")
+    # Written, so that rows are given their component once.
+    placed = links.scratch.save(placed.select("tile", "size", "rep", label.alias("component")), f"{name}-placed")
+    several = placed.groupBy("tile").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one != other")
+    opened = links.scratch.save(placed.join(several.select("tile"), "tile", "left_semi"), name)
+    links.scratch.drop(f"{name}-placed")
+    return opened
+
+
+def _partners(placed: DataFrame, turn: int) -> DataFrame:
+    """Each row with one other of its tile, drawn by a hash."""
+    chosen = placed.groupBy("tile").agg(F.min_by("rep", F.xxhash64("rep", F.lit(turn))).alias("partner"))
+    single = placed.join(chosen, "tile")
+    return single.select(F.least("rep", "partner").alias("a"), F.greatest("rep", "partner").alias("b"))
+
+
 def _settle(links: _Links, members: DataFrame, rows: int) -> DataFrame | None:
-    """Compare everything in the tiles that is not in one component yet."""
+    """Compare everything in the tiles that is not in one component yet.
+
+    Small tiles are compared whole at once, and are done with: most of them hold sets that meet by
+    chance, which no round would bring together. Rounds are for the others, and each reads
+    only the tiles that the one before left open.
+    """
+    # A tile of three has no pair that has not been compared with one of its ends.
+    left = _open(links, members.where("size > 3"), links.components(), "open-0")
+    small = _tile_pairs(left.where(F.col("size") <= WHOLE), links.traits, links.least, links.of)
+    left = left.where(F.col("size") > WHOLE)
+    links.test(small.union(_partners(left, 0)))
     before, turn = None, 0
     while True:
         found = links.components()
         turn += 1
-        placed = members if found is None else members.join(found, "rep", "left")
-        label = F.col("rep") if found is None else F.coalesce("component", "rep")
-        placed = placed.select("tile", "rep", label.alias("component"))
-        # A tile of three has no pair that has not been compared with one of its ends.
-        open_tiles = (
-            placed.groupBy("tile")
-            .agg(F.min("component").alias("one"), F.max("component").alias("other"), F.count(F.lit(1)).alias("size"))
-            .where("one != other and size > 3")
-            .select("tile", "size")
-        )
-        placed = links.scratch.save(placed.join(open_tiles, "tile"), "open")
+        placed = _open(links, left.select("tile", "size", "rep"), found, f"open-{turn}")
+        links.scratch.drop(f"open-{turn - 1}")
         groups = placed.groupBy("tile", "component", "size").agg(F.count(F.lit(1)).alias("n"))
         # Pairs of members in different components.
         work = groups.agg(F.sum(F.col("n") * (F.col("size") - F.col("n"))).alias("pairs")).first()["pairs"] or 0
@@ -502,10 +529,8 @@ def _settle(links: _Links, members: DataFrame, rows: int) -> DataFrame | None:
         if work <= PATIENCE * rows or (before is not None and work > 0.8 * before):
             links.test(_tile_pairs(placed, links.traits, links.least, links.of))
             return links.components()
-        before = work
-        chosen = placed.groupBy("tile").agg(F.min_by("rep", F.xxhash64("rep", F.lit(turn))).alias("partner"))
-        single = placed.join(chosen, "tile")
-        links.test(single.select(F.least("rep", "partner").alias("a"), F.greatest("rep", "partner").alias("b")))
+        before, left = work, placed
+        links.test(_partners(placed, turn))
 
 
 def jaccard_components(documents: DataFrame, size: int = 5, least: int = 80, of: int = 100) -> DataFrame:
@@ -521,8 +546,7 @@ def jaccard_components(documents: DataFrame, size: int = 5, least: int = 80, of:
         if filed.placed:
             pairs = filed.members.select("rep", F.explode(F.array("low", "high")).alias("end"))
             links.test(pairs.select(F.least("rep", "end").alias("a"), F.greatest("rep", "end").alias("b")))
-            # Tiles of two and three have no pair but those with an end, which are compared by now.
-            found = _settle(links, filed.members.where("size > 3").select("tile", "rep"), filed.placed)
+            found = _settle(links, filed.members.select("tile", "size", "rep"), filed.placed)
         else:
             found = links.components()
         classes = filed.classes.select(*NAME, "rep", "doc_id")

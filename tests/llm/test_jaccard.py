@@ -85,3 +85,20 @@ def test_stage_keeps_unlike_texts_of_one_id(spark):
     docs = spark.createDataFrame([(key, text, "en", "s", None) for key, text in rows], "doc_id long, text string, lang string, source string, n_chars long")
     kept = rows_of(dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, ""), "doc_id", "text")
     assert sorted(kept, key=str) == sorted([rows[0], rows[2], rows[3], rows[5]], key=str)
+
+
+def test_small_tiles_of_unlike_sets_are_compared_once_and_for_all(spark, monkeypatch):
+    # Every passage is in several texts, and no two texts are alike but the last two.
+    passages = [" ".join(f"p{k}w{i}" for i in range(20)) for k in range(9)]
+    texts = [" ".join(pair) for pair in itertools.combinations(passages, 2)]
+    texts += [" ".join(passages[:5]), " ".join(passages[:5]) + " more"]
+    rows, tests, test = list(enumerate(texts)), [], jaccard._Links.test
+    monkeypatch.setattr(jaccard._Links, "test", lambda links, pairs: (tests.append(1), test(links, pairs)))
+    table = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = rows_of(jaccard.jaccard_components(table, 3, 90, 100), "doc_id", "n_shingles", "component_id")
+    assert {key: (n, name) for key, n, name in found} == components(rows, 3, 90, 100)
+    assert len(tests) == 2
+    # Tiles beyond the limit go through rounds and give the same.
+    monkeypatch.setattr(jaccard, "WHOLE", 3)
+    again = rows_of(jaccard.jaccard_components(table, 3, 90, 100), "doc_id", "n_shingles", "component_id")
+    assert sorted(again) == sorted(found) and len(tests) > 4
