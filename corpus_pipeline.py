@@ -7,6 +7,9 @@ sequences. Stages hand on the columns of ``documents``; the last one returns the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +21,9 @@ from kithwatch.llm.packing import pack_best_fit, tokenized_pieces
 from kithwatch.llm.pii import redact
 from kithwatch.operators.scratch import Scratch
 
+#: Bytes that Spark hands to a Python worker at a time, while a stage of the pipeline is written.
+BATCH_BYTES = 8 << 20
+
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -77,6 +83,18 @@ STAGES = [
 ORACLE_SQL = None
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Ten thousand texts at a time are held twice outside the heap and once by the worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder, each written and read again.
 
@@ -86,7 +104,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = None
     for name, stage in STAGES[:-1]:
-        with Scratch(spark, name):
+        with Scratch(spark, name), _small_batches(spark):
             docs = kept.save(stage(spark, docs, sf_dir), name)
         if before is not None:
             kept.drop(before)

@@ -74,8 +74,10 @@ class Profiles:
         self.dimensions, self.size, self.most = dimensions, size, most
         #: Different n-grams of each text of the last call of ``of``.
         self.different = np.zeros(0, np.int64)
-        self.keys = np.zeros(0, np.uint64)
-        self.vectors = np.zeros((0, dimensions), np.float32)
+        #: Keys in order, and where the vector of each is.
+        self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        # Taken once and filled as n-grams are seen, so that learning more copies none of them.
+        self.vectors = np.empty((most, dimensions), np.float32)
 
     def _ngrams(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Key and text of every n-gram of letters, a word being set in blanks; texts with letters."""
@@ -103,16 +105,22 @@ class Profiles:
         if not len(new):
             return
         if len(self.keys) + len(new) > self.most:
-            self.keys, self.vectors = self.keys[:0], self.vectors[:0]
+            self.keys, self.places = self.keys[:0], self.places[:0]
             new = np.unique(keys)
-        made = np.ones((len(new), self.dimensions), np.float32)
+            if len(self.vectors) != max(self.most, len(new)):
+                self.vectors = np.empty((max(self.most, len(new)), self.dimensions), np.float32)
+        held = len(self.keys)
+        made = self.vectors[held : held + len(new)]
+        made[:] = 1
         for place in range(self.size):
             points = (new >> np.uint64(21 * (self.size - 1 - place))) & np.uint64((1 << 21) - 1)
             distinct, back = np.unique(points, return_inverse=True)
-            made *= np.roll(_letter_vectors(distinct, self.dimensions), place, axis=1)[back]
+            letters = np.roll(_letter_vectors(distinct, self.dimensions), place, axis=1)
+            for low in range(0, len(new), 1024):
+                made[low : low + 1024] *= letters[back[low : low + 1024]]
         order = np.argsort(np.concatenate([self.keys, new]), kind="stable")
         self.keys = np.concatenate([self.keys, new])[order]
-        self.vectors = np.concatenate([self.vectors, made])[order]
+        self.places = np.concatenate([self.places, np.arange(held, held + len(new))])[order]
 
     def of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One vector per text, of length 1 (0 without n-grams), and whether it has letters."""
@@ -125,7 +133,7 @@ class Profiles:
         self._learn(known)
         out = np.zeros((rows, self.dimensions), np.float32)
         if len(known):
-            used = self.vectors[np.searchsorted(self.keys, known)]
+            used = self.vectors[self.places[np.searchsorted(self.keys, known)]]
             # Dense counts for some texts at a time: as much as a few megabytes.
             step = max(1, (1 << 20) // len(known))
             bounds = np.searchsorted(owner, np.arange(0, rows + step, step))
