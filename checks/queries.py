@@ -96,8 +96,9 @@ def unknown_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _block_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The blocks as files; their field names repeat in every line, so compressed ones are far smaller."""
     folder = f"{Scratch(spark, 'block-files').base}/blocks"
-    t.purchases_as_blocks(spark, sf_dir).write.json(folder)
+    t.purchases_as_blocks(spark, sf_dir).write.json(folder, compression="gzip")
     return folder
 
 

@@ -1,4 +1,5 @@
 import json
+from pathlib import Path
 
 import pytest
 from conftest import rows
@@ -17,7 +18,7 @@ from kithwatch.operators.payment_network import (
     with_users,
 )
 from kithwatch.plans.users import store_user_network, users_of, window_folder
-from kithwatch.sources.blocks import load_transactions, read_transactions, stream_transactions
+from kithwatch.sources.blocks import load_transactions, read_transactions, stream_transactions, transactions_of
 from kithwatch.sources.store import load_address_users, load_graph
 from kithwatch.streaming.payments import payment_stream, streamed_network
 
@@ -206,3 +207,15 @@ def test_windows_of_a_copy_by_day(spark, folder, transactions, tmp_path_factory)
     assert "PartitionFilters: [isnotnull(day" in plan
     read = lambda *window: load_transactions(spark, f"{out}/copy", *window).select(F.input_file_name()).distinct().count()
     assert read(*day) == 1 < read()
+
+
+def test_block_files_of_the_checks_are_compressed_and_whole(spark):
+    from checks import queries, tables
+
+    folder = queries._block_folder(spark, "/root/testdata/sf0.001")
+    blocks = tables.purchases_as_blocks(spark, "/root/testdata/sf0.001")
+    assert sorted(map(str, read_transactions(spark, folder, True).collect())) == sorted(map(str, transactions_of(blocks).collect()))
+    files = list(Path(folder).glob("part-*"))
+    assert files and all(file.name.endswith(".json.gz") for file in files)
+    plain = sum(len(line) + 1 for (line,) in blocks.select(F.to_json(F.struct("data"))).collect())
+    assert sum(file.stat().st_size for file in files) < plain / 4
