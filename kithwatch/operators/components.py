@@ -60,15 +60,8 @@ def _numbered_edges(edges: DataFrame, numbers: DataFrame, scratch: Scratch) -> t
     return stored
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """``(id, component)``, the component being named after its smallest node.
-
-    A node without edges is a component of its own. Raises when the rounds do not settle.
-    """
-    scratch = Scratch(edges.sparkSession, "components")
-    distinct = scratch.save(nodes.select("id").distinct(), "nodes")
-    numbers = scratch.save(dense_ids(distinct, "id", "number", scratch, "ids", distinct.count()), "numbers")
-    current, before = _numbered_edges(edges, numbers, scratch)
+def _stars(current: DataFrame, before: tuple, scratch: Scratch, max_rounds: int) -> tuple[DataFrame, int]:
+    """One star per component from the edges of round 0, and the number of its edges."""
     done = 0
     while before[0]:
         done += 1
@@ -83,11 +76,33 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
         if after == before:
             break
         before = after
+    return current, before[0]
+
+
+def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+    """``(id, component)``, the component being named after its smallest node.
+
+    A node without edges is a component of its own. Raises when the rounds do not settle.
+    """
+    scratch = Scratch(edges.sparkSession, "components")
+    distinct = scratch.save(nodes.select("id").distinct(), "nodes")
+    numbers = scratch.save(dense_ids(distinct, "id", "number", scratch, "ids", distinct.count()), "numbers")
+    current, rows = _stars(*_numbered_edges(edges, numbers, scratch), scratch, max_rounds)
     stars = current.select(F.col("dst").alias("number"), F.col("src").alias("root"))
     rooted = numbers.join(stars, "number", "left").select("id", F.coalesce("root", "number").alias("number"))
     names = numbers.select("number", F.col("id").alias("component"))
     # Numbers follow the order of the nodes, so the smallest number is the smallest node.
-    return lookup(rooted, names, "number", ["id"], rows=before[0] or None).select("id", "component")
+    return lookup(rooted, names, "number", ["id"], rows=rows or None).select("id", "component")
+
+
+def component_roots(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+    """``(node, root)`` of distinct edges between numbers, ``src`` below ``dst``.
+
+    The root is the smallest node of a component; roots themselves have no row.
+    """
+    scratch = Scratch(edges.sparkSession, "roots")
+    stars, _ = _stars(*_stored(edges.select("src", "dst"), scratch, "round-0"), scratch, max_rounds)
+    return stars.select(F.col("dst").alias("node"), F.col("src").alias("root"))
 
 
 def address_users(components: DataFrame) -> DataFrame:

@@ -8,11 +8,13 @@ in each round, and the best labelling seen is kept.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from kithwatch.operators.components import component_roots
 from kithwatch.operators.modularity import weighted
 from kithwatch.operators.scratch import Scratch
 from kithwatch.operators.skew import dense_ids, lookup, pieces_of
@@ -28,22 +30,24 @@ class _Level:
     """A (contracted) graph: links in both directions, and per node its loop and strength."""
 
     links: DataFrame  # u, v, w, and the strength k of u
-    nodes: DataFrame  # u, loop, k, fan
+    nodes: DataFrame  # u, loop, k, fan, and the weight of the lightest link
     hubs: DataFrame  # u, _pieces
     rows: int  # number of links
     members: int  # number of nodes
     double_m: float
+    settled: float = 0.0  # what settled components, which are not listed, add to the modularity
 
 
 def _level(scratch: Scratch, name: str, links: DataFrame, loops: DataFrame) -> _Level:
     """``links`` lists both directions; ``loops`` has one row ``(u, loop)`` per node."""
-    strength = links.groupBy("u").agg(F.sum("w").alias("out"), F.count(F.lit(1)).alias("fan"))
+    strength = links.groupBy("u").agg(F.sum("w").alias("out"), F.count(F.lit(1)).alias("fan"), F.min("w").alias("lightest"))
     nodes = scratch.save(
         loops.join(strength, "u", "left").select(
             "u",
             "loop",
             (F.coalesce("out", F.lit(0.0)) + 2 * F.col("loop")).alias("k"),
             F.coalesce("fan", F.lit(0)).alias("fan"),
+            "lightest",
         ),
         f"{name}-nodes",
     )
@@ -143,7 +147,8 @@ def _stored(level: _Level, labels: DataFrame, scratch: Scratch, name: str) -> tu
         F.count_if(F.col("c") != F.col("was")).alias("moved"),
     )
     stored, sums = scratch.save(watched, name), seen.get
-    return stored, sums["inside"] / level.double_m - sums["squares"] / level.double_m**2, sums["moved"]
+    quality = level.settled + sums["inside"] / level.double_m - sums["squares"] / level.double_m**2
+    return stored, quality, sums["moved"]
 
 
 def _settle(
@@ -170,6 +175,38 @@ def _settle(
     raise RuntimeError(f"communities not settled after {max_rounds} rounds")
 
 
+def _settle_light(level: _Level, scratch: Scratch) -> tuple[_Level, DataFrame]:
+    """The level without its settled components, and ``(u, c, settled)`` of all nodes.
+
+    Merging two communities a and b that are linked by w gains where ``w > K_a K_b / 2m``. In a
+    component of strength K, w is at least the lightest link and ``K_a K_b`` at most ``K^2 / 4``.
+    Where that much suffices, every labelling with more than one community there gains by a merge,
+    so what Louvain ends with is the whole component, however it comes there. Weights must not be
+    negative for that; other components go through the rounds.
+    """
+    pairs = level.links.where(F.col("u") < F.col("v")).select(F.col("u").alias("src"), F.col("v").alias("dst"))
+    roots = component_roots(pairs).withColumnRenamed("node", "u")
+    parts = scratch.save(level.nodes.join(roots, "u", "left").withColumn("root", F.coalesce("root", "u")), "parts")
+    heaviest = 4 * level.double_m * (F.col("lightest") - LEAST_GAIN)
+    alone = F.col("lightest").isNull()
+    sums = parts.groupBy("root").agg(
+        F.sum("k").alias("strength"), F.min("lightest").alias("lightest"), F.min("loop").alias("least_loop")
+    )
+    light = (F.col("least_loop") >= 0) & (alone | ((F.col("lightest") > 0) & (F.col("strength") ** 2 < heaviest)))
+    sums = scratch.save(sums.select("root", "strength", light.alias("settled")), "strengths")
+    known = sums.where("settled").agg(F.sum("strength").alias("inside"), F.sum(F.col("strength") ** 2).alias("squares")).first()
+    settled = (known.inside or 0.0) / level.double_m - (known.squares or 0.0) / level.double_m**2
+    placed = lookup(parts, sums.select("root", "settled"), "root", ["u"], rows=level.members)
+    placed = scratch.save(placed.withColumn("c", F.when(F.col("settled"), F.col("root")).otherwise(F.col("u"))), "places")
+    labels = placed.select("u", "c", "settled")
+    nodes = placed.where(~F.col("settled")).select(*level.nodes.columns)
+    left = nodes.agg(F.sum("fan").alias("rows"), F.count(F.lit(1)).alias("members")).first()
+    rows = left.rows or 0
+    links = lookup(level.links, nodes.select("u"), "u", ["v"], rows=level.rows, hot=level.hubs)
+    links = scratch.save(links.select(*level.links.columns), "open-links") if rows else level.links.limit(0)
+    return replace(level, links=links, nodes=nodes, rows=rows, members=left.members, settled=settled), labels
+
+
 def louvain_communities(
     nodes: DataFrame,
     edges: DataFrame,
@@ -186,7 +223,8 @@ def louvain_communities(
     each round this ``share`` of the nodes may move. A level ends when nobody moves, or when the
     modularity has not grown in three rounds; a ``tolerance`` above 0 ends it when it has grown by
     less than that, relative to itself. Raises when rounds or levels do not settle. Communities
-    are numbered by their smallest node. The same input and seed give the same result.
+    are numbered by their smallest node. The same input and seed give the same result. Components
+    that can only end as one community, by their strengths and weights, take no part in the rounds.
     """
     scratch = Scratch(edges.sparkSession, "louvain")
     ids = scratch.save(dense_ids(nodes.select("id").distinct(), "id", "u", scratch, "ids"), "numbered")
@@ -204,11 +242,15 @@ def louvain_communities(
             numbered.where(F.col("u") == F.col("v")).select("u", F.col("w").alias("own")), "u", "left"
         ).select("u", F.coalesce("own", F.lit(0.0)).alias("loop")),
     )
-    placed = ids.select("id", F.col("u").alias("c"))
+    placed, fixed = ids.select("id", F.col("u").alias("c")), None
     everyone = level.members
+    if math.isfinite(level.double_m) and level.double_m > 0:
+        level, labels = _settle_light(level, scratch)
+        known = scratch.save(ids.join(labels, "u").select("id", "c", "settled"), "known")
+        placed, fixed = (known.where(kind).select("id", "c") for kind in (~F.col("settled"), F.col("settled")))
     quality = float("-inf")
     depth = -1
-    while level.double_m:
+    while level.double_m and level.members:
         depth += 1
         if depth == max_levels:
             raise RuntimeError(f"communities not settled after {max_levels} levels")
@@ -223,6 +265,8 @@ def louvain_communities(
             lookup(placed, merged, "c", ["id"], rows=everyone).select("id", F.col("into").alias("c")), f"placed-{depth}"
         )
         level = _contract(level, labels, scratch, f"level-{depth + 1}")
+    if fixed is not None:
+        placed = placed.unionByName(fixed)
     smallest = placed.groupBy("c").agg(F.min("id").alias("first"))
     numbers = dense_ids(smallest.select("first"), "first", "community", scratch, "communities")
     names = scratch.save(smallest.join(numbers, "first").select("c", "community"), "names")
@@ -248,4 +292,5 @@ def _contract(level: _Level, labels: DataFrame, scratch: Scratch, name: str) ->
     kept = level.nodes.join(start, "u").select(F.col("cu").alias("u"), "loop")
     loops = kept.unionByName(inside).groupBy("u").agg(F.sum("loop").alias("loop"))
     links = between.where(F.col("cu") != F.col("cv")).select(F.col("cu").alias("u"), F.col("cv").alias("v"), "w")
-    return _level(scratch, name, links, loops)
+    # Settled components keep their share of the total, which no merge changes.
+    return replace(_level(scratch, name, links, loops), double_m=level.double_m, settled=level.settled)

@@ -6,7 +6,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from kithwatch.graph import Graph
-from kithwatch.operators import girvan_newman
+from kithwatch.operators import girvan_newman, louvain
 from kithwatch.operators.communities import detect_communities, from_lists
 from kithwatch.operators.components import connected_components
 from kithwatch.operators.girvan_newman import edge_betweenness, girvan_newman_communities
@@ -110,6 +110,42 @@ def test_louvain_follows_weights(spark):
     assert dict(rows(louvain_communities(g.nodes, g.edges))) == {0: 0, 1: 0, 2: 1, 3: 1}
 
 
+def test_louvain_needs_no_rounds_for_light_components(spark, sizes, monkeypatch):
+    """Chains, circles and a loop end as they hang together; cliques and a link of no weight go through the rounds."""
+    offered = []
+    settle = louvain._settle
+    monkeypatch.setattr(louvain, "_settle", lambda level, *given: offered.append(level.members) or settle(level, *given))
+    chains = [(100 + 10 * c + i, 101 + 10 * c + i) for c in range(20) for i in range(1 + c % 5)]
+    circles = [(1000 + 10 * c + i, 1000 + 10 * c + (i + 1) % 4) for c in range(10) for i in range(4)]
+    weight = {(2000, 2001): 3.0, (2001, 2002): 0.0, (3000, 3000): 2.0, (3001, 3002): 0.5}
+    edges = cliques(4, 5) + chains + circles
+    nodes = sorted({n for e in [*edges, *weight] for n in e} | {99})
+    pairs = {tuple(sorted(e)): 1.0 for e in edges} | weight
+    g, _ = graph(spark, nodes, list(pairs), pairs)
+    label = dict(rows(louvain_communities(g.nodes, g.edges)))
+    assert offered[0] == 20 + 3
+    parts = dict(brute.components(nodes, [e for e in pairs if e != (2001, 2002)]))
+    wanted = {n: n // 5 if n < 20 else parts[n] + 20 for n in nodes}
+    names = {c: i for i, c in enumerate(sorted(set(wanted.values())))}
+    assert label == {n: names[wanted[n]] for n in nodes}
+    offered.clear()
+    few = spark.createDataFrame(chains, "src long, dst long")
+    ends = few.selectExpr("explode(array(src, dst)) AS id").distinct()
+    assert len(set(dict(rows(louvain_communities(ends, few))).values())) == 20
+    assert not offered
+
+
+def test_louvain_of_a_light_component_is_the_best_there_is(spark):
+    """No way to cut a component that needs no rounds is better."""
+    edges = [(0, 1), (1, 2), (2, 3), (1, 3), (3, 4)] + [(10 + 2 * c, 11 + 2 * c) for c in range(9)]
+    nodes = [*range(5), *range(10, 28)]
+    g, pairs = graph(spark, nodes, edges)
+    label = dict(rows(louvain_communities(g.nodes, g.edges)))
+    reached = brute.modularity(pairs, label)
+    for cut in range(1, 31):
+        assert brute.modularity(pairs, label | {n: 100 + (cut >> n & 1) for n in range(5)}) <= reached + 1e-12
+
+
 def test_betweenness(spark, sizes):
     nodes = list(range(14))
     g, pairs = graph(spark, nodes, random_edges(14, 20, 4))
