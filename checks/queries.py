@@ -61,11 +61,15 @@ def address_user_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return users_of(t.address_graph(spark, sf_dir))
 
 
-def _user_payments(spark: SparkSession, sf_dir: str, kept=None, users: DataFrame | None = None) -> DataFrame:
-    if users is None:
-        # Senders and receivers are both looked up in it.
-        users = Scratch(spark, "users").save(address_user_map(spark, sf_dir), "users")
-    return with_users(t.order_payments(spark, sf_dir, kept), users)
+def _user_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The lines make both the address network and the payments.
+    lines = t.order_lines(spark, sf_dir)
+    return with_users(t.order_payments(spark, sf_dir, lines=lines), _users(spark, sf_dir, lines))
+
+
+def _users(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
+    # Written, as senders and receivers are both looked up in it.
+    return Scratch(spark, "users").save(users_of(t.address_graph(spark, sf_dir, lines)), "users")
 
 
 def payments_by_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,18 +82,22 @@ def paying_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def payment_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two loads, split by a date, folded into one network."""
-    users = Scratch(spark, "fold").save(address_user_map(spark, sf_dir), "users")
+    lines = t.order_lines(spark, sf_dir)
+    users = _users(spark, sf_dir, lines)
     early = F.col("time") < F.lit("1998-01-01").cast("timestamp")
-    loads = [payment_edges(_user_payments(spark, sf_dir, part, users)) for part in (early, ~early)]
+    loads = [
+        payment_edges(with_users(t.order_payments(spark, sf_dir, part, lines), users)) for part in (early, ~early)
+    ]
     return _rounded(fold_payment_edges(*loads), "value")
 
 
 def unknown_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paid addresses that never spend, against a map of the spending ones."""
-    graph = t.address_graph(spark, sf_dir)
+    lines = t.order_lines(spark, sf_dir)
+    graph = t.address_graph(spark, sf_dir, lines)
     spending = graph.edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     users = address_users(connected_components(spending, graph.edges))
-    return missing_addresses(t.order_payments(spark, sf_dir), users)
+    return missing_addresses(t.order_payments(spark, sf_dir, lines=lines), users)
 
 
 # Blocks of transactions

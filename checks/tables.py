@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kithwatch.functions.expressions import in_window
 from kithwatch.graph import Graph
 from kithwatch.operators.address_network import (
     address_edges,
@@ -87,15 +88,30 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def inputs_and_outputs(spark: SparkSession, sf_dir: str, closed: str, kept=None) -> tuple[DataFrame, DataFrame]:
-    """Input and output rows of the eligible transactions of the whole time."""
-    chosen = eligible(orders_as_transactions(spark, sf_dir), *whole_window(spark, sf_dir), closed)
-    if kept is not None:
-        chosen = chosen.where(kept)
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the eligible transactions of the whole time, its ends included, with their time.
+
+    Written, so that queries that need them more than once do not group and look up all lines each time.
+    """
+    chosen = eligible(orders_as_transactions(spark, sf_dir), *whole_window(spark, sf_dir), "both")
     # Copies of a line follow each other and would only link an address to itself.
-    lines = lookup(_lines(spark, sf_dir), chosen.select("tx"), "tx", LINE_ORDER, rows=_size(spark, sf_dir))
-    # Written, so that inputs and outputs do not group and look up all lines each time they are read.
-    lines = Scratch(spark, "lines").save(lines.select("tx", *LINE_ORDER, "is_output", "count"), "lines")
+    lines = lookup(_lines(spark, sf_dir), chosen.select("tx", "time"), "tx", LINE_ORDER, rows=_size(spark, sf_dir))
+    return Scratch(spark, "lines").save(lines.select("tx", "time", *LINE_ORDER, "is_output", "count"), "lines")
+
+
+def inputs_and_outputs(
+    spark: SparkSession, sf_dir: str, closed: str, kept=None, lines: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Input and output rows of the eligible transactions of the whole time.
+
+    ``lines`` are :func:`order_lines`, where the caller has them; ``kept`` chooses by their time.
+    """
+    if lines is None:
+        lines = order_lines(spark, sf_dir)
+    if closed != "both":
+        lines = lines.where(in_window("time", *whole_window(spark, sf_dir), closed))
+    if kept is not None:
+        lines = lines.where(kept)
     lines = lines.withColumn("address", F.concat_ws("-", "l_partkey", "l_suppkey"))
     lines = lines.withColumn("value", F.col("l_extendedprice").cast("decimal(18,2)") * F.col("count"))
     inputs = lines.where(~F.col("is_output")).select("tx", *LINE_ORDER, "address")
@@ -106,16 +122,16 @@ def _size(spark: SparkSession, sf_dir: str) -> int:
     return table(spark, sf_dir, "lineitem").count()
 
 
-def address_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    inputs, outputs = inputs_and_outputs(spark, sf_dir, "both")
+def address_graph(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> Graph:
+    inputs, outputs = inputs_and_outputs(spark, sf_dir, "both", lines=lines)
     return Graph(
         address_nodes(inputs.select("address"), outputs.select("address")),
         Scratch(spark, "address-edges").save(address_edges(co_input_pairs_of_rows(inputs, LINE_ORDER)), "edges"),
     )
 
 
-def order_payments(spark: SparkSession, sf_dir: str, kept=None) -> DataFrame:
-    return payments_of_rows(*inputs_and_outputs(spark, sf_dir, "neither", kept), LINE_ORDER)
+def order_payments(spark: SparkSession, sf_dir: str, kept=None, lines: DataFrame | None = None) -> DataFrame:
+    return payments_of_rows(*inputs_and_outputs(spark, sf_dir, "neither", kept, lines), LINE_ORDER)
 
 
 def part_graph(spark: SparkSession, sf_dir: str) -> Graph:

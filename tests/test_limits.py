@@ -204,3 +204,31 @@ def test_lines_of_orders_are_written_once(spark, tmp_path):
     assert rows(spent, "tx", "address") == [(1, "11-5"), (4, "14-5"), (4, "14-5")]
     assert [(t, a, float(v), n) for t, a, v, n in rows(paid)] == [(1, "11-5", 5.0, 2), (4, "14-5", 5.0, 2), (4, "14-5", 5.0, 2)]
     assert not any("lineitem" in file or "orders" in file for table in (spent, paid) for file in table.inputFiles())
+
+
+def test_both_loads_of_a_fold_read_the_same_lines(spark, tmp_path, monkeypatch):
+    """Orders of the first and the last day link addresses but pay nobody; the lines are worked out once."""
+    from checks import queries, tables
+
+    days = {1: "1997-01-01", 2: "1997-06-01", 3: "1998-02-01", 4: "1998-03-01", 5: None}
+    spark.createDataFrame(
+        [(k, "F", "1-URGENT", day) for k, day in days.items()],
+        "o_orderkey long, o_orderstatus string, o_orderpriority string, day string",
+    ).withColumn("o_orderdate", F.to_timestamp("day")).write.parquet(str(tmp_path / "orders.parquet"))
+    # The sender is the first line, which the second is spent with; the third is returned and so paid.
+    lines = [(k, part, 5, n, "R" if n == 3 else "N", 2.5 * k) for k in days for n, part in ((1, 10), (2, 10 + k), (3, 30))]
+    spark.createDataFrame(
+        lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string, l_extendedprice double"
+    ).write.parquet(str(tmp_path / "lineitem.parquet"))
+    saved = []
+    save = Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda scratch, table, name: saved.append(name) or save(scratch, table, name))
+    # Users 0 (10-5 and what is spent with it) and 1 (30-5); orders 2 and 3 alone lie inside the time.
+    assert rows(queries.payment_fold(spark, str(tmp_path)), "src", "dst", "value", "count") == [(0, 1, 12.5, 2)]
+    assert saved.count("lines") == 1
+    early = F.col("time") < F.lit("1998-01-01").cast("timestamp")
+    shared = tables.order_lines(spark, str(tmp_path))
+    for part in (early, ~early, None):
+        alone = rows(tables.order_payments(spark, str(tmp_path), part))
+        assert alone == rows(tables.order_payments(spark, str(tmp_path), part, shared))
+        assert sum(row[3] for row in alone) == (2 if part is None else 1)
