@@ -3,8 +3,8 @@
 A user is named after its smallest address, a name that does not depend on the order in which
 transactions come. Folding new links in
 
-1. contracts them: an address known before stands for its user;
-2. runs connected components over the touched users and new addresses only;
+1. ties an address known before to its user by one more link;
+2. runs connected components over the touched users and the addresses of the load only;
 3. gives the users that became another one as a table of changes (user, into).
 
 Tables keyed by users need no rewriting for a change; :func:`resolved` applies the changes when
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kithwatch.graph import Graph, canonical_pairs
+from kithwatch.graph import Graph
 from kithwatch.operators.components import connected_components
 from kithwatch.operators.scratch import Scratch
 from kithwatch.operators.skew import dense_ids, lookup
@@ -26,7 +26,7 @@ from kithwatch.operators.skew import dense_ids, lookup
 
 @dataclass(frozen=True)
 class UserFold:
-    """``placed`` (address, user) of the folded addresses, those of them that are new, and all changes so far."""
+    """``placed`` (address, user) of the folded addresses and of those that touched users are named after, the new ones, and all changes so far."""
 
     placed: DataFrame
     additions: DataFrame
@@ -40,37 +40,34 @@ def resolved(table: DataFrame, column: str, changes: DataFrame, spread_by: list[
     return lookup(table, known, column, spread_by, how="left", rows=rows).select(*columns)
 
 
-def fold_users(members: DataFrame, changes: DataFrame, addresses: Graph, scratch: Scratch) -> UserFold:
+def fold_users(members: DataFrame, changes: DataFrame, addresses: Graph, scratch: Scratch, links: DataFrame | None = None) -> UserFold:
     """Place the addresses of new transactions.
 
     ``members`` are ``(address, user)`` of all addresses before, ``changes`` the changes that
     these users have gone through, ``addresses`` the network of the new transactions alone.
+    ``links`` (src, dst) join the same addresses as its edges, where the caller has them.
     """
-    nodes = scratch.save(addresses.nodes.select(F.col("id").alias("address")).distinct(), "folded")
-    before = nodes.join(members, "address", "left")
-    before = scratch.save(resolved(before, "user", changes, ["address"]), "before")
-    rows = before.count()
-    own = before.select("address", F.coalesce("user", "address").alias("own"))
-    ends = addresses.edges.select("src", "dst")
-    links = ends.count()
-    start, end = own.toDF("src", "a"), own.toDF("dst", "b")
-    contracted = lookup(lookup(ends, start, "src", ["dst"], rows=links), end, "dst", ["src"], rows=links)
-    contracted = scratch.save(canonical_pairs(contracted, "a", "b"), "contracted")
-    touched = own.select(F.col("own").alias("id")).distinct()
-    parts = scratch.save(connected_components(touched, contracted), "parts")
-    names = parts.select(F.col("id").alias("own"), "component")
-    placed = lookup(own, names, "own", ["address"], rows=rows).select("address", F.col("component").alias("user"))
-    placed = scratch.save(placed, "placed")
-    unknown = before.where(F.col("user").isNull()).select("address")
-    grown = before.where(F.col("user").isNotNull()).select(F.col("user").alias("id")).distinct()
-    moved = parts.join(grown, "id", "left_semi").where(F.col("id") != F.col("component"))
+    nodes = addresses.nodes.select("id")
+    links = (addresses.edges if links is None else links).select("src", "dst")
+    known = members.join(nodes.withColumnRenamed("id", "address"), "address", "left_semi")
+    known = scratch.save(resolved(known, "user", changes, ["address"]), "known")
+    if known.isEmpty():
+        placed = scratch.save(connected_components(nodes, links).toDF("address", "user"), "placed")
+        return UserFold(placed, placed, changes)
+    # A user is named after its smallest address, so the smallest name is that of the smallest address.
+    grown = known.select(F.col("user").alias("id")).distinct()
+    ties = known.select(F.col("address").alias("src"), F.col("user").alias("dst"))
+    parts = scratch.save(connected_components(nodes.unionByName(grown), links.unionByName(ties)), "parts")
+    placed = parts.toDF("address", "user")
+    old = known.select("address").unionByName(grown.toDF("address"))
+    moved = parts.where(F.col("id") != F.col("component")).join(grown, "id", "left_semi")
     moved = scratch.save(moved.select(F.col("id").alias("user"), F.col("component").alias("into")), "moved")
     older = resolved(changes.select(F.col("user").alias("was"), F.col("into").alias("user")), "user", moved.select("user", "into"), ["was"])
     every = older.select(F.col("was").alias("user"), F.col("user").alias("into")).unionByName(moved)
-    return UserFold(placed, placed.join(unknown, "address", "left_semi"), every)
+    return UserFold(placed, placed.join(old, "address", "left_anti"), every)
 
 
 def numbered_users(members: DataFrame, scratch: Scratch) -> DataFrame:
     """``(user, user_id)``: users of resolved ``members`` numbered by their smallest address."""
     names = members.where(F.col("address") == F.col("user")).select("user")
-    return scratch.save(dense_ids(names, "user", "user_id", scratch, "ranges", names.count()), "numbers")
+    return scratch.save(dense_ids(names, "user", "user_id", scratch, "ranges"), "numbers")

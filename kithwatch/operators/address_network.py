@@ -40,6 +40,19 @@ def co_input_pairs(transactions: DataFrame) -> DataFrame:
     )
 
 
+def co_input_stars(transactions: DataFrame) -> DataFrame:
+    """``(src, dst)`` links between the same addresses as :func:`co_input_pairs`, in fewer steps from each other.
+
+    Inputs are linked to the smallest of their transaction. Where some are unusable, these part the
+    others, which are linked one by one.
+    """
+    inputs = F.col("inputs.address")
+    parted = F.exists(inputs, lambda address: ~is_usable(address))
+    whole = transactions.where(~parted).select(F.array_min(inputs).alias("src"), inputs.alias("all"))
+    stars = whole.select("src", F.explode("all").alias("dst")).where(F.col("src") != F.col("dst"))
+    return stars.unionByName(co_input_pairs(transactions.where(parted)).toDF("src", "dst"))
+
+
 def co_input_pairs_of_rows(inputs: DataFrame, order: Sequence[str], transaction: str = "tx") -> DataFrame:
     """The same pairs when every input is a row of its own, listed by ``order``."""
     scratch = Scratch(inputs.sparkSession, "co-input")

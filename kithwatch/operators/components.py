@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from kithwatch.graph import both_directions
 from kithwatch.operators.scratch import Scratch
-from kithwatch.operators.skew import dense_ids, lookup, stored_if_large
+from kithwatch.operators.skew import dense_ids, lookup, ordered, stored_if_large
 
 
 def _large_star(edges: DataFrame, rows: int) -> DataFrame:
@@ -85,14 +85,15 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
     A node without edges is a component of its own. Raises when the rounds do not settle.
     """
     scratch = Scratch(edges.sparkSession, "components")
-    distinct = scratch.save(nodes.select("id").distinct(), "nodes")
-    numbers = scratch.save(dense_ids(distinct, "id", "number", scratch, "ids", distinct.count()), "numbers")
+    numbers = ordered(nodes.select("id").distinct(), ["id"], "number", scratch, "numbers")
     current, rows = _stars(*_numbered_edges(edges, numbers, scratch), scratch, max_rounds)
-    stars = current.select(F.col("dst").alias("number"), F.col("src").alias("root"))
-    rooted = numbers.join(stars, "number", "left").select("id", F.coalesce("root", "number").alias("number"))
-    names = numbers.select("number", F.col("id").alias("component"))
+    if not rows:
+        return numbers.select("id", F.col("id").alias("component"))
     # Numbers follow the order of the nodes, so the smallest number is the smallest node.
-    return lookup(rooted, names, "number", ["id"], rows=rows or None).select("id", "component")
+    names = numbers.select(F.col("number").alias("root"), F.col("id").alias("component"))
+    stars = current.select(F.col("dst").alias("number"), F.col("src").alias("root"))
+    named = lookup(stars, names, "root", ["number"], rows=rows).select("number", "component")
+    return numbers.join(named, "number", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def component_roots(edges: DataFrame, max_rounds: int = 100) -> DataFrame:

@@ -184,17 +184,28 @@ def next_value(
     )
 
 
-def dense_ids(keys: DataFrame, key: str, into: str, scratch: Scratch, name: str, rows: int = 0) -> DataFrame:
-    """Number distinct keys 0, 1, 2, ... in key order without a global window.
+def dense_ids(keys: DataFrame, key: str, into: str, scratch: Scratch, name: str) -> DataFrame:
+    """Number distinct keys 0, 1, 2, ... in key order without a global window."""
+    return numbered(keys.select(key), [key], into, scratch, name)
 
-    ``rows``, where the caller knows them, keep the ranges below the window limit.
+
+#: A row's place in its task is in so many lower bits of ``monotonically_increasing_id``, the task above them.
+PLACE_BITS = 33
+
+
+def ordered(table: DataFrame, order: Sequence[str], into: str, scratch: Scratch, name: str) -> DataFrame:
+    """Rows with a number that follows an order that tells them apart, but leaves gaps; written out.
+
+    Each task sorts a range of the keys and numbers its rows as it writes them, so they are shuffled once.
+    No window holds a range, so its rows need no limit and small ranges may be merged at run time.
     """
-    return numbered(keys.select(key), [key], into, scratch, name, rows)
+    ranged = table.repartitionByRange(*order).sortWithinPartitions(*order)
+    return scratch.save(ranged.withColumn(into, F.monotonically_increasing_id()), name)
 
 
-def numbered(table: DataFrame, order: Sequence[str], into: str, scratch: Scratch, name: str, rows: int = 0) -> DataFrame:
+def numbered(table: DataFrame, order: Sequence[str], into: str, scratch: Scratch, name: str) -> DataFrame:
     """Rows with their place, from 0, in an order that tells them apart."""
-    chunks = _by_range(table, [], order, scratch, name, rows)
+    chunks = ordered(table, order, "_at", scratch, name).withColumn("_chunk", F.shiftright("_at", PLACE_BITS))
     before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     # One row per range, so this window is as small as the number of partitions.
     offsets = (
@@ -203,9 +214,5 @@ def numbered(table: DataFrame, order: Sequence[str], into: str, scratch: Scratch
         .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .drop("_n")
     )
-    inside = Window.partitionBy("_chunk").orderBy(*order)
-    return (
-        chunks.join(F.broadcast(offsets), "_chunk")
-        .withColumn(into, F.row_number().over(inside) - 1 + F.col("_offset"))
-        .drop("_chunk", "_offset")
-    )
+    place = F.col("_at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    return chunks.join(F.broadcast(offsets), "_chunk").withColumn(into, place + F.col("_offset")).drop("_at", "_chunk", "_offset")

@@ -105,7 +105,7 @@ def ranked_features(scores: DataFrame, ascending: bool = True) -> DataFrame:
     unknown = F.coalesce(F.isnan("score"), F.lit(True)) | F.col("score").isNull()
     by = F.when(~unknown, F.col("score") if ascending else -F.col("score"))
     stored = scratch.save(scores.withColumn("_unknown", unknown).withColumn("_by", by), "scores")
-    placed = numbered(stored, ["_unknown", "_by", *FEATURE], "rank", scratch, "places", stored.count())
+    placed = numbered(stored, ["_unknown", "_by", *FEATURE], "rank", scratch, "places")
     return scratch.save(placed.select(*scores.columns, "rank"), "ranked")
 
 

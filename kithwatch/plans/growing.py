@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kithwatch.functions.expressions import Moment
 from kithwatch.graph import Graph, canonical_pairs
 from kithwatch.operators.address_fold import fold_users, numbered_users, resolved
-from kithwatch.operators.address_network import address_network, eligible
+from kithwatch.operators.address_network import address_network, co_input_stars, eligible
 from kithwatch.operators.payment_network import payment_edges, payment_nodes, payments_of, with_users
 from kithwatch.operators.scratch import Scratch
 from kithwatch.operators.skew import lookup
@@ -50,10 +50,10 @@ class GrowingNetwork:
         return now
 
     def _load(self, transactions: DataFrame, now: Manifest, scratch: Scratch) -> dict[str, DataFrame]:
-        kept = scratch.save(transactions, "transactions")
+        kept = scratch.save(eligible(transactions, self.start, self.end, closed="both"), "transactions")
         network = address_network(kept, self.start, self.end)
         addresses = Graph(scratch.save(network.nodes, "nodes"), scratch.save(network.edges, "edges"))
-        users = fold_users(self.stored.read("members", now), self.stored.read("changes", now), addresses, scratch)
+        users = fold_users(self.stored.read("members", now), self.stored.read("changes", now), addresses, scratch, co_input_stars(kept))
         paid = payments_of(eligible(kept, self.start, self.end, closed="neither"))
         between = with_users(paid, users.placed.withColumnRenamed("user", "user_id"))
         return {

@@ -10,6 +10,8 @@ from test_blocks import BLOCKS, EARLY, LATE, tx
 
 from kithwatch.operators.address_network import address_network
 from kithwatch.operators.payment_network import user_network
+from kithwatch.operators.scratch import Scratch
+from kithwatch.operators.skew import dense_ids, ordered
 from kithwatch.plans.growing import GrowingNetwork
 from kithwatch.plans.users import users_of
 from kithwatch.sources.blocks import BLOCK_SCHEMA, read_transactions, stream_transactions, transactions_of
@@ -174,3 +176,33 @@ def test_readers_keep_what_they_planned_with(spark, tmp_path):
     assert rows(total(Generations(spark, str(tmp_path)))) == rows(total(stored))
     with pytest.raises(FileNotFoundError):
         Generations(spark, f"{tmp_path}/none")
+
+
+def test_links_of_a_transaction_settle_at_once(spark, tmp_path, monkeypatch):
+    names = [f"n{i:03d}" for i in range(200)]
+    random.Random(3).shuffle(names)
+    parted = ["p", "q", "", "r", "s", None, "n007"]
+    made = [tx(names, [("out", 1)]), tx(parted, [("p", 2)]), tx(["out"], [("s", 3)])]
+    wanted = one_run(table(spark, made))
+    saved, save = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda scratch, rows, name: (saved.append(name), save(scratch, rows, name))[1])
+    grown = GrowingNetwork(spark, f"{tmp_path}/network")
+    grown.add(table(spark, made), 0)
+    # Stars are settled from the start, which the first round sees.
+    assert sum(name.startswith("round-") and name != "round-0" for name in saved) == 1
+    grown.add(table(spark, [tx(["out", "r"], [("q", 4)])]), 1)
+    monkeypatch.undo()
+    same(grown.network(), one_run(table(spark, [*made, tx(["out", "r"], [("q", 4)])])))
+    assert dict(rows(wanted[1]))["n007"] == dict(rows(wanted[1]))["n000"]
+
+
+def test_numbers_need_one_shuffle(spark, tmp_path):
+    keys = spark.createDataFrame([("b",), (None,), ("a",), ("c",)], "key string").repartition(4)
+    scratch = Scratch(spark, "numbers")
+    found = dense_ids(keys, "key", "n", scratch, "keys")
+    assert rows(found.where("key is not null"), "n", "key") == [(1, "a"), (2, "b"), (3, "c")]
+    # Only the sizes of the ranges are gathered; the rows stay where they were sorted.
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "row_number" not in plan
+    placed = ordered(keys.dropna(), ["key"], "n", scratch, "ordered").collect()
+    assert [row["key"] for row in sorted(placed, key=lambda row: row["n"])] == ["a", "b", "c"]
