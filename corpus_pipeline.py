@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kithwatch.llm.decontamination import without_contaminated
-from kithwatch.llm.jaccard import jaccard_components
+from kithwatch.llm.jaccard import BROADCAST_IDS, jaccard_components
 from kithwatch.llm.language import in_known_language
 from kithwatch.llm.packing import pack_best_fit, tokenized_pieces
 from kithwatch.llm.pii import redact
@@ -45,6 +45,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     keyed = docs.withColumn("key", F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64("text").alias("text_hash"))))
     groups = jaccard_components(keyed.select(F.col("key").alias("doc_id"), "text"), size=5, least=80, of=100)
     gone = groups.where("component_id != doc_id").select(F.col("doc_id").alias("key")).distinct()
+    gone = Scratch(spark, "gone").save(gone, "keys")
+    # Few keys go to where the texts are read; for more of them texts are shuffled.
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
     kept = keyed.join(gone, "key", "left_anti")
     repeated = groups.where("component_id = doc_id").groupBy(F.col("doc_id").alias("key")).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key")
     if repeated.isEmpty():

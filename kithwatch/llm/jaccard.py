@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kithwatch.llm.arrays import SPACES, chained, lists, mixed, runs, slices, utf8, words
-from kithwatch.operators.components import connected_components
+from kithwatch.operators.components import component_roots
 from kithwatch.operators.scratch import Scratch
 
 CLASSES = 1 << 16
@@ -316,7 +316,7 @@ class _Links:
         self.traits = filed.traits
         self.tested: DataFrame | None = None
         self.links = filed.bridges
-        self.rounds = 0
+        self.rounds = self.drawn = 0
 
     def _possible(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose sizes and bitmaps allow a link."""
@@ -397,14 +397,20 @@ class _Links:
         self.scratch.drop("possible")
 
     def components(self) -> DataFrame | None:
-        """``(rep, component)`` of all linked classes, written out."""
+        """``(rep, component)`` of all linked classes, written out.
+
+        One link of each class to its component then stands for all links so far: dense groups have
+        far more, and none is looked at again.
+        """
         if self.links.isEmpty():
             return None
+        self.drawn += 1
         edges = self.links.select(F.col("a").alias("src"), F.col("b").alias("dst"))
-        nodes = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
         with Scratch(self.scratch.spark, "linked"):
-            found = connected_components(nodes, edges).select(F.col("id").alias("rep"), "component")
-            return self.scratch.save(found, f"components-{self.rounds}")
+            # Classes are numbers already, and the first of a link is the smaller one.
+            tied = self.scratch.save(component_roots(edges).toDF("rep", "component"), f"tied-{self.drawn}")
+        self.links = tied.select(F.col("component").alias("a"), F.col("rep").alias("b"))
+        return self.scratch.save(tied.union(tied.select("component", "component").distinct()), f"components-{self.drawn}")
 
 
 #: Comparisons for each row of the tiles beyond which another round of single partners comes first.

@@ -102,3 +102,43 @@ def test_small_tiles_of_unlike_sets_are_compared_once_and_for_all(spark, monkeyp
     monkeypatch.setattr(jaccard, "WHOLE", 3)
     again = rows_of(jaccard.jaccard_components(table, 3, 90, 100), "doc_id", "n_shingles", "component_id")
     assert sorted(again) == sorted(found) and len(tests) > 4
+
+
+def test_links_of_a_dense_group_are_looked_at_once(spark, monkeypatch):
+    # Near copies: each with two words of its own, so that their tiles differ and many pairs are links.
+    base = [f"w{i}" for i in range(200)]
+    rng = np.random.default_rng(5)
+    texts = []
+    for k in range(60):
+        copy = list(base)
+        copy[int(rng.integers(200))] = f"x{k}"
+        texts.append(" ".join(copy))
+    rows = list(enumerate(texts))
+    seen, roots = [], jaccard.component_roots
+
+    def counted(edges):
+        seen.append((edges.count(), edges.where("src >= dst").count()))
+        return roots(edges)
+
+    monkeypatch.setattr(jaccard, "component_roots", counted)
+    monkeypatch.setattr(jaccard, "WHOLE", 3)
+    table = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = rows_of(jaccard.jaccard_components(table, 3, 90, 100), "doc_id", "n_shingles", "component_id")
+    assert {key: (n, name) for key, n, name in found} == components(rows, 3, 90, 100)
+    # After the first time there is a link for each class that is not its component's name, and what is new.
+    assert len(seen) > 1 and seen[0][0] > 100 and all(links < 60 for links, _ in seen[1:])
+    assert not any(wrong for _, wrong in seen)
+
+
+def test_stage_reads_texts_where_they_are(spark):
+    base = " ".join(NUMBERED[:80])
+    rows = [(k, base + (" x" if k else "")) for k in range(3)] + [(9, "another text")]
+    docs = spark.createDataFrame([(key, text, "en", "s", None) for key, text in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "")
+        assert "SortMergeJoin" not in kept._jdf.queryExecution().sparkPlan().toString()
+        assert sorted(rows_of(kept, "doc_id")) == [(0,), (9,)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
