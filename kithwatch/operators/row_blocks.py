@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,20 +36,32 @@ def feature_vectors(nodes: DataFrame, attributes=None, widths=None) -> tuple[Dat
     return nodes.select(F.col("id").alias("node"), F.array(*parts).alias("vector")), features
 
 
-def _shape(vectors: DataFrame, width: int) -> tuple[int, list[int], list[float]]:
-    """Number of rows, positions of the features from the widest on, and the mean of every feature."""
+def _shape(vectors: DataFrame, width: int, inner: bool) -> tuple[int, list[int], list[float], list[float]]:
+    """Number of rows, positions of the features from the widest on, and range and mean of every feature.
+
+    The ``inner`` range leaves the outermost twentieths out, so that a few far rows do not decide it.
+    """
+    whole = F.max("x") - F.min("x")
+    ends = F.percentile_approx("x", [0.05, 0.95], 1000)
     row = (
         vectors.select(F.posexplode("vector").alias("at", "x"))
         .groupBy("at")
-        .agg(F.count(F.lit(1)).alias("n"), (F.max("x") - F.min("x")).alias("range"), F.avg("x").alias("mean"))
+        .agg(F.count(F.lit(1)).alias("n"), (ends[1] - ends[0] if inner else whole).alias("range"), F.avg("x").alias("mean"))
         .orderBy("at")
         .collect()
     )
     # One row per feature, so this is as small as the schema of the nodes.
     if not row:
-        return 0, [0], [0.0] * width
-    widest = sorted(range(width), key=lambda r: -row[r]["range"])
-    return row[0]["n"], widest, [r["mean"] for r in row]
+        return 0, [0], [0.0] * width, [0.0] * width
+    ranges = [r["range"] for r in row]
+    return row[0]["n"], sorted(range(width), key=lambda r: -ranges[r]), ranges, [r["mean"] for r in row]
+
+
+def _slabs(blocks: int, wide: float, narrow: float) -> int:
+    """Into how many slabs of the widest feature blocks go that are about as long as wide."""
+    if not (math.isfinite(wide) and math.isfinite(narrow)) or narrow <= 0:
+        return max(1, blocks)
+    return max(1, min(blocks, round(math.sqrt(blocks * wide / narrow))))
 
 
 def block_pairs(
@@ -57,13 +70,13 @@ def block_pairs(
     """All pairs of blocks ``(same, left, right, left_nodes, right_nodes)``, each pair once.
 
     Blocks follow the widest feature and, inside a slab of it, the next one. With a ``radius``
-    only pairs of blocks are made whose bounds in all features come that close; without one, all
-    are. ``centred`` shifts every feature to a mean of 0, which leaves differences as they are.
+    blocks are about as long as wide in these two, and only pairs of blocks are made whose bounds in all
+    features come that close; without one, all are. ``centred`` shifts every feature to a mean of 0, which leaves differences as they are.
 
     Which block of a pair is the left one alternates, so that every block is looked up about as
     often, and the number of tasks does not depend on how few bytes the pairs have.
     """
-    count, widest, means = _shape(vectors, width)
+    count, widest, ranges, means = _shape(vectors, width, radius is not None)
     tasks = vectors.sparkSession.sparkContext.defaultParallelism
     rows = max(LEAST_BLOCK_ROWS, min(BLOCK_ROWS, -(-count // (2 * tasks))))
     shift = F.array(*(F.lit(m if centred else 0.0) for m in means))
@@ -74,7 +87,12 @@ def block_pairs(
         F.get("vector", F.lit(widest[-1] if radius is None else widest[min(1, width - 1)])).alias("next"),
     )
     # Ordered by node within equal keys, so that a frequent value can be cut as well.
-    ranged = keyed.repartitionByRange("key", "node").withColumn("chunk", F.spark_partition_id())
+    if radius is None:
+        ranged = keyed.repartitionByRange("key", "node")
+    else:
+        narrow = ranges[widest[1]] if width > 1 else 0.0
+        ranged = keyed.repartitionByRange(_slabs(-(-count // rows), ranges[widest[0]], narrow), "key", "node")
+    ranged = ranged.withColumn("chunk", F.spark_partition_id())
     ranged = scratch.save(ranged, "ranged")
     inside = ["key", "node"] if radius is None else ["next", "key", "node"]
     place = F.row_number().over(Window.partitionBy("chunk").orderBy(*inside)) - 1

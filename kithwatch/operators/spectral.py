@@ -33,6 +33,14 @@ _SUMS = "cut array<double>, square array<double>, linear array<double>, mass dou
 EXPONENT_ERROR = 1e-11
 # Pairs closer than this part of the largest square are summed difference by difference.
 CLOSE = 1e-4
+# Blocks of at most so many features are summed by moments, if no row lies further from the centre of its
+# block than lets the mixed part of an exponent reach this.
+MOMENT_FEATURES = 3
+MOMENT_REACH = 6.0
+# Sums by moments whose rounding may reach this part of them are taken pair by pair.
+MOMENT_ERROR = 1e-10
+# Terms of a moment that cost as much as the difference of one pair.
+TERMS_A_PAIR = 16
 
 
 def _by_differences(left: np.ndarray, right: np.ndarray, gamma: float) -> tuple[np.ndarray, np.ndarray]:
@@ -78,6 +86,80 @@ def _weights_and_cut(left: np.ndarray, right: np.ndarray, gamma: float) -> tuple
     return weight, cut + alike @ difference
 
 
+def _sums_by_pairs(left: np.ndarray, right: np.ndarray, gamma: float) -> tuple[np.ndarray, ...]:
+    """Of two blocks: for each feature the weighted sums of squared differences, of the squares and of the
+    values of the left rows and of the right ones, and the sum of the weights.
+    """
+    weight, cut = _weights_and_cut(left, right, gamma)
+    rows, columns = weight.sum(axis=1), weight.sum(axis=0)
+    return cut, rows @ np.square(left), columns @ np.square(right), rows @ left, columns @ right, rows.sum()
+
+
+def _orders(mixed: np.ndarray) -> list[int]:
+    """How many powers of each feature the series of ``exp`` needs, whose exponent reaches ``mixed`` there."""
+    least = 1e-17 * np.exp(-mixed.sum())
+    orders = []
+    for reach in mixed:
+        term, order = 1.0, 0
+        while term > least:
+            order += 1
+            term *= reach / order
+        orders.append(order)
+    return orders
+
+
+def _moments(x: np.ndarray, factor: np.ndarray, gamma: float, orders: list[int]) -> np.ndarray:
+    """Sums over rows of the factor times 1, each feature and its square, times all products of scaled powers."""
+    powers = []
+    for r, order in enumerate(orders):
+        columns = np.ones((len(x), order))
+        for k in range(1, order):
+            columns[:, k] = columns[:, k - 1] * x[:, r] * np.sqrt(2 * gamma / k)
+        powers.append(columns)
+    kinds = np.concatenate([np.ones((len(x), 1)), x, np.square(x)], axis=1) * factor[:, None]
+    for columns in powers[:-1]:
+        kinds = (kinds[:, :, None] * columns[:, None, :]).reshape(len(x), -1)
+    return (kinds.T @ powers[-1]).reshape(1 + 2 * x.shape[1], -1)
+
+
+def _sums_by_moments(left: np.ndarray, right: np.ndarray, gamma: float) -> tuple[np.ndarray, ...] | None:
+    """The same sums over all pairs without making a pair, or none where pairs are better.
+
+    With ``d`` between the centres, ``u`` and ``v`` from them, a weight is a number of the left row times one of
+    the right row times ``exp(2 gamma u v)``. Where blocks are narrow a few powers give that to the last digit, and
+    the sums follow from the moments of each block. Digits are relative to the largest weight of the blocks, however
+    small that is; where the sums are smaller by more, pairs are better, too.
+    """
+    width = left.shape[1]
+    if width > MOMENT_FEATURES:
+        return None
+    low, high = (np.stack([f(left, axis=0), f(right, axis=0)]) for f in (np.min, np.max))
+    centre = low + (high - low) / 2
+    extent = np.maximum(high - centre, centre - low)
+    mixed = 2 * gamma * extent[0] * extent[1]
+    # Also where a value is not finite.
+    if not mixed.sum() <= MOMENT_REACH:
+        return None
+    orders = _orders(mixed)
+    if len(left) * len(right) * TERMS_A_PAIR < (len(left) + len(right)) * np.prod(orders):
+        return None
+    d, u, v = centre[0] - centre[1], left - centre[0], right - centre[1]
+    half = np.square(d).sum() / 2
+    one = _moments(u, np.exp(-gamma * (np.square(u).sum(axis=1) + 2 * (u @ d) + half)), gamma, orders)
+    two = _moments(v, np.exp(-gamma * (np.square(v).sum(axis=1) - 2 * (v @ d) + half)), gamma, orders)
+    sums = one @ two.T
+    all_, u1, u2 = sums[0, 0], sums[1 : 1 + width, 0], sums[1 + width :, 0]
+    v1, v2 = sums[0, 1 : 1 + width], sums[0, 1 + width :]
+    both = np.diagonal(sums)[1 : 1 + width]
+    cut = d * d * all_ + 2 * d * (u1 - v1) + u2 + v2 - 2 * both
+    # All terms together, without their signs, are at most this; near copies leave little of them.
+    size = 16 * np.finfo(float).eps * np.exp(mixed.sum()) * one[0, 0] * two[0, 0]
+    if not (size <= MOMENT_ERROR * all_ and np.all(size * np.square(np.abs(d) + extent.sum(axis=0)) <= MOMENT_ERROR * cut)):
+        return None
+    a, b = centre
+    return cut, a * a * all_ + 2 * a * u1 + u2, b * b * all_ + 2 * b * v1 + v2, a * all_ + u1, b * all_ + v1, all_
+
+
 def _pair_sums(gamma: float, width: int):
     """Sums over the pairs of two blocks, one row per batch of block pairs."""
 
@@ -85,18 +167,17 @@ def _pair_sums(gamma: float, width: int):
         cut, square, linear, mass = np.zeros(width), np.zeros(width), np.zeros(width), 0.0
         for batch in batches:
             for left, right, same in matrices(batch, width):
-                weight, differences = _weights_and_cut(left, right, gamma)
+                found = _sums_by_moments(left, right, gamma) or _sums_by_pairs(left, right, gamma)
+                differences, left_square, right_square, left_linear, right_linear, weight = found
                 # A pair of different blocks stands for both orders of its nodes.
                 orders = 1.0 if same else 2.0
                 cut += orders * differences / 2
-                rows, columns = weight.sum(axis=1), weight.sum(axis=0)
-                square += rows @ np.square(left)
-                linear += rows @ left
-                mass += rows.sum()
+                square += left_square
+                linear += left_linear
+                mass += orders * weight
                 if not same:
-                    square += columns @ np.square(right)
-                    linear += columns @ right
-                    mass += columns.sum()
+                    square += right_square
+                    linear += right_linear
         yield pa.RecordBatch.from_pydict(
             {"cut": [cut.tolist()], "square": [square.tolist()], "linear": [linear.tolist()], "mass": [mass]},
             schema=pa.schema(
@@ -116,14 +197,16 @@ def spec_scores(nodes: DataFrame, attributes=None, widths=None, gamma: float = 1
     """``(attr, idx, score)`` of the attributes; null for a feature that does not vary.
 
     Every pair of nodes whose similarity is not exactly 0 in double precision is weighed, block
-    by block: a task gets two blocks of rows and hands on sums per feature, never pairs.
+    by block: a task gets two blocks of rows and hands on sums per feature, never pairs. Narrow blocks of
+    few features are summed by their moments, which costs rows in place of pairs.
     """
     scratch = Scratch(nodes.sparkSession, "spec")
     vectors, features = feature_vectors(nodes, attributes, widths)
     if not features:
         return nodes.sparkSession.createDataFrame([], "attr string, idx int, score double")
     pairs = block_pairs(vectors, len(features), scratch, radius=float(np.sqrt(UNDERFLOW / gamma)), centred=True)
-    parts = pairs.mapInArrow(_pair_sums(gamma, len(features)), _SUMS)
+    # Nodes are left out, as sums need no names.
+    parts = pairs.select("same", "left", "right").mapInArrow(_pair_sums(gamma, len(features)), _SUMS)
     names = F.array(*(F.struct(F.lit(attr).alias("attr"), F.lit(idx).alias("idx")) for attr, idx in features))
     sums = (
         parts.select("mass", F.explode(F.arrays_zip(names.alias("feature"), "cut", "square", "linear")).alias("s"))
