@@ -16,6 +16,11 @@ from kithwatch.operators.skew import running_total
 
 # Most rows of one block: two blocks and the matrix of their pairs must fit a task.
 BLOCK_ROWS = 2048
+# The same and most bytes of a block where all are compared with all, piece by piece: larger ones travel less often.
+WHOLE_ROWS = 1 << 16
+WHOLE_BYTES = 16 << 20
+# Tasks over which the pairs of one of these are dealt.
+TURNS = 4
 LEAST_BLOCK_ROWS = 64
 
 
@@ -78,7 +83,8 @@ def block_pairs(
     """
     count, widest, ranges, means = _shape(vectors, width, radius is not None)
     tasks = vectors.sparkSession.sparkContext.defaultParallelism
-    rows = max(LEAST_BLOCK_ROWS, min(BLOCK_ROWS, -(-count // (2 * tasks))))
+    most = BLOCK_ROWS if radius is not None else max(BLOCK_ROWS, min(WHOLE_ROWS, WHOLE_BYTES // (8 * max(1, width))))
+    rows = max(LEAST_BLOCK_ROWS, min(most, -(-count // (2 * tasks))))
     shift = F.array(*(F.lit(m if centred else 0.0) for m in means))
     keyed = vectors.select(
         "node",
@@ -146,10 +152,17 @@ def block_pairs(
     tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left = known.select("block", F.col("matrix").alias("left"), F.col("nodes").alias("left_nodes"))
     right = known.select(F.col("block").alias("other"), F.col("matrix").alias("right"), F.col("nodes").alias("right_nodes"))
+    keys = ["other"]
+    if radius is None:
+        # Few large blocks, each with very many pairs of rows, so a task gets a few pairs of blocks only.
+        keys = ["other", "turn"]
+        pairs = pairs.withColumn("turn", F.col("block") % TURNS)
+        right = right.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(TURNS - 1)).cast("array<bigint>")))
+        tasks = max(tasks, 2 * TURNS * -(-count // rows))
     return (
         pairs.join(left, "block")
-        .repartition(tasks, "other")
-        .join(right.repartition(tasks, "other"), "other")
+        .repartition(tasks, *keys)
+        .join(right.repartition(tasks, *keys), keys)
         .select((F.col("block") == F.col("other")).alias("same"), "left", "right", "left_nodes", "right_nodes")
     )
 

@@ -2,10 +2,11 @@
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import rows
 
-from kithwatch.operators import row_blocks, spectral
+from kithwatch.operators import neighbors, row_blocks, spectral
 from kithwatch.operators.scratch import Scratch
 from kithwatch.operators.spectral import spec_scores
 
@@ -65,3 +66,69 @@ def test_spec_of_dense_nodes(spark):
     values = np.concatenate([rng.random((1500, 2)) * [1.5, 1.0], rng.random((20, 2)) * 40])
     found = [score for *_, score in rows(spec_scores(nodes_of(spark, values)))]
     assert found == pytest.approx(brute.spec_by_pairs(values.tolist()), rel=1e-9)
+
+
+def _nearest_by_pairs(x, y, k, same):
+    near = np.round(neighbors._unit(x) @ neighbors._unit(y).T, neighbors.DIGITS)
+    near[np.isnan(near)] = -np.inf
+    if same:
+        np.fill_diagonal(near, -np.inf)
+    order = np.argsort(-near, axis=1, kind="stable")[:, :k]
+    return {(i, int(j)) for i in range(len(x)) for j in order[i] if near[i, j] > -np.inf}
+
+
+@pytest.mark.parametrize("same", [True, False])
+@pytest.mark.parametrize("kind", ["apart", "ties", "equal", "few"])
+def test_nearest_of_large_blocks_piece_by_piece(monkeypatch, kind, same):
+    """Nodes in any order; rows that are not finite are like no other."""
+    monkeypatch.setattr(neighbors, "PIECE_ROWS", 64)
+    rng = np.random.default_rng(9)
+    x = {
+        "apart": rng.normal(size=(300, 8)),
+        "ties": np.repeat(rng.normal(size=(6, 3)), 50, axis=0) * rng.integers(1, 9, (300, 1)),
+        "equal": np.ones((300, 2)),
+        "few": rng.normal(size=(4, 3)),
+    }[kind]
+    y = x[: len(x) // 2] * 3.0
+    if kind == "apart":
+        x[3, 0], x[4], x[5] = np.nan, np.inf, 0.0
+    a, b = rng.permutation(len(x)), rng.permutation(len(y))
+    right, right_nodes = (x[a], a) if same else (y[b], b + 1000)
+    columns = [[same], [x[a].ravel().tolist()], [right.ravel().tolist()], [a.tolist()], [right_nodes.tolist()]]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["same", "left", "right", "left_nodes", "right_nodes"])
+    made = [tuple(row.values())[:2] for part in neighbors._closest(5, x.shape[1], pa.int64())(iter([batch])) for row in part.to_pylist()]
+    wanted = _nearest_by_pairs(x, x, 5, True) if same else set()
+    if not same:
+        wanted = {(i, j + 1000) for i, j in _nearest_by_pairs(x, y, 5, False)}
+        wanted |= {(i + 1000, j) for i, j in _nearest_by_pairs(y, x, 5, False)}
+    assert set(made) == wanted and len(made) == len(wanted)
+
+
+def test_blocks_of_all_pairs_grow_with_the_nodes(spark, monkeypatch):
+    """Before, a block had at most 2,048 rows, so it travelled and handed on its best once for each of them."""
+    monkeypatch.setattr(row_blocks, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(row_blocks, "LEAST_BLOCK_ROWS", 4)
+    vectors, _ = row_blocks.feature_vectors(nodes_of(spark, np.random.default_rng(4).normal(size=(640, 2))))
+    pairs = row_blocks.block_pairs(vectors, 2, Scratch(spark, "whole"))
+    assert pairs.where("same").count() <= 2 * spark.sparkContext.defaultParallelism + int(spark.conf.get("spark.sql.shuffle.partitions"))
+    monkeypatch.setattr(row_blocks, "WHOLE_BYTES", 16 * 10)
+    sizes = row_blocks.block_pairs(vectors, 2, Scratch(spark, "whole")).where("same").select("left_nodes").collect()
+    assert max(len(row.left_nodes) for row in sizes) <= 10
+
+
+def test_features_travel_without_their_names(spark):
+    """A node lacks a feature, a value is null; before, each link carried and searched a map of names."""
+    from kithwatch.operators.laplacian import laplacian_scores_with
+
+    values = {0: {"a": 1.0, "b": 4.0}, 1: {"a": 2.0, "b": None}, 2: {"a": 4.0}}
+    features = spark.createDataFrame([(n, f, -1, v) for n, of in values.items() for f, v in of.items()], "node long, attr string, idx int, value double")
+    links = [(0, 1, 1.0), (1, 0, 1.0), (0, 2, 2.0), (2, 0, 2.0), (1, 1, 3.0)]
+    scores = laplacian_scores_with(features, spark.createDataFrame(links, "i long, j long, weight double"))
+    assert "explode(fi" not in scores._jdf.queryExecution().optimizedPlan().toString()
+    strength = {0: 3.0, 1: 4.0, 2: 2.0}
+    center = sum(strength[n] * values[n]["a"] for n in values) / 9
+    f = {n: values[n]["a"] - center for n in values}
+    within = sum(w * f[i] * f[j] for i, j, w in links)
+    spread = sum(strength[n] * f[n] ** 2 for n in f)
+    found = {row.attr: row.score for row in scores.collect()}
+    assert found["a"] == pytest.approx(1 - within / spread) and np.isnan(found["b"])
