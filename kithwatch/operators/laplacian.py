@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kithwatch.operators.scratch import Scratch
 from kithwatch.operators.skew import lookup
 
 FEATURE = ["attr", "idx"]
@@ -59,23 +60,42 @@ def laplacian_scores_with(features: DataFrame, affinity: DataFrame) -> DataFrame
     centers = weighted.groupBy(*FEATURE).agg(
         F.try_divide(F.sum(F.col("strength") * F.col("value")), F.sum("strength")).alias("center")
     )
-    centred = weighted.join(F.broadcast(centers), FEATURE).select(
-        "node", *FEATURE, "strength", (F.col("value") - F.col("center")).alias("value")
+    scratch = Scratch(features.sparkSession, "laplacian")
+    # One row per feature, so windows over all of them stay small.
+    place = (F.row_number().over(Window.orderBy(*FEATURE)) - 1).alias("place")
+    width = F.count(F.lit(1)).over(Window.partitionBy()).cast("int").alias("width")
+    centers = scratch.save(centers.dropna(subset=FEATURE).select(*FEATURE, "center", place, width), "centers")
+    nodes = (
+        weighted.join(F.broadcast(centers), FEATURE)
+        .select("node", "strength", "width", "place", (F.col("value") - F.col("center")).alias("value"))
+        .groupBy("node")
+        .agg(
+            F.max("strength").alias("strength"),
+            F.max("width").alias("width"),
+            F.collect_list(F.struct("place", "value")).alias("known"),
+        )
     )
-    spread = centred.groupBy(*FEATURE).agg(F.sum(F.col("strength") * F.col("value") * F.col("value")).alias("spread"))
-    vectors = centred.groupBy("node").agg(
-        F.map_from_entries(F.collect_list(F.struct(F.struct(*FEATURE), "value"))).alias("f")
+    everywhere = F.sequence(F.lit(0), F.col("width") - 1)
+    missing = F.transform(
+        F.array_except(everywhere, F.col("known.place")),
+        lambda at: F.struct(at.alias("place"), F.lit(None).cast("double").alias("value")),
+    )
+    # A map, as no node may have a feature twice.
+    whole = F.map_values(F.map_from_entries(F.sort_array(F.concat("known", missing)))).alias("f")
+    # A node's features become one array of numbers, which is written, so that they are gathered once.
+    vectors = scratch.save(nodes.select("node", "strength", whole), "vectors")
+    spread = (
+        vectors.select("strength", F.posexplode("f").alias("place", "value"))
+        .groupBy("place")
+        .agg(F.sum(F.col("strength") * F.col("value") * F.col("value")).alias("spread"))
     )
     rows = affinity.count()
-    # A node's features travel as one bounded map, so an edge is joined once per end.
+    # An edge is joined once per end, and names of features stay behind.
     left = lookup(affinity, vectors.select(F.col("node").alias("i"), F.col("f").alias("fi")), "i", ["j"], rows=rows)
     both = lookup(left, vectors.select(F.col("node").alias("j"), F.col("f").alias("fj")), "j", ["i"], rows=rows)
-    within = (
-        both.select("weight", "fj", F.explode("fi").alias("feature", "value"))
-        .groupBy("feature.attr", "feature.idx")
-        .agg(F.sum(F.col("weight") * F.col("value") * F.col("fj")[F.col("feature")]).alias("within"))
-    )
-    return spread.join(within, FEATURE, "left").select(
+    products = F.zip_with("fi", "fj", lambda a, b: F.col("weight") * a * b)
+    within = both.select(F.posexplode(products).alias("place", "product")).groupBy("place").agg(F.sum("product").alias("within"))
+    return centers.join(spread, "place").join(within, "place", "left").select(
         *FEATURE, laplacian_score(F.col("within"), F.col("spread")).alias("score")
     )
 
