@@ -74,6 +74,9 @@ class _Best:
             else:
                 columns, rows = np.divmod(np.flatnonzero(mask.T), len(x))
             similarity = np.round(np.einsum("ij,ij->i", x[rows], y[columns]), DIGITS)
+            behind, first = worst[rows], column + columns < last[rows]
+            better = (similarity > behind) | ((similarity == behind) & first)
+            rows, columns, similarity = rows[better], columns[better], similarity[better]
         else:
             # Many agree so closely, which no more than k of each row may leave.
             exact = np.round(x @ y.T, DIGITS)

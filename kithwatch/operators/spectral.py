@@ -37,6 +37,8 @@ CLOSE = 1e-4
 # block than lets the mixed part of an exponent reach this.
 MOMENT_FEATURES = 3
 MOMENT_REACH = 6.0
+# Rows of the left block that are paired at a time, so that matrices of pairs stay near the processor.
+PIECE_ROWS = 128
 # Sums by moments whose rounding may reach this part of them are taken pair by pair.
 MOMENT_ERROR = 1e-10
 # Terms of a moment that cost as much as the difference of one pair.
@@ -90,9 +92,14 @@ def _sums_by_pairs(left: np.ndarray, right: np.ndarray, gamma: float) -> tuple[n
     """Of two blocks: for each feature the weighted sums of squared differences, of the squares and of the
     values of the left rows and of the right ones, and the sum of the weights.
     """
-    weight, cut = _weights_and_cut(left, right, gamma)
-    rows, columns = weight.sum(axis=1), weight.sum(axis=0)
-    return cut, rows @ np.square(left), columns @ np.square(right), rows @ left, columns @ right, rows.sum()
+    sums = [0.0] * 6
+    for begin in range(0, len(left), PIECE_ROWS):
+        piece = left[begin : begin + PIECE_ROWS]
+        weight, cut = _weights_and_cut(piece, right, gamma)
+        rows, columns = weight.sum(axis=1), weight.sum(axis=0)
+        found = cut, rows @ np.square(piece), columns @ np.square(right), rows @ piece, columns @ right, rows.sum()
+        sums = [one + two for one, two in zip(sums, found, strict=True)]
+    return tuple(sums)
 
 
 def _orders(mixed: np.ndarray) -> list[int]:
@@ -113,9 +120,8 @@ def _moments(x: np.ndarray, factor: np.ndarray, gamma: float, orders: list[int])
     powers = []
     for r, order in enumerate(orders):
         columns = np.ones((len(x), order))
-        for k in range(1, order):
-            columns[:, k] = columns[:, k - 1] * x[:, r] * np.sqrt(2 * gamma / k)
-        powers.append(columns)
+        np.multiply(x[:, r, None], np.sqrt(2 * gamma / np.arange(1, order)), out=columns[:, 1:])
+        powers.append(np.cumprod(columns, axis=1))
     kinds = np.concatenate([np.ones((len(x), 1)), x, np.square(x)], axis=1) * factor[:, None]
     for columns in powers[:-1]:
         kinds = (kinds[:, :, None] * columns[:, None, :]).reshape(len(x), -1)
